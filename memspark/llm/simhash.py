@@ -87,7 +87,7 @@ def planes(values: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     packed = np.packbits(bits.T, axis=1, bitorder="little")
     packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))
-    return packed.view("<u8")
+    return np.ascontiguousarray(packed).view("<u8")
 
 
 def within(block: np.ndarray, n: int, value: int, radius: int) -> np.ndarray:
@@ -116,6 +116,8 @@ def within(block: np.ndarray, n: int, value: int, radius: int) -> np.ndarray:
 def compare(left: np.ndarray, right: np.ndarray | None, radius: int, same_key: int, masks: list[int]) -> Iterator[tuple[int, int]]:
     """Pairs within the radius, one from each side (right None: two of the left) whose first shared key is same_key."""
     other = left if right is None else right
+    if not len(left) or not len(other):
+        return
     block = planes(other)
     for i, value in enumerate(left.tolist()):
         at = within(block, len(other), value, radius)
@@ -197,7 +199,8 @@ UNIT = ["k", "key", "i", "j"]
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, label) for the ends of ``edges`` (a, b): the least node that can be reached."""
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges")
+    edges = materialize(edges.select("a", "b"), "edges")
+    both = edges.union(edges.select(F.col("b"), F.col("a")))
     now = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     for _ in range(most_rounds):
         near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -212,7 +215,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         release(now)
         now = new
         if not changed:
-            release(both)
+            release(edges)
             return now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
