@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ MOST_LABELLED = 10_000
 MOST_TERMS = 2_000
 FOLDS, HELD_OUT = 5, 0
 WINDOW = 8
+CONTEXTS = 4
 PREFIX = range(4, 9)
 
 LOOKALIKE = str.maketrans("013457@$!|", "oieastasii")
@@ -177,24 +179,37 @@ class ToxicModel:
         return sigmoid(np.hstack([x, np.ones((len(x), 1))]) @ self.weights)
 
 
-def distinct_words(text: Column) -> Column:
-    @F.arrow_udf("array<string>")
+def words_in_context(text: Column) -> Column:
+    """Each distinct word of a text once, and one of 63 bits that the token before it gives."""
+
+    @F.arrow_udf("array<struct<word:string,before:bigint>>")
     def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("word", pa.string()), ("before", pa.int64())]))
         for batch in batches:
-            yield pa.array([sorted({w for t in set((x or "").lower().split()) for w in parts(t) if len(w) <= 40}) for x in batch.to_pylist()], type=pa.list_(pa.string()))
+            out = []
+            for text in batch.to_pylist():
+                tokens = (text or "").lower().split()
+                first = {}
+                for before, token in zip(["", *tokens], tokens, strict=False):
+                    first.setdefault(token, before)
+                found = {w: 1 << zlib.crc32(before.encode()) % 63 for token, before in first.items() for w in parts(token) if len(w) <= 40}
+                out.append([{"word": w, "before": n} for w, n in found.items()])
+            yield pa.array(out, type=kind)
 
     return words(text)
 
 
 def learn_lexicon(sample: DataFrame, least_share: float = 0.01, precision: float = 0.9, most: int = MOST_TERMS) -> Lexicon:
-    """sample: (text, toxic). Terms stand in at least 4 and ``least_share`` of the toxic texts."""
-    seen = sample.select("toxic", F.explode(distinct_words(F.col("text"))).alias("word")).groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).persist()
+    """sample: (text, toxic). Terms stand in at least 4 and ``least_share`` of the toxic texts, and after at least
+    `CONTEXTS` different words: what copies of one text share stands after one."""
+    context = F.bit_or(F.when(F.col("toxic") == 1, F.col("w.before")).otherwise(0)).alias("contexts")
+    seen = sample.select("toxic", F.explode(words_in_context(F.col("text"))).alias("w")).groupBy(F.col("w.word").alias("word")).agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"), context).persist()
     toxic = sample.where("toxic = 1").count()
     least = max(4, least_share * toxic)
-    enough = (F.col("pos") >= least) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg")))
+    enough = (F.bit_count("contexts") >= CONTEXTS) & (F.col("pos") >= least) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg")))
     words = {r["word"]: r["pos"] for r in seen.where(enough & (F.length("word") >= 3)).orderBy(F.desc("pos"), "word").limit(most).collect()}
-    begins = seen.where("pos > 0 or neg > 0").select("pos", "neg", F.explode(F.array(*(F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in PREFIX))).alias("begin")).where("begin is not null")
-    begins = begins.groupBy("begin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count("*").alias("forms")).where(enough)
+    begins = seen.select("pos", "neg", "contexts", F.explode(F.array(*(F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in PREFIX))).alias("begin")).where("begin is not null")
+    begins = begins.groupBy("begin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.bit_or("contexts").alias("contexts"), F.count("*").alias("forms")).where(enough)
     found = {r["begin"]: (r["pos"], r["forms"]) for r in begins.orderBy(F.desc("pos"), "begin").limit(most * len(PREFIX)).collect()}
     terms = [(w, False, n) for w, n in words.items()]
     for begin, (n, forms) in found.items():
@@ -203,8 +218,10 @@ def learn_lexicon(sample: DataFrame, least_share: float = 0.01, precision: float
         shorter = any(found[begin[:k]][0] < 1.2 * n for k in PREFIX if k < len(begin) and begin[:k] in found)
         if forms >= 5 and longer < 0.9 * n and not shorter or forms >= 5 and longer < 0.6 * n:
             terms.append((begin, True, n))
-    begun = tuple(t for t, beginning, _ in terms if beginning)
-    terms = [(t, b, 1.0) for t, b, _ in terms if b or not t.startswith(begun)][:most]
+    begun: tuple[str, ...] = ()
+    for term, _, _ in sorted((t for t in terms if t[1]), key=lambda t: len(t[0])):
+        begun += () if term.startswith(begun) else (term,)
+    terms = [(t, b, 1.0) for t, b, _ in terms if t in begun or not b and not t.startswith(begun)][:most]
     lexicon = Lexicon(terms)
 
     @F.arrow_udf("boolean")
