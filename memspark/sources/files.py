@@ -31,7 +31,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     root = F.lit(re.sub(r"^\w+:/*", "/", path).rstrip("/") + "/")
     plain = F.regexp_replace("path", "^\\w+:/*", "/")
     rel = F.when(F.startswith(plain, root), F.substring(plain, F.length(root) + 1, F.length(plain))).otherwise(plain)
-    return files.select("path", rel.alias("rel_path"), plain.alias("source_file"), (F.unix_micros("modificationTime") / 1000.0).alias("source_mtime"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select("path", rel.alias("rel_path"), plain.alias("source_file"), (F.unix_micros("modificationTime") / 1000.0).alias("source_mtime"), F.decode("content", "UTF-8").alias("text"))
 
 
 def kept_files(files: DataFrame, extensions, any_case: bool, skipped, ignore=()) -> DataFrame:
