@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from memspark.functions.text import as_column, best_scored, contained, stem, strings
+from memspark.functions.text import as_column, best_scored, bound, contained, stem, strings
 from memspark.functions.wordlists import ROOM_FOLDERS, TOPICS
 
 
 def convo_room(text: Column | str, topics: dict = TOPICS, head: int = 3000) -> Column:
     """The topic with the most of its words in the first characters; the first of equals; ``general`` without any."""
     lowered = F.lower(F.substring(as_column(text), 1, head))
-    return best_scored([(name, contained(lowered, words)) for name, words in topics.items()], "general")
+    return bound(lowered, lambda t: best_scored([(name, contained(t, words)) for name, words in topics.items()], "general"))
 
 
 def project_room(rel_path: Column | str, text: Column | str, rooms: tuple = (), folders: dict = ROOM_FOLDERS, head: int = 2000) -> Column:
@@ -31,11 +31,14 @@ def project_room(rel_path: Column | str, text: Column | str, rooms: tuple = (),
     by_stem = room_of[F.get(in_stem, F.lit(0))]
     custom = [(room, tuple(dict.fromkeys(x.lower() for x in (room, *words)))) for room, words in rooms]
     by_custom = F.coalesce(F.lit(None).cast("string"), *(F.when(contained(name, words) > 0, F.lit(room)) for room, words in custom))
-    lowered = F.lower(F.substring(as_column(text), 1, head))
-    scores: dict[str, Column] = {}
-    for room, words in (*custom, *folders.items()):
-        scores[room] = scores.get(room, F.lit(0)) + contained(lowered, words)
-    return F.coalesce(by_folder, by_stem, by_custom, best_scored(list(scores.items()), "general"))
+
+    def by_words(lowered: Column) -> Column:
+        scores: dict[str, Column] = {}
+        for room, words in (*custom, *folders.items()):
+            scores[room] = scores.get(room, F.lit(0)) + contained(lowered, words)
+        return best_scored(list(scores.items()), "general")
+
+    return F.coalesce(by_folder, by_stem, by_custom, bound(F.lower(F.substring(as_column(text), 1, head)), by_words))
 
 
 def drawer_id(wing: Column | str, room: Column | str, source_file: Column | str, chunk_index: Column | str) -> Column:

@@ -35,6 +35,11 @@ def strings(values) -> Column:
     return F.array(*(F.lit(v) for v in values)) if values else F.lit([]).cast("array<string>")
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 def contained(lowered: Column, keywords) -> Column:
     """How many of the keywords stand in the text."""
     total = F.lit(0)
@@ -46,8 +51,8 @@ def contained(lowered: Column, keywords) -> Column:
 def best_scored(scores: list[tuple[str, Column]], default: Column | str) -> Column:
     """The name with the highest positive score; the first of equals."""
     ranked = F.array(*(F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, s) in enumerate(scores)))
-    best = F.array_max(ranked)
-    return F.when(best["score"] > 0, best["name"]).otherwise(default if isinstance(default, Column) else F.lit(default))
+    otherwise = default if isinstance(default, Column) else F.lit(default)
+    return bound(F.array_max(ranked), lambda best: F.when(best["score"] > 0, best["name"]).otherwise(otherwise))
 
 
 def snippet(text: Column | str, most: int = 300) -> Column:
