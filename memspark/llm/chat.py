@@ -188,7 +188,8 @@ def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
         for batch in batches:
             yield pa.array([dict(zip(("formatted", "loss_spans"), render(x or []), strict=True)) for x in batch.to_pylist()], type=row)
 
-    return df.withColumn("__made", made(F.col(turns))).withColumns({"formatted": F.col("__made.formatted"), "loss_spans": F.col("__made.loss_spans")}).drop("__made")
+    # A generator of one row keeps the function from being copied to each place that reads its fields.
+    return df.select(*(c for c in df.columns if c not in ("formatted", "loss_spans")), F.inline(F.array(made(F.col(turns)))))
 
 
 def read_back(df: DataFrame, formatted: str = "formatted", spans: str = "loss_spans") -> DataFrame:
@@ -205,4 +206,5 @@ def read_back(df: DataFrame, formatted: str = "formatted", spans: str = "loss_sp
                 out.append({"turns": parse(text), "loss": loss})
             yield pa.array(out, type=row)
 
-    return df.withColumn("__read", read(F.col(formatted), F.col(spans))).withColumns({"read_turns": F.col("__read.turns"), "loss_text": F.col("__read.loss")}).drop("__read")
+    kept = [c for c in df.columns if c not in ("read_turns", "loss_text")]
+    return df.select(*kept, F.inline(F.array(read(F.col(formatted), F.col(spans)))).alias("read_turns", "loss_text"))
