@@ -10,7 +10,7 @@ Only labels of the training folds are read, and of those only the positives. The
 and `MOST_UNLABELLED` rows of text, chosen by a hash of the id; every row is scored.
 
 Without positives every score is 0. Null, empty and blank texts have all features of an empty text and a score like any other.
-Repeated rows get equal scores.
+Repeated rows get equal scores; in the fit, rows of one id count once.
 """
 
 from __future__ import annotations
@@ -131,9 +131,11 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     trusted = labels.where((F.col(label) == 1) & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id").distinct()
     trusted = first_by_hash(trusted, most_positive, 1).withColumn("positive", F.lit(True))
     texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    web = first_by_hash(texts.select("doc_id"), most_unlabelled, 2).withColumn("positive", F.lit(False))
+    web = first_by_hash(texts.select("doc_id").distinct(), most_unlabelled, 2).withColumn("positive", F.lit(False))
     # The bound of the sample is the bound of what is broadcast.
-    rows = texts.join(F.broadcast(trusted.union(web)), "doc_id").select("positive", "doc_id", feature_column(F.col("text")).alias("x")).collect()
+    made = texts.join(F.broadcast(trusted.union(web)), "doc_id").select("positive", "doc_id", feature_column(F.col("text")).alias("x"))
+    # Rows of one id count once, so that repeated ids don't break the bound.
+    rows = made.groupBy("positive", "doc_id").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: (r["positive"], r["doc_id"], r["x"]))
     positive, unlabelled = (np.array([r["x"] for r in rows if r["positive"] is kind]) for kind in (True, False))
     return PuModel(positive, unlabelled) if len(positive) >= 4 and len(unlabelled) >= 4 else None

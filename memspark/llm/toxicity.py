@@ -10,7 +10,7 @@
 
 At most `MOST_LABELLED` labelled rows (by a hash of the id) are learned from, and the lexicon has at most `MOST_TERMS` terms;
 every text is scored whole. Without labelled rows of both kinds every score is 0. Null, empty and wordless texts score as
-texts without hits. Repeated rows get equal scores.
+texts without hits. Repeated rows get equal scores; in the model's fit, rows of one id count once.
 """
 
 from __future__ import annotations
@@ -253,7 +253,9 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     sample = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(first_by_hash(known, most, 3)), "doc_id").persist()
     try:
         lexicon = learn_lexicon(sample)
-        rows = sorted((r["toxic"], r["x"]) for r in sample.select("toxic", feature_column(F.col("text"), lexicon).alias("x")).collect())
+        made = sample.select("doc_id", "toxic", feature_column(F.col("text"), lexicon).alias("x"))
+        # Rows of one id count once, so that repeated ids don't break the bound.
+        rows = sorted((r["toxic"], r["x"]) for r in made.groupBy("doc_id", "toxic").agg(F.max("x").alias("x")).collect())
     finally:
         sample.unpersist()
     if len({y for y, _ in rows}) < 2:

@@ -86,6 +86,18 @@ def test_lexicon_in_context():
     assert quoted < 0.5 * plain
 
 
+def test_models_count_repeated_rows_once(spark):
+    r = random.Random(5)
+    text = lambda good: " ".join(r.choice(["river", "stone", "garden", "letter"] if good else ["#$%", "BUY", "<<>>", "99!"]) for _ in range(40))
+    one = [(i, text(i % 2 == 0)) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), int(i % 2)) for i in range(60)], "doc_id long, quality int, toxic int")
+    kind = "doc_id long, text string"
+    plain, hot = (spark.createDataFrame(rows, kind) for rows in (one, one + [one[0]] * 300))
+    for module in (quality_model, toxicity):
+        a, b = ({x["doc_id"]: x["score"] for x in module.classify(df, labels).select("doc_id", "score").collect()} for df in (plain, hot))
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
 def test_models_without_labels(spark):
     docs = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "a " * 50_000, 2.0), (3, "a", 2.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
