@@ -79,4 +79,5 @@ def classified_summaries(summaries: DataFrame) -> DataFrame:
 
 
 def registry_summary(registry: Registry) -> DataFrame:
-    return registry.people.agg(F.count("*").alias("people")).join(F.broadcast(registry.projects.agg(F.count("*").alias("projects")))).withColumn("mode", F.lit(registry.mode))
+    rows = registry.people.select(F.lit(1).alias("person")).union(registry.projects.select(F.lit(0)))
+    return rows.agg(F.count_if(F.col("person") == 1).alias("people"), F.count_if(F.col("person") == 0).alias("projects")).withColumn("mode", F.lit(registry.mode))

@@ -92,6 +92,9 @@ def timeline(entities: DataFrame, triples: DataFrame, entity: str | None = None,
 
 def kg_stats(entities: DataFrame, triples: DataFrame) -> DataFrame:
     """One row: entities, triples, current, expired, and the sorted predicates."""
-    of = triples.agg(F.count("*").alias("triples"), F.count_if(F.col("valid_to").isNull()).alias("current"), F.count_if(F.col("valid_to").isNotNull()).alias("expired"), F.sort_array(F.collect_set("predicate")).alias("predicates"))
-    # Two tables of one row each.
-    return of.join(F.broadcast(entities.agg(F.count("*").alias("entities"))))
+    kinds = triples.select(F.lit(0).alias("entity"), F.col("valid_to").isNull().alias("current"), "predicate")
+    rows = kinds.unionByName(entities.select(F.lit(1).alias("entity"), F.lit(None).cast("boolean").alias("current"), F.lit(None).cast("string").alias("predicate")))
+    return rows.agg(
+        F.count_if(F.col("entity") == 0).alias("triples"), F.count_if("current").alias("current"), F.count_if(~F.col("current")).alias("expired"),
+        F.sort_array(F.collect_set("predicate")).alias("predicates"), F.count_if(F.col("entity") == 1).alias("entities"),
+    )

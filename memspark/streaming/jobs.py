@@ -27,9 +27,18 @@ def counted_messages(df: DataFrame, marker: str = "<command-message>") -> DataFr
 
 
 def save_checkpoints_batch(df: DataFrame, every: int = 15, marker: str = "<command-message>") -> DataFrame:
-    """(session_id, n, since_last): one row at each ``every``-th message of a session."""
-    n = F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "id")).cast("long")
-    return counted_messages(df, marker).select("session_id", n.alias("n")).where(F.col("n") % every == 0).withColumn("since_last", F.lit(every).cast("long"))
+    """(session_id, n, since_last): one row at each ``every``-th message of a session. A session's messages are numbered by
+    the hour, from what the hours before it add up to, so a session with most of the messages isn't one task's. ``ts``
+    is a timestamp, seconds or a text that starts with date and hour."""
+    kind = dict(df.dtypes)["ts"]
+    hour = F.date_trunc("hour", "ts") if kind.startswith("timestamp") else F.substring("ts", 1, 13) if kind == "string" else F.floor(F.col("ts") / 3600)
+    rows = counted_messages(df, marker).withColumn("hour", hour)
+    earlier = Window.partitionBy("session_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = rows.groupBy("session_id", "hour").agg(F.count("*").alias("m")).select("session_id", "hour", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy("session_id", "hour").orderBy("ts", "id"))
+    both = rows.withColumn("at", at).alias("r").join(hours.alias("h"), F.col("r.session_id").eqNullSafe(F.col("h.session_id")) & F.col("r.hour").eqNullSafe(F.col("h.hour")))
+    numbered = both.select("r.session_id", (F.col("before") + F.col("at")).alias("n"))
+    return numbered.where(F.col("n") % every == 0).withColumn("since_last", F.lit(every).cast("long"))
 
 
 class SaveEvery(StatefulProcessor):

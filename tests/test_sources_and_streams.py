@@ -1,6 +1,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from memspark.operators import drawers, kg
 from memspark.sources import files, formats
 from memspark.streaming import jobs
@@ -61,6 +63,20 @@ def test_checkpoints_of_stream_and_batch_agree(spark, tmp_path):
     assert got and got == sorted(tuple(x) for x in jobs.save_checkpoints_batch(spark.createDataFrame(rows, kind), 7).collect())
 
 
+def test_checkpoints_are_numbered_across_hours(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["hot", "hot", "a", None]), "user", None, r.choice([None, *range(0, 40_000, 500)]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "session_id string, role string, content string, ts long, id int")
+    want = []
+    for name in ("hot", "a", None):
+        n = sum(x[0] == name for x in rows)
+        want += [(name, k, 7) for k in range(7, n + 1, 7)]
+    at = F.timestamp_seconds("ts")
+    for ts in (F.col("ts"), at, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")):
+        got = [tuple(x) for x in jobs.save_checkpoints_batch(df.withColumn("ts", ts), 7).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_streams_of_files_and_triples(spark, tmp_path):
     kind = "rel_path string, source_file string, source_mtime double, text string"
     spark.createDataFrame([("a.md", "/a.md", 1.0, "word " * 40)], kind).write.parquet(str(tmp_path / "files/0"))
