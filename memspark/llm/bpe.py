@@ -25,6 +25,8 @@ from memspark.llm.batches import Memo, by_bytes, limit_arrow_batches
 NONE = np.int32(2**31 - 1)
 #: Pieces of at most so many bytes are merged side by side.
 SIDE_BY_SIDE = 64
+#: Pieces whose ids a worker keeps, beside those of its current batch.
+MEMO_PIECES = 150_000
 
 
 def rank_file(path: str | None = None) -> str:
@@ -63,7 +65,7 @@ class Merges:
         self.keys, self.values = keys[order], np.array(list(self.pairs.values()), dtype=np.int32)[order]
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.find = regex.compile(split_pattern(pattern)).findall
-        self.memo = Memo(self.encode_pieces)
+        self.memo = Memo(self.encode_pieces, MEMO_PIECES)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NONE where a pair isn't a token or a side is absent (-1)."""
