@@ -3,8 +3,9 @@
 1. The lexicon is learned from labelled rows of the training folds: words, and beginnings of words, whose texts are nearly
    all toxic. Words of clean texts that lie within the edits of a term are kept as exceptions.
 2. For a word of a text, an automaton whose states are sets of bits (one set per number of edits; bit i: i characters of
-   the word are used) walks down the trie. It accepts terms within 0 edits (under 5 letters), 1, or 2 (from 9 letters);
-   the first letter must be the term's. Digits and signs that stand for letters are read as those first.
+   the word are used) walks down the trie from its root. It accepts terms within 0 edits (of terms under 5 letters), 1, or 2
+   (from 9 letters), learned beginnings before any rest of the word; two letters that changed places are one edit. Digits and
+   signs that stand for letters are read as those first, and signs inside a word are also left out.
 3. Each hit has a severity: the term's weight, less for every edit, less inside quotation marks or after a verb of saying
    within the window, more beside a word of address. A text's severities give four numbers to a small logistic model.
 
@@ -43,12 +44,15 @@ ADDRESS = frozenset("you your youre you're u ur du dich dein deine ihr tu toi to
 
 
 def parts(token: str) -> list[str]:
-    """The words in a lower-cased token: as it stands, then with look-alikes read as letters."""
+    """The words in a lower-cased token: as it stands, with look-alikes read as letters, then each without inner signs."""
     found = LETTERS.findall(token)
     if not token.isalpha():
         core = token.rstrip("!?.,;:|\"')]»”").lstrip("\"'([«“¡¿|")
         if core and not core.isalpha() and any(c.isalpha() for c in core):
-            found += [x for x in LETTERS.findall(core.translate(LOOKALIKE)) if x not in found]
+            read = LETTERS.findall(core.translate(LOOKALIKE))
+            for x in (*read, "".join(LETTERS.findall(core)), "".join(read)):
+                if x not in found:
+                    found.append(x)
     return found
 
 
@@ -57,27 +61,35 @@ def edits_for(length: int) -> int:
 
 
 class Automaton:
-    """Accepts what lies within ``edits`` of a word; a state is a tuple of bit sets."""
+    """Accepts what lies within ``edits`` of a word; a state is a tuple of bit sets. With ``swaps`` two neighbours that
+    changed places are one edit: further sets, one per number of edits, hold where the first of two has been read."""
 
-    def __init__(self, word: str, edits: int):
-        self.edits, self.final = edits, 1 << len(word)
+    def __init__(self, word: str, edits: int, swaps: bool = False):
+        self.edits, self.swaps, self.final = edits, swaps, 1 << len(word)
         self.full = (self.final << 1) - 1
         self.masks: dict[str, int] = {}
         for i, c in enumerate(word):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
 
     def start(self) -> tuple[int, ...]:
-        return tuple((1 << e + 1) - 1 & self.full for e in range(self.edits + 1))
+        return tuple((1 << e + 1) - 1 & self.full for e in range(self.edits + 1)) + (0,) * (self.edits if self.swaps else 0)
 
     def step(self, state: tuple[int, ...], char: str) -> tuple[int, ...]:
         mask = self.masks.get(char, 0)
         out = [(state[0] & mask) << 1]
-        for e in range(1, len(state)):
-            out.append(((state[e] & mask) << 1 | state[e - 1] | state[e - 1] << 1 | out[e - 1] << 1) & self.full)
+        for e in range(1, self.edits + 1):
+            swapped = (state[self.edits + e] & mask) << 2 if self.swaps else 0
+            out.append(((state[e] & mask) << 1 | state[e - 1] | state[e - 1] << 1 | out[e - 1] << 1 | swapped) & self.full)
+        if self.swaps:
+            out += [state[e - 1] & mask >> 1 for e in range(1, self.edits + 1)]
         return tuple(out)
 
+    def edits_so_far(self, state: tuple[int, ...]) -> int | None:
+        """The least edits between what has been read and any beginning of the word."""
+        return next((e for e in range(self.edits + 1) if state[e]), None)
+
     def edits_at_end(self, state: tuple[int, ...]) -> int | None:
-        return next((e for e, bits in enumerate(state) if bits & self.final), None)
+        return next((e for e in range(self.edits + 1) if state[e] & self.final), None)
 
 
 class Lexicon:
@@ -85,9 +97,10 @@ class Lexicon:
 
     def __init__(self, terms: list[tuple[str, bool, float]], exceptions: set[str] = frozenset()):
         self.terms, self.exceptions = terms, set(exceptions)
-        self.root: dict = {}
+        #: A trie for the terms of each number of edits, so that no branch is walked with more than its terms give.
+        self.roots: list[dict] = [{}, {}, {}]
         for term, beginning, weight in terms:
-            node = self.root
+            node = self.roots[edits_for(len(term))]
             for c in term:
                 node = node.setdefault(c, {})
             node["begins" if beginning else "ends"] = (term, weight)
@@ -96,28 +109,23 @@ class Lexicon:
     def near(self, word: str) -> tuple[float, int, str] | None:
         """(weight, edits, term) of the best term for a word."""
         best = None
-        child = self.root.get(word[0])
-        if child is None:
-            return None
-        node = child
-        for i, c in enumerate(word):
-            node = node.get(c) if i else child
-            if node is None:
-                break
-            if "begins" in node and (best is None or node["begins"][1] > best[0]):
-                best = (node["begins"][1], 0, node["begins"][0])
-        edits = 0 if word in self.exceptions else edits_for(len(word))
-        automaton = Automaton(word, edits)
-        stack = [(child, automaton.step(automaton.start(), word[0]))]
-        while stack:
-            node, state = stack.pop()
-            if not any(state):
+        known = word in self.exceptions
+        for edits, root in enumerate(self.roots):
+            # A word this short is too far from every term that gives so many edits.
+            if not root or edits and edits_for(len(word) + edits) < edits:
                 continue
-            if "ends" in node and (used := automaton.edits_at_end(state)) is not None and used <= edits_for(len(node["ends"][0])):
-                term, weight = node["ends"]
-                if best is None or (weight * 0.85**used, -used) > (best[0] * 0.85 ** best[1], -best[1]):
-                    best = (weight, used, term)
-            stack += [(below, automaton.step(state, c)) for c, below in node.items() if len(c) == 1]
+            automaton = Automaton(word, 0 if known else edits, swaps=True)
+            stack = [(root, automaton.start())]
+            while stack:
+                node, state = stack.pop()
+                for kind, used in (("begins", automaton.edits_so_far), ("ends", automaton.edits_at_end)):
+                    if kind in node and (n := used(state)) is not None:
+                        term, weight = node[kind]
+                        if best is None or (weight * 0.85**n, -n) > (best[0] * 0.85 ** best[1], -best[1]):
+                            best = (weight, n, term)
+                for c, below in node.items():
+                    if len(c) == 1 and any(after := automaton.step(state, c)):
+                        stack.append((below, after))
         return best
 
     def match(self, token: str) -> tuple[float, int, str] | None:

@@ -114,3 +114,12 @@ def test_prior_of_a_mixture():
     model = quality_model.PuModel(p, u)
     assert abs(model.prior - 0.5) < 0.08
     assert ((model.scores(u) > 0.5) == (u.sum(axis=1) > 0)).mean() > 0.95
+
+
+def test_misspelled_terms_are_found_at_any_place():
+    """The term gives the edits: letters dropped, changed or swapped at the first letter, too, and in beginnings; signs inside."""
+    lexicon = toxicity.Lexicon([("idiot", False, 1.0), ("disgusting", False, 1.0), ("lowei", True, 1.0)], {"riot"})
+    want = {"idot": ("idiot", 1), "diiot": ("idiot", 1), "idito": ("idiot", 1), "xdiot": ("idiot", 1), "diot": ("idiot", 1)}
+    want |= {"idgsusting": ("disgusting", 2), "loweis": ("lowei", 0), "loewist": ("lowei", 1), "oweist": ("lowei", 1), "i.d.i.o.t": ("idiot", 0), "id-i0t!": ("idiot", 0)}
+    assert {w: (x := lexicon.match(w)) and (x[2], x[1]) for w in want} == want
+    assert [lexicon.match(w) for w in ("riot", "dot", "iddoot", "lwos", "custom")] == [None] * 5
