@@ -617,7 +617,7 @@ SELECT id, s >= 0.4 AS is_duplicate, s AS similarity, CASE WHEN s >= 0.4 THEN ot
 def dedupe_insert(spark, d):
     rows = vectors(spark, d)
     new = rows.where("id % 20 = 0").select(F.col("id").alias("pos"), "id", "vector")
-    return similarity.add_if_new(rows.where("id % 20 = 1"), new, 0.35)
+    return similarity.add_if_new(rows.where("id % 20 > 0"), new, 0.35)
 
 
 @query
@@ -675,6 +675,16 @@ s AS (SELECT file, session, sum(3 + k + old::INT) AS n_lines, sum(16 + 20 + 5 *
 SELECT file, session::BIGINT AS session, 'please-look-at-it' AS subject, file || '_part' || CASE WHEN session < 10 THEN '0' || session ELSE substr(session::VARCHAR, 1, 2) END || '_unknown_please-look-at-it.txt' AS file_name, n_chars::BIGINT AS n_chars FROM s WHERE n_lines >= 10"""
 
 
+@query
+def session_split_texts(spark, d):
+    """Every document with its whole text, each a file of its own: a session before the text and one that holds it."""
+    opened = F.lit("* Session start\n> please look at it\n" + "line\n" * 8)
+    body = F.concat(opened, opened, F.coalesce("text", F.lit("")))
+    files = t(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), body.alias("text"))
+    rows = transcripts.split_sessions(files, "* Session start", people=("Alice",))
+    return rows.select("file", "session", "subject", "file_name", F.length("content").cast("long").alias("n_chars"), "content")
+
+
 @query
 def session_checkpoints(spark, d):
     rows = t(spark, d, "events").select(F.concat(F.lit("s/"), F.col("user_id").cast("string")).alias("session_id"), F.when(F.col("event_type") == "error", "assistant").otherwise("user").alias("role"), F.col("event_type").alias("content"), "ts", F.col("event_id").alias("id"))
