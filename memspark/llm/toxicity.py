@@ -60,6 +60,14 @@ def edits_for(length: int) -> int:
     return 0 if length < 5 else 1 if length < 9 else 2
 
 
+def letters(word: str) -> int:
+    """A bit for each letter; letters may share one."""
+    out = 0
+    for c in word:
+        out |= 1 << ord(c) % 64
+    return out
+
+
 class Automaton:
     """Accepts what lies within ``edits`` of a word; a state is a tuple of bit sets. With ``swaps`` two neighbours that
     changed places are one edit: further sets, one per number of edits, hold where the first of two has been read."""
@@ -99,8 +107,12 @@ class Lexicon:
         self.terms, self.exceptions = terms, set(exceptions)
         #: A trie for the terms of each number of edits, so that no branch is walked with more than its terms give.
         self.roots: list[dict] = [{}, {}, {}]
+        #: By a trie's first letters: letters and lengths of the terms below. A branch is walked if one of them can be near.
+        self.shapes: list[dict[str, list]] = [{}, {}, {}]
         for term, beginning, weight in terms:
             node = self.roots[edits_for(len(term))]
+            shape = (letters(term), len(term), math.inf if beginning else len(term))
+            self.shapes[edits_for(len(term))].setdefault(term[0], []).append(shape)
             for c in term:
                 node = node.setdefault(c, {})
             node["begins" if beginning else "ends"] = (term, weight)
@@ -109,20 +121,26 @@ class Lexicon:
     def near(self, word: str) -> tuple[float, int, str] | None:
         """(weight, edits, term) of the best term for a word."""
         best = None
-        known = word in self.exceptions
+        known, own, n = word in self.exceptions, letters(word), len(word)
         for edits, root in enumerate(self.roots):
             # A word this short is too far from every term that gives so many edits.
             if not root or edits and edits_for(len(word) + edits) < edits:
                 continue
-            automaton = Automaton(word, 0 if known else edits, swaps=True)
-            stack = [(root, automaton.start())]
+            used_most = 0 if known else edits
+            # An edit brings in one missing letter and changes the length by one at most.
+            walked = [c for c, some in self.shapes[edits].items() if any((x & ~own).bit_count() <= used_most and a - used_most <= n <= b + used_most for x, a, b in some)]
+            if not walked:
+                continue
+            automaton = Automaton(word, used_most, swaps=True)
+            start = automaton.start()
+            stack = [(root[c], automaton.step(start, c)) for c in walked]
             while stack:
                 node, state = stack.pop()
                 for kind, used in (("begins", automaton.edits_so_far), ("ends", automaton.edits_at_end)):
-                    if kind in node and (n := used(state)) is not None:
+                    if kind in node and (took := used(state)) is not None:
                         term, weight = node[kind]
-                        if best is None or (weight * 0.85**n, -n) > (best[0] * 0.85 ** best[1], -best[1]):
-                            best = (weight, n, term)
+                        if best is None or (weight * 0.85**took, -took) > (best[0] * 0.85 ** best[1], -best[1]):
+                            best = (weight, took, term)
                 for c, below in node.items():
                     if len(c) == 1 and any(after := automaton.step(state, c)):
                         stack.append((below, after))
