@@ -1,13 +1,77 @@
-"""Helpers of the Arrow functions: batches of bounded bytes, and bounded memos of what a worker has worked out."""
+"""Helpers of the Arrow functions: slices of bounded bytes, and bounded memos of what a worker has worked out."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 #: Bytes of text that an Arrow function works on at once.
 SLICE_BYTES = 4 << 20
+#: Characters of a long text that are split into words or pieces at once.
+PART_CHARS = 1 << 20
+_SPLIT = re.compile("(?<! ) ")
+#: Arrow types of ids that keep their type; others are passed on as text.
+ID_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}
+
+
+def slices(batch: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[str]]:
+    """The texts of a batch (null: empty) in consecutive slices of at most ``most`` UTF-8 bytes; one longer text is a slice
+    of its own. Only one slice at a time stands in memory as Python strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, n = 0, len(batch)
+    while at < n:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield [x or "" for x in batch.slice(at, to - at).to_pylist()]
+        at = to
+
+
+def blank_parts(text: str, most: int = PART_CHARS) -> Iterator[str]:
+    """A text cut at first blanks of runs of blanks, which are left out, into parts of about ``most`` characters."""
+    at = 0
+    while len(text) - at > most:
+        found = _SPLIT.search(text, at + most)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.end()
+    yield text[at:] if at else text
+
+
+def unused(columns: list[str], name: str) -> str:
+    """The name, made longer until none of the columns has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def id_type(kind: str) -> str:
+    """The type in which ids of a column of this type are passed on."""
+    return kind if kind in ID_TYPES else "string"
+
+
+class Memo(dict):
+    """A dict for pure results, at most ``most`` entries over what the current batch needs."""
+
+    def __init__(self, work: Callable[[list], list], most: int = 500_000):
+        super().__init__()
+        self.work, self.most = work, most
+
+    def fill(self, keys: set) -> None:
+        missing = [k for k in keys if k not in self]
+        if len(self) + len(missing) > self.most:
+            held = {k: self[k] for k in keys if k in self}
+            self.clear()
+            self.update(held)
+        if missing:
+            self.update(zip(missing, self.work(missing), strict=True))
+
+
 #: Rows that the JVM puts in one Arrow batch, unless the session asks for fewer.
 BATCH_ROWS = 1000
 
@@ -32,20 +96,3 @@ def by_bytes(texts: list[str], most: int = SLICE_BYTES) -> Iterator[list[str]]:
         size += len(text)
     if part:
         yield part
-
-
-class Memo(dict):
-    """A dict for pure results, at most ``most`` entries over what the current batch needs."""
-
-    def __init__(self, work: Callable[[list], list], most: int = 500_000):
-        super().__init__()
-        self.work, self.most = work, most
-
-    def fill(self, keys: set) -> None:
-        missing = [k for k in keys if k not in self]
-        if len(self) + len(missing) > self.most:
-            held = {k: self[k] for k in keys if k in self}
-            self.clear()
-            self.update(held)
-        if missing:
-            self.update(zip(missing, self.work(missing), strict=True))
