@@ -1,17 +1,24 @@
 """Toxicity: a learned lexicon in a trie, met by Levenshtein automata, and scores of the words around each hit.
 
-1. The lexicon is learned from labelled rows of the training folds: words, and beginnings of words, whose texts are nearly
-   all toxic. Words of clean texts that lie within the edits of a term are kept as exceptions.
-2. For a word of a text, an automaton whose states are sets of bits (one set per number of edits; bit i: i characters of
-   the word are used) walks down the trie from its root. It accepts terms within 0 edits (of terms under 5 letters), 1, or 2
-   (from 9 letters), learned beginnings before any rest of the word; two letters that changed places are one edit. Digits and
-   signs that stand for letters are read as those first, and signs inside a word are also left out.
+1. The lexicon is learned from labelled rows of the training folds: words, and beginnings of words, that stand almost only
+   in toxic texts, outside quotation marks; a term's weight is the share of them. Words of clean texts that lie within the
+   edits of a term are kept as exceptions; a term that lies among many such words (`CROWD`) gets no edits.
+2. The Levenshtein automaton of the lexicon's trie reads a word letter by letter. A state is a set of places in the trie,
+   each with the edits spent so far; two letters that changed places are one edit. It accepts terms within 0 edits (of terms
+   under 5 letters), 1, or 2 (from 9 letters), and beginnings within as many before any rest of the word. States are made
+   when a word first needs them and are kept, so most letters of most words are one look-up. Digits and signs that
+   stand for letters are read as those, too, and signs inside a word are also left out.
 3. Each hit has a severity: the term's weight, less for every edit, less inside quotation marks or after a verb of saying
    within the window, more beside a word of address. A text's severities give four numbers to a small logistic model.
 
-At most `MOST_LABELLED` labelled rows (by a hash of the id) are learned from, and the lexicon has at most `MOST_TERMS` terms;
-every text is scored whole. Without labelled rows of both kinds every score is 0. Null, empty and wordless texts score as
-texts without hits. Repeated rows get equal scores; in the model's fit, rows of one id count once.
+At most `MOST_LABELLED` labelled rows (by a hash of the id) are learned from; every text is scored whole. What bounds the
+lexicon is evidence, not a count: a term must stand in at least `LEAST` toxic texts of the sample, after `CONTEXTS` different
+words, and be so much likelier in toxic texts that chance would give its counts less than once in a million (`EVIDENCE`).
+Words of over 40 letters aren't learned. Without labelled rows of both kinds every score is 0.
+
+Null, empty and wordless texts score as texts without hits. Repeated rows get equal scores; in the model's fit, rows of one
+id count once. Of equally good terms the first by name counts. An empty table gives an empty table; the input's own columns
+stay, but for those of the result's names.
 """
 
 from __future__ import annotations
@@ -26,15 +33,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.batches import Memo, limit_arrow_batches
+from memspark.llm.batches import Memo, slices
 from memspark.llm.samples import adam, first_by_hash, fold, sigmoid
 
 MOST_LABELLED = 10_000
-MOST_TERMS = 2_000
 FOLDS, HELD_OUT = 5, 0
 WINDOW = 8
-CONTEXTS = 4
+LEAST, CONTEXTS = 4, 4
+#: Natural logarithm of how much likelier a term's counts are at its own share of toxic texts than at the sample's.
+EVIDENCE = 14.0
 PREFIX = range(4, 9)
+#: A term is met as it stands only if so many more words of clean texts than of toxic ones are near it.
+CROWD = 3
+#: States of the automaton that a worker keeps.
+MOST_STATES = 100_000
 
 LOOKALIKE = str.maketrans("013457@$!|", "oieastasii")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -60,95 +72,145 @@ def edits_for(length: int) -> int:
     return 0 if length < 5 else 1 if length < 9 else 2
 
 
-def letters(word: str) -> int:
-    """A bit for each letter; letters may share one."""
-    out = 0
-    for c in word:
-        out |= 1 << ord(c) % 64
-    return out
-
+def better(a: tuple | None, b: tuple | None) -> tuple | None:
+    """Of two (weight, edits, term) the one that counts more."""
+    if a is None or b is None:
+        return a or b
+    return min(a, b, key=lambda x: (-x[0] * 0.85 ** x[1], x[1], x[2]))
 
-class Automaton:
-    """Accepts what lies within ``edits`` of a word; a state is a tuple of bit sets. With ``swaps`` two neighbours that
-    changed places are one edit: further sets, one per number of edits, hold where the first of two has been read."""
 
-    def __init__(self, word: str, edits: int, swaps: bool = False):
-        self.edits, self.swaps, self.final = edits, swaps, 1 << len(word)
-        self.full = (self.final << 1) - 1
-        self.masks: dict[str, int] = {}
-        for i, c in enumerate(word):
-            self.masks[c] = self.masks.get(c, 0) | 1 << i
+class State:
+    """Places in the trie, each as node * 4 + edits, and half-read swaps; what they accept; the states after each letter."""
 
-    def start(self) -> tuple[int, ...]:
-        return tuple((1 << e + 1) - 1 & self.full for e in range(self.edits + 1)) + (0,) * (self.edits if self.swaps else 0)
+    __slots__ = ("begins", "ends", "next", "places", "swaps")
 
-    def step(self, state: tuple[int, ...], char: str) -> tuple[int, ...]:
-        mask = self.masks.get(char, 0)
-        out = [(state[0] & mask) << 1]
-        for e in range(1, self.edits + 1):
-            swapped = (state[self.edits + e] & mask) << 2 if self.swaps else 0
-            out.append(((state[e] & mask) << 1 | state[e - 1] | state[e - 1] << 1 | out[e - 1] << 1 | swapped) & self.full)
-        if self.swaps:
-            out += [state[e - 1] & mask >> 1 for e in range(1, self.edits + 1)]
-        return tuple(out)
+    def __init__(self, places: dict[int, int], swaps: frozenset):
+        self.places, self.swaps = places, swaps
+        self.next: dict[str, State] = {}
+        self.ends = self.begins = None
 
-    def edits_so_far(self, state: tuple[int, ...]) -> int | None:
-        """The least edits between what has been read and any beginning of the word."""
-        return next((e for e in range(self.edits + 1) if state[e]), None)
 
-    def edits_at_end(self, state: tuple[int, ...]) -> int | None:
-        return next((e for e in range(self.edits + 1) if state[e] & self.final), None)
+class Automaton:
+    """Accepts what lies within a number of edits of the terms of a trie. ``terms``: (term, edits, is a beginning, weight), or
+    one term, of which ``edits`` are allowed. With ``swaps`` two neighbours that changed places are one edit."""
+
+    def __init__(self, terms: str | list[tuple[str, int, bool, float]], edits: int = 0, swaps: bool = False):
+        self.swaps = swaps
+        # Terms with different numbers of edits have tries of their own, so that a place knows how many it has left.
+        self.below: list[dict[str, int]] = []
+        self.limit: list[int] = []
+        self.ends: dict[int, tuple] = {}
+        self.begins: dict[int, tuple] = {}
+        roots: dict[int, int] = {}
+        for term, most, beginning, weight in [(terms, edits, False, 1.0)] if isinstance(terms, str) else terms:
+            node = roots[most] if most in roots else roots.setdefault(most, self.node(most))
+            for c in term:
+                if c not in self.below[node]:
+                    self.below[node][c] = self.node(most)
+                node = self.below[node][c]
+            (self.begins if beginning else self.ends)[node] = (weight, term)
+        self.roots = list(roots.values())
+        self.known: dict[tuple, State] = {}
+        self.first = self.state(self.closed({root: 0 for root in self.roots}), frozenset())
+
+    def node(self, most: int) -> int:
+        self.below.append({})
+        self.limit.append(most)
+        return len(self.below) - 1
+
+    def closed(self, places: dict[int, int]) -> dict[int, int]:
+        """With the places that leaving letters out of the word leads to."""
+        todo = list(places.items())
+        while todo:
+            node, spent = todo.pop()
+            if places[node] == spent < self.limit[node]:
+                for child in self.below[node].values():
+                    if spent + 1 < places.get(child, 99):
+                        places[child] = spent + 1
+                        todo.append((child, spent + 1))
+        return places
+
+    def state(self, places: dict[int, int], swaps: frozenset) -> State:
+        key = (frozenset(places.items()), swaps)
+        found = self.known.get(key)
+        if found is None:
+            found = State(places, swaps)
+            for accepted, name in ((self.ends, "ends"), (self.begins, "begins")):
+                best = None
+                for node, spent in places.items():
+                    if node in accepted:
+                        best = better(best, (accepted[node][0], spent, accepted[node][1]))
+                setattr(found, name, best)
+            if len(self.known) >= MOST_STATES:
+                # States in use live on; the others are made again when they are needed.
+                for old in self.known.values():
+                    old.next.clear()
+                self.known.clear()
+            self.known[key] = found
+        return found
+
+    def start(self) -> State:
+        return self.first
+
+    def step(self, state: State, char: str) -> State:
+        out: dict[int, int] = {}
+        half = []
+
+        def put(node: int, spent: int) -> None:
+            if spent < out.get(node, 99):
+                out[node] = spent
+
+        for node, spent in state.places.items():
+            below = self.below[node]
+            if (child := below.get(char)) is not None:
+                put(child, spent)
+            if spent < self.limit[node]:
+                put(node, spent + 1)
+                for letter, child in below.items():
+                    put(child, spent + 1)
+                    if self.swaps and letter != char and (last := self.below[child].get(char)) is not None:
+                        half.append((last, letter, spent + 1))
+        for last, letter, spent in state.swaps:
+            if letter == char:
+                put(last, spent)
+        found = self.state(self.closed(out), frozenset(half))
+        state.next[char] = found
+        return found
+
+    def edits_at_end(self, state: State) -> int | None:
+        return state.ends and state.ends[1]
+
+    def best(self, word: str) -> tuple[float, int, str] | None:
+        """(weight, edits, term) of the best term for a word."""
+        state, best = self.first, None
+        for c in word:
+            state = state.next.get(c) or self.step(state, c)
+            if state.begins:
+                best = better(best, state.begins)
+            if not state.places and not state.swaps:
+                return best
+        return better(best, state.ends)
 
 
 class Lexicon:
-    """terms: (term, is a beginning, weight); exceptions: clean words near a term."""
-
-    def __init__(self, terms: list[tuple[str, bool, float]], exceptions: set[str] = frozenset()):
-        self.terms, self.exceptions = terms, set(exceptions)
-        #: A trie for the terms of each number of edits, so that no branch is walked with more than its terms give.
-        self.roots: list[dict] = [{}, {}, {}]
-        #: By a trie's first letters: letters and lengths of the terms below. A branch is walked if one of them can be near.
-        self.shapes: list[dict[str, list]] = [{}, {}, {}]
-        for term, beginning, weight in terms:
-            node = self.roots[edits_for(len(term))]
-            shape = (letters(term), len(term), math.inf if beginning else len(term))
-            self.shapes[edits_for(len(term))].setdefault(term[0], []).append(shape)
-            for c in term:
-                node = node.setdefault(c, {})
-            node["begins" if beginning else "ends"] = (term, weight)
-        self.memo = Memo(lambda tokens: [self.match(x) for x in tokens])
+    """terms: (term, is a beginning, weight); exceptions: clean words near a term, which match terms as they stand only;
+    exact: terms that are met as they stand only."""
+
+    def __init__(self, terms: list[tuple[str, bool, float]], exceptions: set[str] = frozenset(), exact: set[str] = frozenset()):
+        self.terms, self.exceptions, self.exact = terms, set(exceptions), set(exact)
+        self.automaton = Automaton([(t, 0 if t in exact else edits_for(len(t)), begins, weight) for t, begins, weight in terms], swaps=True)
+        self.plain = Automaton([(t, 0, begins, weight) for t, begins, weight in terms])
+        self.memo = Memo(lambda tokens: [self.match(x) for x in tokens], 200_000)
 
     def near(self, word: str) -> tuple[float, int, str] | None:
         """(weight, edits, term) of the best term for a word."""
-        best = None
-        known, own, n = word in self.exceptions, letters(word), len(word)
-        for edits, root in enumerate(self.roots):
-            # A word this short is too far from every term that gives so many edits.
-            if not root or edits and edits_for(len(word) + edits) < edits:
-                continue
-            used_most = 0 if known else edits
-            # An edit brings in one missing letter and changes the length by one at most.
-            walked = [c for c, some in self.shapes[edits].items() if any((x & ~own).bit_count() <= used_most and a - used_most <= n <= b + used_most for x, a, b in some)]
-            if not walked:
-                continue
-            automaton = Automaton(word, used_most, swaps=True)
-            start = automaton.start()
-            stack = [(root[c], automaton.step(start, c)) for c in walked]
-            while stack:
-                node, state = stack.pop()
-                for kind, used in (("begins", automaton.edits_so_far), ("ends", automaton.edits_at_end)):
-                    if kind in node and (took := used(state)) is not None:
-                        term, weight = node[kind]
-                        if best is None or (weight * 0.85**took, -took) > (best[0] * 0.85 ** best[1], -best[1]):
-                            best = (weight, took, term)
-                for c, below in node.items():
-                    if len(c) == 1 and any(after := automaton.step(state, c)):
-                        stack.append((below, after))
-        return best
+        return (self.plain if word in self.exceptions else self.automaton).best(word)
 
     def match(self, token: str) -> tuple[float, int, str] | None:
-        found = [x for x in map(self.near, parts(token)) if x]
-        return max(found, key=lambda x: (x[0] * 0.85 ** x[1], x[2]), default=None)
+        best = None
+        for word in parts(token):
+            best = better(best, self.near(word))
+        return best
 
     def hits(self, text: str | None) -> tuple[int, list[dict]]:
         """The number of words, and each hit with its severity in context."""
@@ -205,75 +267,92 @@ class ToxicModel:
         return sigmoid(np.hstack([x, np.ones((len(x), 1))]) @ self.weights)
 
 
+def first_places(tokens: list[str]) -> dict[str, int]:
+    """Each token's first place outside quotation, if it has one."""
+    quoted: set[int] = set()
+    for i in (i for i, x in enumerate(tokens) if x[0] in OPENING):
+        quoted.update(j for j in range(i, min(len(tokens), i + WINDOW + 1)) if j not in quoted and Lexicon.quoted(tokens, j))
+    first: dict[str, int] = {}
+    for i, token in enumerate(tokens):
+        if i not in quoted:
+            first.setdefault(token, i)
+    return first
+
+
 def words_in_context(text: Column) -> Column:
-    """Each distinct word of a text once, and one of 63 bits that the token before it gives."""
+    """Each distinct word that a text has outside quotation once, and one of 63 bits that the token before it gives."""
 
     @F.arrow_udf("array<struct<word:string,before:bigint>>")
     def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("word", pa.string()), ("before", pa.int64())]))
         for batch in batches:
             out = []
-            for text in batch.to_pylist():
-                tokens = (text or "").lower().split()
-                first = {}
-                for before, token in zip(["", *tokens], tokens, strict=False):
-                    first.setdefault(token, before)
-                found = {w: 1 << zlib.crc32(before.encode()) % 63 for token, before in first.items() for w in parts(token) if len(w) <= 40}
+            for text in (x for part in slices(batch) for x in part):
+                tokens = text.lower().split()
+                found = {w: 1 << zlib.crc32((tokens[i - 1] if i else "").encode()) % 63 for token, i in first_places(tokens).items() for w in parts(token) if len(w) <= 40}
                 out.append([{"word": w, "before": n} for w, n in found.items()])
             yield pa.array(out, type=kind)
 
     return words(text)
 
 
-def learn_lexicon(sample: DataFrame, least_share: float = 0.01, precision: float = 0.9, most: int = MOST_TERMS) -> Lexicon:
-    """sample: (text, toxic). Terms stand in at least 4 and ``least_share`` of the toxic texts, and after at least
-    `CONTEXTS` different words: what copies of one text share stands after one."""
+def learn_lexicon(sample: DataFrame, precision: float = 0.9, least: int = LEAST, evidence: float = EVIDENCE) -> Lexicon:
+    """sample: (text, toxic). See the module's docstring for what makes a term. What copies of one text share stands after
+    one word and is no term."""
+    counts = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    base = min(0.99, max(0.01, counts.get(1, 0) / max(1, sum(counts.values()))))
     context = F.bit_or(F.when(F.col("toxic") == 1, F.col("w.before")).otherwise(0)).alias("contexts")
     seen = sample.select("toxic", F.explode(words_in_context(F.col("text"))).alias("w")).groupBy(F.col("w.word").alias("word")).agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"), context).persist()
-    toxic = sample.where("toxic = 1").count()
-    least = max(4, least_share * toxic)
-    enough = (F.bit_count("contexts") >= CONTEXTS) & (F.col("pos") >= least) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg")))
-    words = {r["word"]: r["pos"] for r in seen.where(enough & (F.length("word") >= 3)).orderBy(F.desc("pos"), "word").limit(most).collect()}
+    share = (F.col("pos") + 0.5) / (F.col("pos") + F.col("neg") + 1)
+    ratio = F.col("pos") * F.log(share / base) + F.col("neg") * F.log((1 - share) / (1 - base))
+    enough = (F.bit_count("contexts") >= CONTEXTS) & (F.col("pos") >= least) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg"))) & (ratio >= evidence)
+    # Each term has several toxic texts of the bounded sample, so that there are far fewer terms than words in those.
+    words = {r["word"]: r["share"] for r in seen.where(enough & (F.length("word") >= 3)).select("word", share.alias("share")).collect()}
     begins = seen.select("pos", "neg", "contexts", F.explode(F.array(*(F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in PREFIX))).alias("begin")).where("begin is not null")
     begins = begins.groupBy("begin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.bit_or("contexts").alias("contexts"), F.count("*").alias("forms")).where(enough)
-    found = {r["begin"]: (r["pos"], r["forms"]) for r in begins.orderBy(F.desc("pos"), "begin").limit(most * len(PREFIX)).collect()}
-    terms = [(w, False, n) for w, n in words.items()]
-    for begin, (n, forms) in found.items():
+    found = {r["begin"]: (r["pos"], r["forms"], r["share"]) for r in begins.select("begin", "pos", "forms", share.alias("share")).collect()}
+    longer: dict[str, int] = {}
+    for begin, (n, _, _) in found.items():
+        for k in (k for k in PREFIX if k < len(begin)):
+            longer[begin[:k]] = max(n, longer.get(begin[:k], 0))
+    chosen: dict[str, float] = {}
+    for begin, (n, forms, weight) in sorted(found.items(), key=lambda x: (len(x[0]), x[0])):
         # A beginning counts where many forms share it and none of its own longer beginnings has as many texts.
-        longer = max((m for b, (m, _) in found.items() if len(b) > len(begin) and b.startswith(begin)), default=0)
         shorter = any(found[begin[:k]][0] < 1.2 * n for k in PREFIX if k < len(begin) and begin[:k] in found)
-        if forms >= 5 and longer < 0.9 * n and not shorter or forms >= 5 and longer < 0.6 * n:
-            terms.append((begin, True, n))
-    begun: tuple[str, ...] = ()
-    for term, _, _ in sorted((t for t in terms if t[1]), key=lambda t: len(t[0])):
-        begun += () if term.startswith(begun) else (term,)
-    terms = [(t, b, 1.0) for t, b, _ in terms if t in begun or not b and not t.startswith(begun)][:most]
-    lexicon = Lexicon(terms)
-
-    @F.arrow_udf("boolean")
+        own = longer.get(begin, 0) < (0.6 if shorter else 0.9) * n
+        if forms >= 5 and own and not any(begin[:k] in chosen for k in PREFIX if k < len(begin)):
+            chosen[begin] = weight
+    covered = lambda word: any(word[:k] in chosen for k in PREFIX if k <= len(word))
+    terms = sorted([(w, False, n) for w, n in words.items() if not covered(w)] + [(b, True, n) for b, n in chosen.items()])
+
+    @F.arrow_udf("string")
     def near_term(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lexicon = Lexicon(terms)
         for batch in batches:
-            yield pa.array([(x := lexicon.near(w)) is not None and x[1] > 0 for w in batch.to_pylist()])
+            yield pa.array([x[2] if (x := lexicon.near(w)) is not None and x[1] else None for w in batch.to_pylist()], type=pa.string())
 
-    clean = seen.where("neg > 0 and pos < 0.5 * (pos + neg)").where(F.length("word") >= 4).where(near_term(F.col("word"))).orderBy(F.desc("neg"), "word").limit(10 * most).collect()
+    clean = (F.col("neg") > 0) & (F.col("pos") < 0.5 * (F.col("pos") + F.col("neg")))
+    near = seen.where(F.length("word") >= 4).select("word", clean.alias("clean"), near_term(F.col("word")).alias("term")).where("term is not null").collect()
     seen.unpersist()
-    return Lexicon(terms, {r["word"] for r in clean})
+    crowd: dict[str, int] = {}
+    for r in near:
+        crowd[r["term"]] = crowd.get(r["term"], 0) + (1 if r["clean"] else -1)
+    return Lexicon(terms, {r["word"] for r in near if r["clean"]}, {t for t, n in crowd.items() if n >= CROWD})
 
 
 def feature_column(text: Column, lexicon: Lexicon) -> Column:
-    plain = (lexicon.terms, lexicon.exceptions)
+    plain = (lexicon.terms, lexicon.exceptions, lexicon.exact)
 
     @F.arrow_udf("array<double>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Lexicon(*plain)
         for batch in batches:
-            yield pa.array([own.features(x) for x in batch.to_pylist()], type=pa.list_(pa.float64()))
+            yield pa.array([own.features(x) for part in slices(batch) for x in part], type=pa.list_(pa.float64()))
 
     return made(text)
 
 
 def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_LABELLED, folds: int = FOLDS, held_out: int = HELD_OUT) -> ToxicModel | None:
-    limit_arrow_batches(df.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out)).groupBy("doc_id").agg(F.max(label).alias("toxic"))
     # The bound of the sample is the bound of what is broadcast.
     sample = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(first_by_hash(known, most, 3)), "doc_id").persist()
@@ -292,13 +371,13 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
 def score_column(text: Column, model: ToxicModel | None) -> Column:
     if model is None:
         return F.lit(0.0)
-    plain, weights = (model.lexicon.terms, model.lexicon.exceptions), model.weights
+    plain, weights = (model.lexicon.terms, model.lexicon.exceptions, model.lexicon.exact), model.weights
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Lexicon(*plain)
         for batch in batches:
-            x = np.array([[*own.features(x), 1.0] for x in batch.to_pylist()]).reshape(-1, 5)
+            x = np.array([[*own.features(x), 1.0] for part in slices(batch) for x in part]).reshape(-1, 5)
             yield pa.array(sigmoid(x @ weights))
 
     return scored(text)
@@ -306,7 +385,7 @@ def score_column(text: Column, model: ToxicModel | None) -> Column:
 
 def find_hits(text: Column, lexicon: Lexicon) -> Column:
     """The hits themselves: word index, term, edits, quoted, severity."""
-    plain = (lexicon.terms, lexicon.exceptions)
+    plain = (lexicon.terms, lexicon.exceptions, lexicon.exact)
     kind = "array<struct<at:bigint,term:string,edits:bigint,quoted:boolean,severity:double>>"
 
     @F.arrow_udf(kind)
@@ -314,7 +393,7 @@ def find_hits(text: Column, lexicon: Lexicon) -> Column:
         own = Lexicon(*plain)
         row = pa.struct([("at", pa.int64()), ("term", pa.string()), ("edits", pa.int64()), ("quoted", pa.bool_()), ("severity", pa.float64())])
         for batch in batches:
-            yield pa.array([own.hits(x)[1] for x in batch.to_pylist()], type=pa.list_(row))
+            yield pa.array([own.hits(x)[1] for part in slices(batch) for x in part], type=pa.list_(row))
 
     return hits(text)
 
