@@ -1,7 +1,8 @@
 """Shards by a consistent-hash ring with virtual nodes and bounded loads, by DataFrame functions only.
 
 The ring has `CELLS` cells; each shard holds `VNODES` virtual nodes at hashed cells, and a cell belongs to the next virtual
-node clockwise. A row's cell is a hash of its key. Shards have a capacity; what comes to a full shard goes on clockwise to
+node clockwise. A row's cell is a hash of its id, its text's checksum and size, so that rows of one id, or without one, are
+spread like others. Shards have a capacity; what comes to a full shard goes on clockwise to
 the next node of a shard with room. With capacities that add up to the rows exactly (`law` rows) every shard ends full, so
 counts are at most one apart; with `law` bytes a shard's capacity is its share of the bytes and `slack`, and a shard
 overruns it by part of one text per cell at most.
@@ -10,6 +11,10 @@ Which part of a cell goes where follows from the cells' loads alone. Those are o
 reach the driver, and the table of parts that comes back (at most `CELLS` + shards x virtual nodes rows) is broadcast.
 Rows are put in order within their own cell only.
 
+How much moves when a shard is added depends on the slack. With none (law `rows`) the shards' ends push each other on: of
+the rows about a tenth move, a third of those between old shards. With a slack of a quarter half as many move, nearly all to
+the new shard. The tests hold both.
+
 A null text has no bytes (size 1). Equal rows are interchangeable; each gets a slot of its own. An empty table gives an empty
 result. The input's other columns are not returned.
 """
@@ -80,7 +85,8 @@ def shard(df: DataFrame, shards: int = 16, law: str = "rows", doc_id: str = "doc
         raise ValueError("bounded loads keep the law rows or bytes")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     load = F.lit(1).cast("long") if law == "rows" else size
-    spot = F.xxhash64(F.col(doc_id))
+    crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32")
+    spot = F.xxhash64(F.col(doc_id), crc, size)
     cell = F.pmod(spot, F.lit(cells)).cast("int").alias("cell")
     loads = {r["cell"]: r["load"] for r in df.select(cell, load.alias("load")).groupBy("cell").agg(F.sum("load").alias("load")).collect()}
     parts = allocate(loads, virtual_nodes(shards, vnodes, cells), capacities(sum(loads.values()), shards, slack))
@@ -89,7 +95,6 @@ def shard(df: DataFrame, shards: int = 16, law: str = "rows", doc_id: str = "doc
     for c, s, lo, hi in sorted(parts, key=lambda p: (p[1], p[0], p[2])):
         placed.append((c, s, lo, hi, slots[s]))
         slots[s] += hi - lo
-    crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32")
     rows = df.select(F.col(doc_id).alias("doc_id"), size.alias("size"), crc, load.alias("load"), spot.alias("spot"), cell)
     order = Window.partitionBy("cell").orderBy("spot", "doc_id", "text_crc32", "size")
     rows = rows.withColumn("start", F.sum("load").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("load"))
