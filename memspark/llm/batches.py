@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
 
 #: Bytes of text that an Arrow function works on at once.
 SLICE_BYTES = 4 << 20
@@ -70,29 +69,3 @@ class Memo(dict):
             self.update(held)
         if missing:
             self.update(zip(missing, self.work(missing), strict=True))
-
-
-#: Rows that the JVM puts in one Arrow batch, unless the session asks for fewer.
-BATCH_ROWS = 1000
-
-
-def limit_arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep the JVM's Arrow batches small: documents are far wider than the rows that Spark's default is made for."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
-def by_bytes(texts: list[str], most: int = SLICE_BYTES) -> Iterator[list[str]]:
-    """Consecutive slices of about ``most`` characters; one longer text is a slice of its own."""
-    part: list[str] = []
-    size = 0
-    for text in texts:
-        if part and size + len(text) > most:
-            yield part
-            part, size = [], 0
-        part.append(text)
-        size += len(text)
-    if part:
-        yield part

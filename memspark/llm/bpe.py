@@ -4,29 +4,36 @@ A text is cut into pieces by the tokenizer's pattern; each piece is merged on it
 the rank of the pair that starts at byte ``i``, every inner node the lower of its children; going down from the root, left
 on equal ranks, finds the leftmost lowest pair. A merge changes at most three leaves (the merged token's, its left
 neighbour's and the swallowed token's) and the nodes above them. Short pieces of a batch are merged side by side in numpy
-arrays, one tree a row; long ones one after another.
+arrays, one tree a row; long ones one after another, in arrays of 4-byte numbers.
 
-Nulls and empty texts give no ids. A piece that is a whole token gives that token, as the usual library does.
+A long text is taken `PIECES` pieces at a time, so that beside the text and its ids only these stand in memory.
+
+Nulls and empty texts give no ids. A piece that is a whole token gives that token, as the usual library does. Of equal
+ranks the leftmost pair is merged. Repeated rows give equal rows; an empty table gives an empty table; the input's own
+columns stay, but for those of the result's names.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.batches import Memo, by_bytes, limit_arrow_batches
+from memspark.llm.batches import PART_CHARS, Memo, slices
 
 NONE = np.int32(2**31 - 1)
 #: Pieces of at most so many bytes are merged side by side.
 SIDE_BY_SIDE = 64
 #: Pieces whose ids a worker keeps, beside those of its current batch.
 MEMO_PIECES = 150_000
+#: Pieces of one long text that are encoded at once.
+PIECES = 100_000
 
 
 def rank_file(path: str | None = None) -> str:
@@ -64,7 +71,7 @@ class Merges:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], np.array(list(self.pairs.values()), dtype=np.int32)[order]
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.find = regex.compile(split_pattern(pattern)).findall
+        self.pattern = regex.compile(split_pattern(pattern))
         self.memo = Memo(self.encode_pieces, MEMO_PIECES)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -74,17 +81,22 @@ class Merges:
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], NONE)
 
     def merge_one(self, piece: bytes) -> list[int]:
-        """The ids of one piece; its tree is a list."""
+        """The ids of one piece."""
         n = len(piece)
         size = 1 << max(0, (n - 1).bit_length())
-        token = [int(self.of_byte[b]) for b in piece]
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        start = self.of_byte[np.frombuffer(piece, dtype=np.uint8)]
+        token = array("i", start.astype("i").tobytes())
+        before, after = array("i", range(-1, n - 1)), array("i", range(1, n + 1))
+        after[n - 1] = -1
         none = int(NONE)
-        tree = [none] * (2 * size)
-        for i in range(n - 1):
-            tree[size + i] = self.pairs.get((token[i], token[i + 1]), none)
-        for k in range(size - 1, 0, -1):
-            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+        leaves = np.full(size, NONE, dtype="i")
+        for at in range(0, n - 1, 1 << 20):
+            to = min(at + (1 << 20), n - 1)
+            leaves[at:to] = self.rank_of(start[at:to], start[at + 1 : to + 1])
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        tree = array("i", np.concatenate([np.full(1, NONE, dtype="i"), *reversed(levels)]).tobytes())
 
         def put(i: int, rank: int) -> None:
             k = size + i
@@ -180,13 +192,23 @@ class Merges:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.find(x) for x in texts]
-        self.memo.fill(set(chain.from_iterable(pieces)))
+        if sum(map(len, texts)) > 2 * PART_CHARS and len(texts) > 1:
+            half = len(texts) // 2
+            return self.encode(texts[:half]) + self.encode(texts[half:])
         get = self.memo.__getitem__
+        if len(texts) == 1 and len(texts[0]) > PART_CHARS:
+            found, ids = (m[0] for m in self.pattern.finditer(texts[0])), []
+            while part := list(islice(found, PIECES)):
+                self.memo.fill(set(part))
+                ids.append(b"".join(map(get, part)))
+            return [b"".join(ids)]
+        pieces = [self.pattern.findall(x) for x in texts]
+        self.memo.fill(set(chain.from_iterable(pieces)))
         return [b"".join(map(get, x)) for x in pieces]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        numbers, token = np.frombuffer(ids, dtype="<u4"), self.tokens.__getitem__
+        return b"".join(b"".join(map(token, numbers[at : at + PIECES].tolist())) for at in range(0, len(numbers), PIECES))
 
 
 _loaded: dict[tuple, Merges] = {}
@@ -206,8 +228,7 @@ def encode_ids(text: Column, path: str | None = None, pattern: str | None = None
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = merges(path, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.to_pylist()]
-            yield pa.array([ids for part in by_bytes(texts) for ids in bpe.encode(part)], type=pa.binary())
+            yield pa.array([ids for part in slices(batch) for ids in bpe.encode(part)], type=pa.binary())
 
     return encoded(text)
 
@@ -219,19 +240,17 @@ def decode_ids(ids: Column, path: str | None = None) -> Column:
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = merges(path)
         for batch in batches:
-            yield pa.array([bpe.decode(x or b"") for x in batch.to_pylist()], type=pa.binary())
+            yield pa.array((bpe.decode(x.as_py() or b"") for x in batch), type=pa.binary(), size=len(batch))
 
     return decoded(ids)
 
 
 def encode(df: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``df`` with ``token_ids`` (binary, 4 bytes an id) and ``n_tokens``; columns of these names are replaced."""
-    limit_arrow_batches(df.sparkSession)
     out = df.withColumn("token_ids", encode_ids(F.col(text), path, pattern))
     return out.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
 
 
 def decode(df: DataFrame, ids: str = "token_ids", path: str | None = None) -> DataFrame:
     """``df`` with ``decoded`` (binary): the bytes of the text, whole."""
-    limit_arrow_batches(df.sparkSession)
     return df.withColumn("decoded", decode_ids(F.col(ids), path))

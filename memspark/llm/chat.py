@@ -10,7 +10,8 @@ character spans of the formatted string: one for each assistant text.
 
 Null texts and roles count as empty. A conversation without turns formats as the empty string. Turns with the same number
 are ordered by role, then text; repeated rows are turns of their own. One conversation is one record: its turns come
-together in one task. Records whose fingerprint no layout has give null turns.
+together in one task. Records whose fingerprint no layout has give null turns, and null for all that is made of them. An
+empty table gives an empty table; other columns stay, but for those of the result's names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memspark.llm.batches import limit_arrow_batches
+from memspark.llm.batches import unused
 
 #: Where each layout has its turns. "list": a field of items with a role and a text; "turns": fields in order, those of
 #: one turn joined by a blank line; "rows": a table with a row for each turn.
@@ -109,16 +110,17 @@ def turns_of(record: Column, layout: dict) -> Column:
 def canonical_json(df: DataFrame, record: str = "record") -> DataFrame:
     """``df`` with ``layout`` and ``turns`` of a column of JSON records, each by its own fingerprint."""
     # Generators of one row, so that each record is parsed and hashed once.
-    df = df.select("*", F.explode(F.array(F.from_json(record, RECORD))).alias("__record"))
+    parsed = unused(df.columns, "__record")
+    df = df.select("*", F.explode(F.array(F.from_json(record, RECORD))).alias(parsed))
     # sort_array sorts as fingerprint() does; all paths are ASCII.
-    hashed = F.substring(F.sha2(F.array_join(F.sort_array(record_paths(F.col("__record"))), "\n"), 256), 1, 16)
+    hashed = F.substring(F.sha2(F.array_join(F.sort_array(record_paths(F.col(parsed))), "\n"), 256), 1, 16)
     names = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
     df = df.select(*(c for c in df.columns if c != "layout"), F.explode(F.array(names[hashed])).alias("layout"))
     turns = F.lit(None).cast(TURN)
     for name, layout in LAYOUTS.items():
         if "rows" not in layout:
-            turns = F.when(F.col("layout") == name, turns_of(F.col("__record"), layout)).otherwise(turns)
-    return df.withColumn("turns", turns).drop("__record")
+            turns = F.when(F.col("layout") == name, turns_of(F.col(parsed), layout)).otherwise(turns)
+    return df.withColumn("turns", turns).drop(parsed)
 
 
 def canonical_table(df: DataFrame) -> DataFrame:
@@ -180,31 +182,31 @@ def parse(formatted: str) -> list[dict]:
 
 def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
     """``df`` with ``formatted`` (string) and ``loss_spans`` (start and length in characters)."""
-    limit_arrow_batches(df.sparkSession)
     row = pa.struct([("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())])))])
 
     @F.arrow_udf("struct<formatted:string,loss_spans:array<struct<start:bigint,n:bigint>>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([dict(zip(("formatted", "loss_spans"), render(x or []), strict=True)) for x in batch.to_pylist()], type=row)
+            # One conversation at a time stands in memory as Python objects.
+            yield pa.array((None if x is None else dict(zip(("formatted", "loss_spans"), render(x), strict=True)) for x in (v.as_py() for v in batch)), type=row, size=len(batch))
 
     # A generator of one row keeps the function from being copied to each place that reads its fields.
-    return df.select(*(c for c in df.columns if c not in ("formatted", "loss_spans")), F.inline(F.array(made(F.col(turns)))))
+    kept, name = [c for c in df.columns if c not in ("formatted", "loss_spans")], unused(df.columns, "__made")
+    return df.select(*kept, F.explode(F.array(made(F.col(turns)))).alias(name)).select(*kept, f"{name}.*")
 
 
 def read_back(df: DataFrame, formatted: str = "formatted", spans: str = "loss_spans") -> DataFrame:
     """``df`` with ``read_turns`` (as the marks tell) and ``loss_text`` (all under the mask, unescaped)."""
-    limit_arrow_batches(df.sparkSession)
     row = pa.struct([("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))), ("loss", pa.string())])
 
     @F.arrow_udf(f"struct<turns:{TURN},loss:string>")
     def read(strings: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch, masks in strings:
-            out = []
-            for text, mask in zip(batch.to_pylist(), masks.to_pylist(), strict=True):
-                loss = "".join(unescape(text[x["start"] : x["start"] + x["n"]]) for x in mask)
-                out.append({"turns": parse(text), "loss": loss})
-            yield pa.array(out, type=row)
+            texts = ((a.as_py(), b.as_py()) for a, b in zip(batch, masks, strict=True))
+            told = ({"turns": parse(text), "loss": "".join(unescape(text[x["start"] : x["start"] + x["n"]]) for x in mask)} if text is not None else None for text, mask in texts)
+            yield pa.array(told, type=row, size=len(batch))
 
     kept = [c for c in df.columns if c not in ("read_turns", "loss_text")]
-    return df.select(*kept, F.inline(F.array(read(F.col(formatted), F.col(spans)))).alias("read_turns", "loss_text"))
+    name = unused(df.columns, "__read")
+    made = df.select(*kept, F.explode(F.array(read(F.col(formatted), F.col(spans)))).alias(name))
+    return made.select(*kept, F.col(f"{name}.turns").alias("read_turns"), F.col(f"{name}.loss").alias("loss_text"))

@@ -10,7 +10,8 @@ Only labels of the training folds are read, and of those only the positives. The
 and `MOST_UNLABELLED` rows of text, chosen by a hash of the id; every row is scored.
 
 Without positives every score is 0. Null, empty and blank texts have all features of an empty text and a score like any other.
-Repeated rows get equal scores; in the fit, rows of one id count once.
+Repeated rows get equal scores; in the fit, rows of one id count once. An empty table gives an empty table; the input's own
+columns stay, but for those of the result's names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.batches import limit_arrow_batches
+from memspark.llm.batches import slices
 from memspark.llm.samples import adam, first_by_hash, fold, sigmoid
 
 MOST_POSITIVE = 8_000
@@ -75,7 +76,7 @@ def feature_column(text: Column) -> Column:
     @F.arrow_udf("array<double>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([features(x) for x in batch.to_pylist()], type=pa.list_(pa.float64()))
+            yield pa.array([features(x) for part in slices(batch) for x in part], type=pa.list_(pa.float64()))
 
     return made(text)
 
@@ -127,7 +128,6 @@ class PuModel:
 
 def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, folds: int = FOLDS, held_out: int = HELD_OUT) -> PuModel | None:
     """None without positives or text. Only ``most_positive + most_unlabelled`` rows of features reach the driver."""
-    limit_arrow_batches(df.sparkSession)
     trusted = labels.where((F.col(label) == 1) & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id").distinct()
     trusted = first_by_hash(trusted, most_positive, 1).withColumn("positive", F.lit(True))
     texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -148,7 +148,7 @@ def score_column(text: Column, model: PuModel | None) -> Column:
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            x = np.array([features(x) for x in batch.to_pylist()]).reshape(-1, FEATURES)
+            x = np.array([features(x) for part in slices(batch) for x in part]).reshape(-1, FEATURES)
             yield pa.array(model.scores(x))
 
     return scored(text)

@@ -5,7 +5,7 @@ masks over those bits, so a new policy, its verdicts and its ablations come from
 aggregation, and never from the texts again.
 
 A null text has no words and no lines; an empty or blank one likewise. Equal rows give equal rows. Columns of `df` that have
-a measurement's name are replaced.
+a measurement's name are replaced. An empty table gives an empty table; the longest text is measured whole.
 
 Windows are compared by 64-bit hashes within one text: for a text of n windows the chance of a wrong match is below
 n^2 / 2^65, one in 10^11 for 20,000 words.
@@ -20,6 +20,8 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
+#: Names that `measure` uses in between.
+INTERNAL = ("__words", "__lines", "__n", "__n_lines", "__n_dup", "__hashes", "__sorted")
 #: (name, fails) in bit order; the first two are the base rules.
 RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 10"),
@@ -43,6 +45,8 @@ def mask(policy: str) -> int:
 
 def measure(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_lines (lines with a word), n_dup_lines and n_repeat_words (long)."""
+    aside = {c: f"{c}_of_input" for c in df.columns if c.lower() in INTERNAL}
+    df = df.withColumnsRenamed(aside)
     body = F.coalesce(F.col(text), F.lit(""))
     word = lambda i: F.get("__words", i)
     df = df.withColumns(
@@ -79,7 +83,7 @@ def measure(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFram
     )
     # A generator of one row: what filters on the measurements later can't copy their expressions.
     kept = [c for c in df.columns if c not in ("__n", "__n_lines", "__n_dup", "__sorted", "n_words", "n_lines", "n_dup_lines", "n_repeat_words")]
-    return df.select(*kept, F.inline(F.array(made)))
+    return df.select(*kept, F.inline(F.array(made))).withColumnsRenamed({new: old for old, new in aside.items()})
 
 
 def ledger(measured: DataFrame) -> DataFrame:
