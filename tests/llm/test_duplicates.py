@@ -52,11 +52,38 @@ def test_links_against_brute_force(spark):
     signed = np.array(values, dtype=np.uint64).view(np.int64).tolist()
     want = {frozenset((a, b)) for i, a in enumerate(signed) for b in signed[i + 1 :] if 1 <= ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    for block in (2048, 16):
+    for block in (256, 16, 1):
         got = [frozenset((r["a"], r["b"])) for r in simhash.links(df, block=block).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_hot_key_is_cut_again(spark):
+    """Thousands of fingerprints with 42 bits in common: no pair lost, none twice, and no unit over 256."""
+    r = np.random.default_rng(3)
+    values = np.unique(r.integers(0, 1 << 22, 3000, dtype=np.uint64) << np.uint64(42))
+    bits = values.view(np.int64)
+    want = {(i, j) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(values[i] ^ values) <= 2).tolist() if i < j}
+    df = spark.createDataFrame([(int(x),) for x in bits], "fp long")
+    got = [tuple(sorted((x["a"], x["b"]))) for x in simhash.links(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == {tuple(sorted((int(bits[i]), int(bits[j])))) for i, j in want}
+
+
+def test_planes_count_what_bits_count(monkeypatch):
+    """All pairs come out of the carry-save counters; without them there are none."""
+    r = np.random.default_rng(4)
+    unit = np.sort(r.integers(0, 200, 2000))
+    values = r.integers(0, 1 << 63, 201, dtype=np.uint64)[unit]
+    for _ in range(4):
+        values ^= np.where(r.random(2000) < 0.6, np.uint64(1) << r.integers(0, 64, 2000).astype(np.uint64), np.uint64(0))
+    for radius in (0, 1, 2, 5, 24):
+        want = {(i, j) for i in range(2000) for j in range(i + 1, min(2000, i + 60)) if unit[i] == unit[j] and int(values[i] ^ values[j]).bit_count() <= radius}
+        assert {(int(a), int(b)) for x, y in simhash.near_in_units(values, unit, radius) for a, b in zip(x, y, strict=True)} == want
+        pairs = values[:1000], values[1000:]
+        assert (simhash.near_lanes(*pairs, radius) == (np.bitwise_count(pairs[0] ^ pairs[1]) <= radius)).all()
+    monkeypatch.setattr(simhash, "within", lambda differ, live, radius: np.empty(0, dtype=np.int64))
+    assert not sum(len(x) for x, _ in simhash.near_in_units(values, unit, 24)) and not simhash.near_lanes(*pairs, 64).any()
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["label"] for r in simhash.components(edges).collect()}
@@ -72,6 +99,12 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_first_of_each_keeps_one_row_of_a_component(spark):
+    a, b = "one two three four", "five six seven eight"
+    df = spark.createDataFrame([(1, a, 0), (1, a, 0), (1, b, 0), (2, a, 1), (2, b, 1), (None, b, 2)], "doc_id long, text string, n int")
+    assert sorted(map(tuple, simhash.first_of_each(df.where("doc_id is not null")).collect())) == [(1, b, 0), (1, a, 0)]
+
+
 def brute_hits(text, items):
     words = decontaminate.alphanumeric_words(text)
     hit, found = set(), set()
@@ -98,3 +131,38 @@ def test_contamination_against_brute_force(spark):
             assert (r["n_words"], r["n_hit"], r["item_ids"]) == (n, hit, found)
             assert r["contaminated"] == (hit > 0 and 20 * hit >= n)
     assert decontaminate.find_contamination(df, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_items_without_id_and_with_text_ids(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    item = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    docs = spark.createDataFrame([(1, words, "old"), (2, None, "old"), (3, "w1 w2", "old"), (3, "w1 w2", "old")], "doc_id long, text string, n_hit string")
+    for kind, ids in (("long", [7, None, 3]), ("string", ["b", None, "a"])):
+        bench = spark.createDataFrame(list(zip(ids, (item(0, 20), item(10, 30), item(50, 53)), strict=True)), f"item_id {kind}, text string")
+        for block in (8 << 20, 60):
+            rows = {r["doc_id"]: r for r in decontaminate.find_contamination(docs, bench, block_bytes=block).collect()}
+            assert rows[1]["item_ids"] == [ids[2], ids[0], None] and rows[1]["n_hit"] == 33 and rows[1]["hit_spans"] == [(0, 30), (50, 3)]
+            assert (rows[2]["n_words"], rows[2]["item_ids"], rows[3]["contaminated"]) == (0, [], False)
+    assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
+
+
+def test_index_of_a_block_is_small():
+    """What the index of eight megabytes adds to a worker's memory."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = """
+import random, resource
+from memspark.llm.decontaminate import WuManber
+r = random.Random(1)
+words = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(60000)]
+items = [(i, " ".join(r.choices(words, k=120))) for i in range(10800)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+machine = WuManber(items)
+assert machine.search(items[77][1])[2] == {77}
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    told = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True)
+    assert int(told.stdout.split()[-1]) < 300

@@ -1,5 +1,6 @@
 import corpus_pipeline
-from test_duplicates import brute_components, brute_fingerprint, brute_hits
+from test_duplicates import brute_hits
+from test_near_copies import brute_first
 from test_rules_and_shards import brute_measures
 
 from memspark.llm import bpe, quality_model
@@ -16,8 +17,8 @@ def test_pipeline_against_brute_force(spark):
         lines = sum(bool(x.strip()) for x in t.split("\n"))
         if n < 10 or 100 * repeat > 20 * n or 10 * symbols > 3 * n or dup >= 3 and 2 * dup > lines or not 2 * n <= chars <= 20 * n:
             del texts[i]
-    first = brute_components({i: brute_fingerprint(t) for i, t in texts.items()})
-    texts = {i: t for i, t in texts.items() if first[i] == i}
+    first = set(brute_first(list(texts.items())))
+    texts = {i: t for i, t in texts.items() if i in first}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     for i, t in list(texts.items()):
         n, hit, _ = brute_hits(t, items)

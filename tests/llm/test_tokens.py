@@ -3,12 +3,13 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 
-from memspark.llm import bpe, packing, queries, token_counts
+from memspark.llm import batches, bpe, packing, queries, token_counts
 
 DATA = "/root/testdata/sf0.001"
 RANDOM = random.Random(5)
@@ -113,3 +114,37 @@ def test_packing_odd_rows(spark):
     assert sum(r["n_tokens"] for r in got) == sum(token_counts.counter().count(["a b", "", "", "w " * 50, "w " * 50]))
     assert packing.pack_documents(df.limit(0)).count() == 0
     assert df.select(F.count("*")).first()[0] == 5
+
+
+def test_long_texts_in_parts(library, monkeypatch):
+    """The same ids and counts when a text is taken in parts."""
+    sp = token_counts.counter()
+    texts = [x * 40 for x in ODD if x] + [" " * 300 + "a " * 300, "é" * 2000 + "  x" + " " * 7]
+    want = [sp.library.encode(x) for x in texts]
+    monkeypatch.setattr("memspark.llm.batches.PART_CHARS", 50)
+    monkeypatch.setattr(bpe, "PART_CHARS", 50)
+    monkeypatch.setattr(bpe, "PIECES", 7)
+    monkeypatch.setattr(token_counts, "blank_parts", lambda x: batches.blank_parts(x, 50))
+    assert sp.count(texts) == [len(x) for x in want]
+    assert [x.tolist() for x in packing.Encoder().encode(texts)] == want
+    for text, ids in zip(texts, bpe.merges().encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+        assert bpe.merges().decode(ids) == text.encode()
+
+
+def test_slices_are_bounded_by_bytes():
+    texts = ["é" * RANDOM.randint(0, 60) if RANDOM.random() > 0.1 else None for _ in range(300)] + ["é" * 900]
+    got = list(batches.slices(pa.array(texts), 200))
+    assert [x for part in got for x in part] == [x or "" for x in texts]
+    assert all(len(part) == 1 or sum(len(x.encode()) for x in part) <= 200 for part in got)
+
+
+def test_packs_are_full_and_can_be_written(spark, tmp_path):
+    docs = spark.read.parquet(DATA.replace("0.001", "0.01") + "/documents.parquet").coalesce(1)
+    packed = packing.pack_documents(docs, buffer=1 << 18)
+    packing.write_packs(packed, f"{tmp_path}/packs")
+    back = spark.read.parquet(f"{tmp_path}/packs")
+    assert back.count() == back.select("pack_id").distinct().count() and packing.fill(back).first()["fill"] >= 0.98
+    assert back.agg(F.sum("n_tokens")).first()[0] == token_counts.count_tokens(docs).agg(F.sum("n_tokens")).first()[0]
+    named = packing.pack_documents(docs.limit(5).select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text"))
+    assert {x[:1] for r in named.collect() for x in r["doc_ids"]} == {"d"}
