@@ -18,15 +18,16 @@ _SPLIT = re.compile("(?<! ) ")
 ID_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}
 
 
-def slices(batch: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[str]]:
-    """The texts of a batch (null: empty) in consecutive slices of at most ``most`` UTF-8 bytes; one longer text is a slice
-    of its own. Only one slice at a time stands in memory as Python strings."""
+def slices(batch: pa.Array, most: int = SLICE_BYTES) -> Iterator[list]:
+    """The texts (or bytes) of a batch, null ones empty, in consecutive slices of at most ``most`` UTF-8 bytes; one longer
+    text is a slice of its own. Only one slice at a time stands in memory as Python objects."""
+    empty = b"" if pa.types.is_binary(batch.type) or pa.types.is_large_binary(batch.type) else ""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at, n = 0, len(batch)
     while at < n:
         before = int(ends[at - 1]) if at else 0
         to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield [x or "" for x in batch.slice(at, to - at).to_pylist()]
+        yield [x or empty for x in batch.slice(at, to - at).to_pylist()]
         at = to
 
 

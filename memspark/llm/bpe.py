@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.batches import PART_CHARS, Memo, slices
+from memspark.llm.batches import PART_CHARS, Memo, slices, unused
 
 NONE = np.int32(2**31 - 1)
 #: Pieces of at most so many bytes are merged side by side.
@@ -52,15 +52,29 @@ def split_pattern(pattern: str | None = None) -> str:
     return public_tokenizers.PATTERN
 
 
+def read_ranks(path: str | None = None) -> dict[bytes, int]:
+    with open(rank_file(path), "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+
+
+class Tokens:
+    """The bytes of each id: all that decoding needs."""
+
+    def __init__(self, path: str | None = None):
+        self.of = {rank: token for token, rank in read_ranks(path).items()}
+
+    def decode(self, ids: bytes) -> bytes:
+        numbers, token = np.frombuffer(ids, dtype="<u4"), self.of.__getitem__
+        return b"".join(b"".join(map(token, numbers[at : at + PIECES].tolist())) for at in range(0, len(numbers), PIECES))
+
+
 class Merges:
     """Ranks of a rank file, and every pair of tokens whose bytes together are a token."""
 
     def __init__(self, path: str | None = None, pattern: str | None = None):
         import regex
 
-        with open(rank_file(path), "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.path, self.ranks = path, read_ranks(path)
         self.pairs = {
             (self.ranks[token[:i]], self.ranks[token[i:]]): rank
             for token, rank in self.ranks.items()
@@ -207,8 +221,7 @@ class Merges:
         return [b"".join(map(get, x)) for x in pieces]
 
     def decode(self, ids: bytes) -> bytes:
-        numbers, token = np.frombuffer(ids, dtype="<u4"), self.tokens.__getitem__
-        return b"".join(b"".join(map(token, numbers[at : at + PIECES].tolist())) for at in range(0, len(numbers), PIECES))
+        return tokens(self.path).decode(ids)
 
 
 _loaded: dict[tuple, Merges] = {}
@@ -221,14 +234,24 @@ def merges(path: str | None = None, pattern: str | None = None) -> Merges:
     return _loaded[path, pattern]
 
 
+_tokens: dict[str | None, Tokens] = {}
+
+
+def tokens(path: str | None = None) -> Tokens:
+    if path not in _tokens:
+        _tokens[path] = Tokens(path)
+    return _tokens[path]
+
+
 def encode_ids(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
     """The token ids of each text, little-endian unsigned 32-bit integers in a binary column."""
 
     @F.arrow_udf("binary")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = merges(path, pattern)
-        for batch in batches:
-            yield pa.array([ids for part in slices(batch) for ids in bpe.encode(part)], type=pa.binary())
+        # A slice's ids go back to the JVM before the next slice is encoded.
+        for part in chain.from_iterable(map(slices, batches)):
+            yield pa.array(bpe.encode(part), type=pa.binary())
 
     return encoded(text)
 
@@ -238,9 +261,9 @@ def decode_ids(ids: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = merges(path)
-        for batch in batches:
-            yield pa.array((bpe.decode(x.as_py() or b"") for x in batch), type=pa.binary(), size=len(batch))
+        decode = tokens(path).decode
+        for part in chain.from_iterable(map(slices, batches)):
+            yield pa.array(list(map(decode, part)), type=pa.binary())
 
     return decoded(ids)
 
@@ -254,3 +277,20 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, pattern:
 def decode(df: DataFrame, ids: str = "token_ids", path: str | None = None) -> DataFrame:
     """``df`` with ``decoded`` (binary): the bytes of the text, whole."""
     return df.withColumn("decoded", decode_ids(F.col(ids), path))
+
+
+def round_trip(df: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``df`` with ``token_ids``, ``n_tokens`` and ``decoded``, as `encode` and then `decode` make them, by one function: a slice's
+    ids are decoded where they are made, instead of going through the JVM to a second Python worker."""
+
+    @F.arrow_udf("struct<token_ids:binary,decoded:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe, decode = merges(path, pattern), tokens(path).decode
+        for part in chain.from_iterable(map(slices, batches)):
+            ids = bpe.encode(part)
+            yield pa.StructArray.from_arrays([pa.array(ids, type=pa.binary()), pa.array(list(map(decode, ids)), type=pa.binary())], names=["token_ids", "decoded"])
+
+    kept, name = [c for c in df.columns if c not in ("token_ids", "n_tokens", "decoded")], unused(df.columns, "__both")
+    # A generator of one row: the function runs once, whatever reads its fields.
+    out = df.select(*kept, F.explode(F.array(both(F.col(text)))).alias(name))
+    return out.select(*kept, F.col(f"{name}.token_ids").alias("token_ids"), (F.octet_length(f"{name}.token_ids") / 4).cast("long").alias("n_tokens"), F.col(f"{name}.decoded").alias("decoded"))

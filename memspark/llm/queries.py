@@ -17,8 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    whole = bpe.decode(ids.select("doc_id", "n_tokens", "token_ids"))
+    whole = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return whole.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

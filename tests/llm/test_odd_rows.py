@@ -34,6 +34,7 @@ def items(spark):
 
 ROWS = {
     "op1": lambda df, labels, items: bpe.decode(bpe.encode(df)),
+    "op1_round_trip": lambda df, labels, items: bpe.round_trip(df),
     "op2": lambda df, labels, items: toxicity.classify(df, labels),
     "op3": lambda df, labels, items: simhash.near_duplicates(df),
     "op4": lambda df, labels, items: quality_rules.judge(df),

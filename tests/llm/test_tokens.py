@@ -45,6 +45,8 @@ def test_bpe_frame(spark, library):
         want = library.encode_ordinary(r["text"] or "")
         assert r["n_tokens"] == len(want) and bytes(r["decoded"]) == (r["text"] or "").encode()
     assert bpe.encode(df.limit(0)).count() == 0
+    once = bpe.round_trip(df).collect()
+    assert sorted(once, key=str) == sorted((r for r in bpe.decode(bpe.encode(df)).select(*once[0].asDict()).collect()), key=str)
 
 
 def test_op1(spark, library):
