@@ -40,6 +40,18 @@ def bound(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
 
 
+def runs(items: Column, key: str, f) -> Column:
+    """f of each group of the structs with equal ``key``, their first field, in sorted order: an array is sorted and cut where
+    the key changes, so a row's groups are made in the row."""
+
+    def cut(ordered: Column) -> Column:
+        changed = lambda x, i: F.when((i == 0) | (F.get(ordered, i - 1)[key] != x[key]), i)
+        starts = F.filter(F.transform(ordered, changed), lambda i: i.isNotNull())
+        return bound(starts, lambda s: F.transform(s, lambda at, n: bound(F.slice(ordered, at + 1, F.coalesce(F.get(s, n + 1), F.size(ordered)) - at), f)))
+
+    return bound(F.array_sort(items), cut)
+
+
 def contained(lowered: Column, keywords) -> Column:
     """How many of the keywords stand in the text."""
     total = F.lit(0)

@@ -14,7 +14,8 @@ TOPICS = {
     "problems": ("problem", "issue", "broken", "failed", "crash", "stuck", "workaround", "fix", "solved", "resolved"),
 }
 
-# Folder names of each room, in order.
+# Folder names of each room. Their order decides results: the rooms' order where scores are equal, and the
+# names' order, room after room, where a file's stem has several.
 ROOM_FOLDERS = {
     "frontend": ("frontend", "front-end", "front_end", "client", "ui", "views", "components", "pages"),
     "backend": ("backend", "back-end", "back_end", "server", "api", "routes", "services", "controllers", "models", "database", "db", "auth"),
@@ -94,9 +95,11 @@ MEMORY_PATTERNS = {
 }
 
 # What stands beside names. The name's place is {name}.
-PERSON_VERBS = ("said", "asked", "told", "replied", "laughed", "smiled", "cried", "felt", "thinks?", "wants?", "loves?", "hates?", "knows?", "decided", "pushed", "wrote")
-PERSON_CALLS = ("hey", "thanks?", "hi", "dear")
-PERSON_PATTERNS = tuple(rf"\b{{name}}\s+{v}\b" for v in PERSON_VERBS) + tuple(rf"\b{c}\s+{{name}}\b" for c in PERSON_CALLS)
+PERSON_PATTERNS = (
+    r"\b{name}\s+said\b", r"\b{name}\s+asked\b", r"\b{name}\s+told\b", r"\b{name}\s+replied\b", r"\b{name}\s+laughed\b", r"\b{name}\s+smiled\b", r"\b{name}\s+cried\b", r"\b{name}\s+felt\b",
+    r"\b{name}\s+thinks?\b", r"\b{name}\s+wants?\b", r"\b{name}\s+loves?\b", r"\b{name}\s+hates?\b", r"\b{name}\s+knows?\b", r"\b{name}\s+decided\b", r"\b{name}\s+pushed\b", r"\b{name}\s+wrote\b",
+    r"\bhey\s+{name}\b", r"\bthanks?\s+{name}\b", r"\bhi\s+{name}\b", r"\bdear\s+{name}\b",
+)
 PROJECT_PATTERNS = (
     r"\bbuilding\s+{name}\b", r"\bbuilt\s+{name}\b", r"\bship(?:ping|ped)?\s+{name}\b", r"\blaunch(?:ing|ed)?\s+{name}\b", r"\bdeploy(?:ing|ed)?\s+{name}\b", r"\binstall(?:ing|ed)?\s+{name}\b",
     r"\bthe\s+{name}\s+architecture\b", r"\bthe\s+{name}\s+pipeline\b", r"\bthe\s+{name}\s+system\b", r"\bthe\s+{name}\s+repo\b", r"\b{name}\s+v\d+\b", r"\b{name}\.py\b", r"\b{name}-core\b",
@@ -111,4 +114,7 @@ AMBIGUOUS_WORDS = tuple(
 )
 #: Words at the start of sentences that aren't names. The full list is the caller's: pass ``stopwords``.
 NAME_STOPWORDS = tuple(dict.fromkeys((*TOPIC_STOPWORDS, "will", "let", "yes", "okay", "please", "today", "tomorrow", "yesterday", "hello", "thanks")))
+# The line with a session's time (time, month, day, year), and what begins prompts that tell no subject.
+CLOCK = r"⏺\s+(\d{1,2}:\d{2}\s+[AP]M)\s+\w+,\s+(\w+)\s+(\d{1,2}),\s+(\d{4})"
+SKIPPED_PROMPTS = (r"\./", "cd ", "ls ", "python", "bash", "git ", "cat ", "source ", "export ", "claude", "./activate")
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")

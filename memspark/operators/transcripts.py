@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memspark.functions.text import BOUNDARY, SPACE, as_column, blank_trim, stem
-from memspark.functions.wordlists import MONTHS
+from memspark.functions.text import BOUNDARY, SPACE, as_column, blank_trim, bound, stem
+from memspark.functions.wordlists import CLOCK, MONTHS, SKIPPED_PROMPTS
 
 
 def pair_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -30,23 +30,44 @@ def render_transcript(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     return pairs.groupBy(key).agg(joined.alias("transcript"))
 
 
+def transcript_of(turns: Column) -> Column:
+    """The transcript of an array of turns (role, text) of users and assistants."""
+    near = lambda i, k: F.get(turns, i + k)
+
+    def pair(x: Column, i: Column) -> Column:
+        answer = F.when(near(i, 1)["role"] == "assistant", F.concat(near(i, 1)["text"], F.lit("\n"))).otherwise("")
+        alone = F.coalesce(near(i, -1)["role"] != "user", F.lit(True))
+        return F.when(x["role"] == "user", F.concat(F.lit("> "), x["text"], F.lit("\n"), answer)).when(alone, F.concat(x["text"], F.lit("\n")))
+
+    return F.array_join(F.transform(turns, pair), "\n")
+
+
 def quoted_lines(text: Column | str) -> Column:
     return F.size(F.filter(F.split(as_column(text), "\n"), lambda x: blank_trim(x).startswith(">")))
 
 
+def exchanges(text: Column, max_lines: int = 8, min_len: int = 30) -> Column:
+    """The exchanges of a text: each ``>`` line with up to 8 lines of the answer, joined by a blank. A line of dashes ends an
+    answer; shorter ones are left out."""
+
+    def parts(lines: Column) -> Column:
+        opens = F.filter(F.transform(lines, lambda x, i: F.when(x.startswith(">"), i)), lambda i: i.isNotNull())
+
+        def exchange(at: Column, end: Column) -> Column:
+            answer = F.slice(lines, at + 2, end - at - 1)
+            stop = F.array_position(F.transform(answer, lambda x: x.startswith("---")), True)
+            said = F.filter(F.when(stop > 0, F.slice(answer, 1, (stop - 1).cast("int"))).otherwise(answer), lambda x: x != "")
+            return F.array_join(F.concat(F.slice(lines, at + 1, 1), F.slice(said, 1, max_lines)), " ")
+
+        return bound(opens, lambda o: F.transform(o, lambda at, k: exchange(at, F.coalesce(F.get(o, k + 1), F.size(lines)))))
+
+    return F.filter(bound(F.transform(F.split(text, "\n"), blank_trim), parts), lambda x: F.length(blank_trim(x)) > min_len)
+
+
 def exchange_chunks(df: DataFrame, key: str, text: str = "text", max_lines: int = 8, min_len: int = 30) -> DataFrame:
-    """(key, chunk_index, content): each ``>`` line with up to 8 lines of the answer, joined by a blank. A line of dashes ends
-    an answer; shorter chunks are left out and not counted."""
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "raw")).withColumn("line", blank_trim("raw"))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opens = F.col("line").startswith(">")
-    lines = lines.withColumn("opens", opens).withColumn("exchange", F.sum(F.col("opens").cast("int")).over(w)).where("exchange > 0")
-    within = Window.partitionBy(key, "exchange").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("ended", F.max(F.col("line").startswith("---")).over(within)).where("opens or (not ended and line <> '')")
-    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy(key, "exchange").orderBy("pos"))).where(F.col("n") <= max_lines + 1)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ")
-    chunks = lines.groupBy(key, "exchange").agg(joined.alias("content")).where(F.length(blank_trim("content")) > min_len)
-    return chunks.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("exchange")) - 1).cast("long").alias("chunk_index"), "content")
+    """(key, chunk_index, content): the exchanges of each row's text, by number; all within the row."""
+    rows = df.select(key, F.posexplode(exchanges(F.col(text), max_lines, min_len)).alias("chunk_index", "content"))
+    return rows.withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 def paragraph_chunks(df: DataFrame, text: str = "text", sep: str = "\n\n", group: int = 25, min_len: int = 30) -> DataFrame:
@@ -97,7 +118,7 @@ def chunk_text(df: DataFrame, text: str = "text", size: int = 800, overlap: int
     return df.select("*", F.posexplode(chunks(F.col(text))).alias("chunk_index", "content"))
 
 
-def split_sessions(files: DataFrame, banner: str, not_near=("Ctrl+E", "previous messages"), people=(), file: str = "file", text: str = "text") -> DataFrame:
+def split_sessions(files: DataFrame, banner: str, not_near=("Ctrl+E", "previous messages"), people=(), file: str = "file", text: str = "text", clock: str = CLOCK, skipped: tuple[str, ...] = SKIPPED_PROMPTS) -> DataFrame:
     """(file, session, ts, people, subject, file_name, content) of files that hold at least two sessions. A session starts at
     a line with ``banner`` unless it or the five lines after it have one of ``not_near``; those of under 10 lines are
     left out, their number is used up."""
@@ -111,7 +132,6 @@ def split_sessions(files: DataFrame, banner: str, not_near=("Ctrl+E", "previous
     lines = lines.withColumn("boundaries", F.sum("starts").over(Window.partitionBy("file"))).where("boundaries >= 2 and session > 0")
     body = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
     sessions = lines.groupBy("file", "session").agg(body.alias("lines")).where(F.size("lines") >= 10)
-    clock = "⏺\\s+(\\d{1,2}:\\d{2}\\s+[AP]M)\\s+\\w+,\\s+(\\w+)\\s+(\\d{1,2}),\\s+(\\d{4})"
     dated = F.get(F.filter(F.slice("lines", 1, 50), lambda x: x.rlike(clock)), F.lit(0))
     group = lambda i: F.regexp_extract(dated, clock, i)
     month = F.coalesce(F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS) for x in (m, f"{i + 1:02d}")))[group(2)], F.lit("00"))
@@ -119,7 +139,7 @@ def split_sessions(files: DataFrame, banner: str, not_near=("Ctrl+E", "previous
     head = F.array_join(F.slice("lines", 1, 100), " ")
     named = F.array_compact(F.array(*(F.when(head.rlike(f"(?i){BOUNDARY}{p}{BOUNDARY}"), F.lit(p)) for p in people))) if people else F.lit([]).cast("array<string>")
     prompts = F.transform(F.filter("lines", lambda x: x.startswith("> ")), lambda x: blank_trim(F.substring(x, 3, 1 << 30)))
-    asked = F.filter(prompts, lambda p: (F.length(p) > 5) & ~p.rlike("^(\\./|cd |ls |python|bash|git |cat |source |export |claude|./activate)"))
+    asked = F.filter(prompts, lambda p: (F.length(p) > 5) & ~p.rlike(f"^({'|'.join(skipped)})"))
     clean = F.substring(F.regexp_replace(F.regexp_replace(F.get(asked, F.lit(0)), f"[^\\w{SPACE}-]", ""), f"[{SPACE}]+", "-"), 1, 60)
     out = sessions.select("file", F.col("session").cast("long").alias("session"), ts.alias("ts"), named.alias("people"), F.coalesce(clean, F.lit("session")).alias("subject"), F.array_join("lines", "\n").alias("content"))
     who = F.when(F.size("people") > 0, F.array_join(F.slice("people", 1, 3), "-")).otherwise("unknown")

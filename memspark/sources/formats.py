@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.functions.text import as_column, blank_trim
-from memspark.operators.transcripts import quoted_lines, render_transcript
+from memspark.functions.text import as_column, blank_trim, bound
+from memspark.operators.transcripts import quoted_lines, transcript_of
 
 ROLES = {"user": "user", "human": "user", "assistant": "assistant", "ai": "assistant"}
+TURNS = "array<struct<role:string,text:string>>"
 
 
 def role_of(role: Column) -> Column:
@@ -20,50 +21,70 @@ def role_of(role: Column) -> Column:
 
 
 def content_text(content: Column | str) -> Column:
-    """The text of a JSON value: a string, the strings and text items of a list, or an object's text."""
-    content = as_column(content)
-    first = F.substring(F.ltrim(content), 1, 1)
-    items = F.from_json(content, "array<string>")
-    item = lambda x: F.when(F.ltrim(x).startswith("{"), F.when(F.get_json_object(x, "$.type") == "text", F.get_json_object(x, "$.text"))).otherwise(x)
-    parts = F.array_join(F.filter(F.transform(items, item), lambda x: F.coalesce(x, F.lit("")) != ""), " ")
-    return blank_trim(F.coalesce(F.when(first == "[", parts).when(first == "{", F.get_json_object(content, "$.text")).otherwise(content), F.lit("")))
+    """The text of a JSON value (variant): a string, the strings and text items of a list, or an object's text. The value's own
+    type decides, so a string may begin with any sign."""
 
+    def item_text(x: Column) -> Column:
+        kind = F.schema_of_variant(x)
+        object_text = F.when(F.try_variant_get(x, "$.type", "string") == "text", F.try_variant_get(x, "$.text", "string"))
+        return F.when(kind == "STRING", F.try_variant_get(x, "$", "string")).when(kind.startswith("OBJECT"), object_text)
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """Turns in order, of files that have at least two."""
-    kept = rows.where("role is not null and text <> ''").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("t")).where(F.size("t") >= 2)
-    return kept.select("file", F.posexplode("t").alias("turn", "t")).select("file", "turn", "t.role", "t.text")
+    def told(value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        items = F.filter(F.transform(F.try_variant_get(value, "$", "array<variant>"), item_text), lambda x: F.coalesce(x, F.lit("")) != "")
+        text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(kind.startswith("ARRAY"), F.array_join(items, " ")).when(kind.startswith("OBJECT"), F.try_variant_get(value, "$.text", "string"))
+        return blank_trim(F.coalesce(text, F.lit("")))
 
+    return bound(as_column(content), told)
 
-def lines_of(files: DataFrame, kind: str) -> DataFrame:
-    return files.select("file", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("file", "pos", F.from_json("line", kind).alias("x"))
 
+def said(turns: Column) -> Column:
+    """The turns that have a role and a text."""
+    return F.filter(turns, lambda t: t["role"].isNotNull() & (t["text"] != ""))
 
-def turns_from_events(files: DataFrame) -> DataFrame:
+
+def turn(role: Column, text: Column) -> Column:
+    return F.struct(role.alias("role"), text.alias("text"))
+
+
+def lines_of(text: Column, kind: str) -> Column:
+    return F.transform(F.split(text, "\n"), lambda line: F.from_json(line, kind))
+
+
+def event_turns(text: Column) -> Column:
     """Lines {type, message: {content}}; bad lines are skipped."""
-    rows = lines_of(files, "type string, message struct<content:string>")
-    return numbered(rows.select("file", "pos", role_of(F.col("x.type")).alias("role"), content_text("x.message.content").alias("text")).where("role in ('user', 'assistant')"))
+    lines = lines_of(text, "type string, message struct<content:variant>")
+    return said(F.transform(lines, lambda x: turn(role_of(x["type"]), content_text(x["message"]["content"]))))
+
 
+def session_turns(text: Column) -> Column:
+    """Lines {type: event_msg, payload: {type, message}} of files that have a session_meta line. Only strings are messages."""
+    role = lambda x: F.when(x["payload"]["type"] == "user_message", "user").when(x["payload"]["type"] == "agent_message", "assistant")
+    message = lambda x: F.when(F.schema_of_variant(x["payload"]["message"]) == "STRING", F.try_variant_get(x["payload"]["message"], "$", "string"))
 
-def turns_from_sessions(files: DataFrame) -> DataFrame:
-    """Lines {type: event_msg, payload: {type, message}} of files that have a session_meta line."""
-    rows = lines_of(files, "type string, payload struct<type:string,message:string>")
-    marked = rows.groupBy("file").agg(F.max(F.col("x.type") == "session_meta").alias("is_session")).where("is_session").select("file")
-    role = F.when(F.col("x.payload.type") == "user_message", "user").when(F.col("x.payload.type") == "agent_message", "assistant")
-    text = F.when(~F.ltrim("x.payload.message").rlike("^[\\[{]"), F.col("x.payload.message"))
-    return numbered(rows.where("x.type = 'event_msg'").join(marked, "file", "left_semi").select("file", "pos", role.alias("role"), blank_trim(F.coalesce(text, F.lit(""))).alias("text")))
+    def turns(lines: Column) -> Column:
+        told = F.transform(F.filter(lines, lambda x: x["type"] == "event_msg"), lambda x: turn(role(x), blank_trim(F.coalesce(message(x), F.lit("")))))
+        return F.when(F.exists(lines, lambda x: F.coalesce(x["type"] == "session_meta", F.lit(False))), said(told))
 
+    return bound(lines_of(text, "type string, payload struct<type:string,message:variant>"), turns)
 
-def turns_from_messages(files: DataFrame) -> DataFrame:
+
+def message_turns(text: Column) -> Column:
     """A list of messages, an object with ``messages`` or ``chat_messages``, or a list of such conversations."""
-    trimmed = F.ltrim("text")
-    inside = "messages array<string>, chat_messages array<string>"
-    wrapped = F.from_json("text", inside)
-    listed = F.when(trimmed.startswith("["), F.from_json("text", "array<string>")).otherwise(F.coalesce(wrapped["messages"], wrapped["chat_messages"]))
-    nested = F.coalesce(F.from_json(F.get(listed, F.lit(0)), inside)["chat_messages"], F.lit(None))
-    flat = F.when(nested.isNotNull(), F.flatten(F.transform(listed, lambda c: F.coalesce(F.from_json(c, inside)["chat_messages"], F.lit([]).cast("array<string>"))))).otherwise(listed)
-    rows = files.where(trimmed.rlike("^[\\[{]")).select("file", F.posexplode(flat).alias("pos", "m")).select("file", "pos", F.from_json("m", "role string, sender string, content string, text string").alias("x"))
-    return numbered(rows.select("file", "pos", role_of(F.coalesce("x.role", "x.sender")).alias("role"), content_text(F.coalesce("x.content", "x.text")).alias("text")))
+    items = lambda v, path: F.try_variant_get(v, path, "array<variant>")
+    there = lambda m, path: F.when(~F.is_variant_null(F.try_variant_get(m, path, "variant")), F.try_variant_get(m, path, "variant"))
+    none = items(F.parse_json(F.lit("[]")), "$")
+
+    def flat(listed: Column) -> Column:
+        nested = items(F.get(listed, F.lit(0)), "$.chat_messages").isNotNull()
+        return F.when(nested, F.flatten(F.transform(listed, lambda c: F.coalesce(items(c, "$.chat_messages"), none)))).otherwise(listed)
+
+    def message(m: Column) -> Column:
+        role = F.coalesce(F.try_variant_get(m, "$.role", "string"), F.try_variant_get(m, "$.sender", "string"))
+        return turn(role_of(role), content_text(F.coalesce(there(m, "$.content"), there(m, "$.text"))))
+
+    whole = lambda v: F.coalesce(items(v, "$"), items(v, "$.messages"), items(v, "$.chat_messages"))
+    return said(F.transform(bound(bound(F.try_parse_json(text), whole), flat), message))
 
 
 def first_path(text: str) -> list[dict]:
@@ -88,55 +109,57 @@ def first_path(text: str) -> list[dict]:
         return []
 
 
-def turns_from_tree(files: DataFrame) -> DataFrame:
-    """{mapping: {id: {parent, message, children}}}: a small function follows the pointers of each file."""
+def tree_turns(text: Column) -> Column:
+    """{mapping: {id: {parent, message, children}}}: a small function follows the pointers of each file that has a mapping."""
 
-    @F.arrow_udf("array<struct<role:string,text:string>>")
-    def walked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf(TURNS)
+    def paths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
         for batch in batches:
-            yield pa.array([first_path(x) for x in batch.to_pylist()], type=kind)
+            yield pa.array((first_path(x.as_py()) for x in batch), type=kind, size=len(batch))
 
-    rows = files.where(F.col("text").contains('"mapping"')).select("file", F.posexplode(walked(F.col("text"))).alias("pos", "t"))
-    return numbered(rows.select("file", "pos", "t.role", "t.text"))
+    return paths(F.when(text.contains('"mapping"'), text))
 
 
-def turns_from_channel(files: DataFrame) -> DataFrame:
+def channel_turns(text: Column) -> Column:
     """Items {type: message, user, text}. The first user is ``user``; a new one gets the role that the message before hasn't;
     roles stay. A fold over the ordered items."""
-    items = F.from_json("text", "array<struct<type:string,user:string,username:string,text:string>>")
-    said = F.filter(items, lambda x: (x["type"] == "message") & (F.coalesce(x["user"], x["username"], F.lit("")) != "") & (blank_trim(F.coalesce(x["text"], F.lit(""))) != ""))
-    state = "struct<roles:map<string,string>,last:string,out:array<struct<role:string,text:string>>>"
-    zero = F.struct(F.create_map().cast("map<string,string>").alias("roles"), F.lit(None).cast("string").alias("last"), F.lit([]).cast("array<struct<role:string,text:string>>").alias("out")).cast(state)
+    items = F.from_json(text, "array<struct<type:string,user:string,username:string,text:string>>")
+    told = F.filter(items, lambda x: (x["type"] == "message") & (F.coalesce(x["user"], x["username"], F.lit("")) != "") & (blank_trim(F.coalesce(x["text"], F.lit(""))) != ""))
+    state = f"struct<roles:map<string,string>,last:string,out:{TURNS}>"
+    zero = F.struct(F.create_map().cast("map<string,string>").alias("roles"), F.lit(None).cast("string").alias("last"), F.lit([]).cast(TURNS).alias("out")).cast(state)
 
     def step(a: Column, x: Column) -> Column:
         who = F.coalesce(x["user"], x["username"])
         known = F.try_element_at(a["roles"], who)
         role = F.coalesce(known, F.when(a["last"] == "user", "assistant").otherwise("user"))
         roles = F.when(known.isNull(), F.map_concat(a["roles"], F.create_map(who, role))).otherwise(a["roles"])
-        return F.struct(roles.alias("roles"), role.alias("last"), F.concat(a["out"], F.array(F.struct(role.alias("role"), blank_trim(x["text"]).alias("text")))).alias("out")).cast(state)
+        return F.struct(roles.alias("roles"), role.alias("last"), F.concat(a["out"], F.array(turn(role, blank_trim(x["text"])))).alias("out")).cast(state)
+
+    return F.aggregate(told, zero, step, lambda a: a["out"])
+
 
-    rows = files.where(F.ltrim("text").startswith("[")).select("file", F.posexplode(F.aggregate(said, zero, step, lambda a: a["out"])).alias("pos", "t"))
-    return numbered(rows.select("file", "pos", "t.role", "t.text"))
+#: By name, in the order in which they are tried.
+LAYOUTS = {"events": event_turns, "sessions": session_turns, "messages": message_turns, "tree": tree_turns, "channel": channel_turns}
 
 
-LAYOUTS = {"events": turns_from_events, "sessions": turns_from_sessions, "messages": turns_from_messages, "tree": turns_from_tree, "channel": turns_from_channel}
+def turns_from(files: DataFrame, layout: str, text: str = "text") -> DataFrame:
+    """(file, turn, role, text) of the files of one layout that have at least two turns."""
+    rows = files.select("file", F.explode(F.array(LAYOUTS[layout](F.col(text)))).alias("t")).where(F.size("t") >= 2)
+    return rows.select("file", F.posexplode("t").alias("turn", "t")).select("file", "turn", "t.role", "t.text")
 
 
 def normalize(files: DataFrame) -> DataFrame:
     """(file, layout, transcript) of (file, text): blank texts and transcripts as they are, JSON by the first layout that
-    gives at least two turns, anything else as it is."""
-    quoted = quoted_lines("text") >= 3
+    gives at least two turns, anything else as it is. All within a file's own row; a layout is tried only where those before
+    it gave nothing."""
+    quoted = F.col("text").isNotNull() & (quoted_lines("text") >= 3)
     is_json = F.lower("file").rlike("\\.jsonl?$") | F.ltrim("text").rlike("^[\\[{]")
-    marked = files.withColumn("__json", (blank_trim("text") != "") & ~quoted & is_json)
-    open_files = marked.where("__json").select("file", "text")
-    found = None
-    for order, (name, read) in enumerate(LAYOUTS.items()):
-        turns = read(open_files).withColumn("layout", F.lit(name)).withColumn("order", F.lit(order))
-        found = turns if found is None else found.unionByName(turns)
-    first = found.groupBy("file").agg(F.min("order").alias("order"))
-    best = found.join(first, ["file", "order"])
-    layouts = best.select("file", "layout").distinct()
-    texts = render_transcript(best, "file").join(layouts, "file")
-    kind = F.when(F.col("layout").isNotNull(), F.col("layout")).when(quoted, "transcript").otherwise("plain")
-    return marked.join(texts, "file", "left").select("file", kind.alias("layout"), F.coalesce("transcript", "text").alias("transcript"))
+    # Generators of one row: what later columns read is worked out once.
+    rows = files.select("file", "text", F.explode(F.array(quoted)).alias("quoted"))
+    rows = rows.select("*", F.explode(F.array(F.when(~F.col("quoted") & is_json & (blank_trim("text") != ""), F.col("text")))).alias("json"))
+    found = lambda name, turns: bound(turns, lambda t: F.when(F.size(t) >= 2, F.struct(F.lit(name).alias("layout"), transcript_of(t).alias("transcript"))))
+    first = F.when(F.col("json").isNotNull(), F.coalesce(*(found(name, layout(F.col("json"))) for name, layout in LAYOUTS.items())))
+    rows = rows.select("file", "text", "quoted", F.explode(F.array(first)).alias("found"))
+    layout = F.coalesce("found.layout", F.when(F.col("quoted"), "transcript").otherwise("plain"))
+    return rows.select("file", layout.alias("layout"), F.coalesce("found.transcript", "text").alias("transcript"))
