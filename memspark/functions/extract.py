@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.functions.text import SPACE, any_of, as_column, blank_trim, contained, or_default, stem, strings
+from memspark.functions.text import SPACE, any_of, as_column, blank_trim, bound, contained, or_default, runs, stem, strings
 from memspark.functions.wordlists import DECISION_WORDS, EMOTION_CODES, EMOTION_SIGNALS, FLAG_SIGNALS, MEMORY_PATTERNS, TOPIC_STOPWORDS
 
 
 def signal_tags(text: Column | str, signals: dict = EMOTION_SIGNALS, limit: int = 3) -> Column:
     """The first distinct codes whose word is in the text, in the order of the words."""
-    lowered = F.lower(as_column(text))
-    codes = F.array_compact(F.array(*(F.when(lowered.contains(word), F.lit(code)) for word, code in signals.items())))
-    return F.slice(F.array_distinct(codes), 1, limit)
+    codes = lambda lowered: F.array_compact(F.array(*(F.when(lowered.contains(word), F.lit(code)) for word, code in signals.items())))
+    return F.slice(F.array_distinct(bound(F.lower(as_column(text)), codes)), 1, limit)
 
 
 def memory_type(text: Column | str, patterns: dict = MEMORY_PATTERNS) -> Column:
-    """The first class with a matching pattern, else null."""
+    """The first class with a matching pattern, else null. Whether any pattern matches is asked first."""
     text = as_column(text)
-    return F.coalesce(*(F.when(text.rlike(any_of(some)), F.lit(name)) for name, some in patterns.items()))
+    cases = F.coalesce(*(F.when(text.rlike(any_of(some)), F.lit(name)) for name, some in patterns.items()))
+    return F.when(text.rlike(any_of([p for some in patterns.values() for p in some])), cases)
 
 
 def extract_memories(df: DataFrame, text: str = "text", patterns: dict = MEMORY_PATTERNS, sep: str = "\n\n") -> DataFrame:
     """A row with chunk_index, content and memory_type for each paragraph of a class. The index counts paragraphs that
     aren't blank."""
     pieces = F.filter(F.split(F.col(text), sep), lambda p: F.length(blank_trim(p)) > 0)
-    rows = df.select("*", F.posexplode(pieces).alias("chunk_index", "content"))
-    return rows.withColumn("memory_type", memory_type("content", patterns)).where("memory_type is not null")
+    typed = F.transform(pieces, lambda p, i: F.struct(i.alias("chunk_index"), p.alias("content"), memory_type(p, patterns).alias("memory_type")))
+    # Typed before they become rows: a filter on rows would work the patterns out twice.
+    return df.select("*", F.inline(F.filter(typed, lambda x: x["memory_type"].isNotNull())))
 
 
 def classify_summary(text: Column | str) -> Column:
@@ -46,7 +47,7 @@ def key_sentence(text: Column | str, words=DECISION_WORDS) -> Column:
         return F.struct(score.alias("score"), (-i).alias("order"), s.alias("s"))
 
     best = F.array_max(F.transform(sentences, scored))["s"]
-    return F.coalesce(F.when(F.length(best) > 55, F.concat(F.substring(best, 1, 52), F.lit("..."))).otherwise(best), F.lit(""))
+    return bound(best, lambda s: F.coalesce(F.when(F.length(s) > 55, F.concat(F.substring(s, 1, 52), F.lit("..."))).otherwise(s), F.lit("")))
 
 
 def entity_codes(text: Column | str, codes: dict | None = None, stopwords=TOPIC_STOPWORDS) -> Column:
@@ -60,19 +61,33 @@ def entity_codes(text: Column | str, codes: dict | None = None, stopwords=TOPIC_
     rest = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: F.regexp_replace(w, "[^a-zA-Z]", ""))
     names = F.filter(rest, lambda w: w.rlike("^[A-Z][a-z]+$") & ~F.array_contains(strings(stopwords), F.lower(w)))
     guessed = F.slice(F.array_distinct(F.transform(names, lambda w: F.upper(F.substring(w, 1, 3)))), 1, 3)
-    return F.when(F.size(known) > 0, known).otherwise(guessed)
+    return bound(known, lambda k: F.when(F.size(k) > 0, k).otherwise(guessed))
+
+
+def best_terms(text: Column | str, k: int = 3, stopwords=TOPIC_STOPWORDS) -> Column:
+    """(score, first, term) of the k best words of a text, best first. A word counts one for each occurrence, two more where it
+    starts with a capital, two more where it has a sign or an inner capital; the first seen of equals."""
+    tokens = F.regexp_extract_all(as_column(text), F.lit("[a-zA-Z][a-zA-Z_-]{2,}"), F.lit(0))
+
+    def weighed(w: Column, i: Column) -> Column:
+        marked = 1 + 2 * w.rlike("^[A-Z]").cast("int") + 2 * w.rlike("[_-]|^.+[A-Z]").cast("int")
+        weight = F.when(w.rlike("[A-Z_-]"), marked).otherwise(1)
+        return F.struct(F.lower(w).alias("term"), i.alias("pos"), weight.alias("weight"))
+
+    words = F.filter(F.transform(tokens, weighed), lambda x: ~x["term"].isin(*stopwords))
+
+    def total(run: Column) -> Column:
+        score = F.aggregate(run, F.lit(0), lambda a, x: a + x["weight"])
+        return F.struct((-score).alias("less"), run[0]["pos"].alias("first"), run[0]["term"].alias("term"))
+
+    best = F.slice(F.array_sort(runs(words, "term", total)), 1, k)
+    return F.transform(best, lambda x: F.struct((-x["less"]).alias("score"), x["first"].alias("first"), x["term"].alias("term")))
 
 
 def topic_terms(docs: DataFrame, k: int = 3, doc_id: str = "doc_id", text: str = "text", stopwords=TOPIC_STOPWORDS) -> DataFrame:
-    """(doc_id, rank, term, score): the k best words. A word counts one for each occurrence, two more where it starts with a
-    capital, two more where it has a sign or an inner capital; the first seen of equals."""
-    tokens = F.regexp_extract_all(F.col(text), F.lit("[a-zA-Z][a-zA-Z_-]{2,}"), F.lit(0))
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(tokens).alias("pos", "word")).withColumn("term", F.lower("word"))
-    words = words.where(~F.col("term").isin(*stopwords))
-    weight = 1 + 2 * F.col("word").rlike("^[A-Z]").cast("int") + 2 * F.col("word").rlike("[_-]|^.+[A-Z]").cast("int")
-    scored = words.groupBy("doc_id", "term").agg(F.sum(weight).alias("score"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "first"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("doc_id", "rank", "term", "score")
+    """(doc_id, rank, term, score): `best_terms` as rows."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(best_terms(text, k, stopwords)).alias("rank", "t"))
+    return rows.select("doc_id", (F.col("rank") + 1).alias("rank"), "t.term", "t.score")
 
 
 def token_estimate(text: Column | str) -> Column:
@@ -80,26 +95,26 @@ def token_estimate(text: Column | str) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.floor(words * F.lit(1.3)))
 
 
-def compress(docs: DataFrame, codes: dict | None = None, header: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def compress(docs: DataFrame, codes: dict | None = None, header: bool = True, text: str = "text") -> DataFrame:
     """``docs`` with ``compressed``: entities, topics, key sentence, feelings and flags of a text in one line, after a line of
     wing, room, date and file where ``docs`` has these columns."""
-    topics = topic_terms(docs, 3, doc_id, text).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), "_").alias("__topics"))
+    topics = F.array_join(F.transform(best_terms(text, 3), lambda x: x["term"]), "_")
     some = F.array_join(F.slice(entity_codes(text, codes), 1, 3), "+")
-    quote = key_sentence(text)
+    tags = lambda signals: bound(F.array_join(signal_tags(text, signals), "+"), lambda x: F.nullif(x, F.lit("")))
     body = F.concat_ws(
         "|",
-        F.concat(F.lit("0:"), or_default(some, "???")),
-        F.coalesce("__topics", F.lit("misc")),
-        F.when(quote != "", F.concat(F.lit('"'), quote, F.lit('"'))),
-        F.nullif(F.array_join(signal_tags(text), "+"), F.lit("")),
-        F.nullif(F.array_join(signal_tags(text, FLAG_SIGNALS), "+"), F.lit("")),
+        F.concat(F.lit("0:"), bound(some, lambda x: or_default(x, "???"))),
+        bound(topics, lambda x: or_default(x, "misc")),
+        bound(key_sentence(text), lambda quote: F.when(quote != "", F.concat(F.lit('"'), quote, F.lit('"')))),
+        tags(EMOTION_SIGNALS),
+        tags(FLAG_SIGNALS),
     )
-    rows = docs.join(topics.withColumnRenamed("doc_id", "__id"), F.col(doc_id) == F.col("__id"), "left").drop("__id")
     there = lambda c: F.nullif(F.col(c), F.lit("")) if c in docs.columns else F.lit(None).cast("string")
     if header and {"wing", "source_file"} & set(docs.columns):
         line = F.concat_ws("|", *(F.coalesce(x, F.lit("?")) for x in (there("wing"), there("room"), there("date"), F.nullif(stem(there("source_file")), F.lit("")))))
         body = F.when(there("wing").isNotNull() | there("source_file").isNotNull(), F.concat(line, F.lit("\n"), body)).otherwise(body)
-    return rows.withColumn("compressed", body).drop("__topics")
+    # A generator of one row, so that what reads the text later doesn't make it again.
+    return docs.select(*(c for c in docs.columns if c != "compressed"), F.explode(F.array(body)).alias("compressed"))
 
 
 def compression_stats(df: DataFrame, text: str = "text", compressed: str = "compressed") -> DataFrame:

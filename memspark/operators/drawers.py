@@ -141,7 +141,7 @@ def essential_story(drawers: DataFrame, wing: str | None = None, pool: int = 100
     rows = in_place(drawers, wing).withColumn("__seen", F.row_number().over(w.orderBy("filed_at", "id"))).where(F.col("__seen") <= pool)
     rows = rows.withColumn("__rank", F.row_number().over(w.orderBy(F.desc(or_default("importance", 3)), "__seen"))).where(F.col("__rank") <= top)
     rows = rows.withColumn("room", or_default("room", "general"))
-    rows = compress(rows, doc_id="id", text="content").withColumn("__first", F.min("__rank").over(Window.partitionBy("wing", "room")))
+    rows = compress(rows, text="content").withColumn("__first", F.min("__rank").over(Window.partitionBy("wing", "room")))
     line = F.concat(F.lit("  "), F.regexp_replace("compressed", "\n", " | "))
     order = w.orderBy("__first", "__rank")
     rows = rows.select("wing", "room", "__first", "__rank", line.alias("line"), (F.col("__rank") == F.col("__first")).alias("heads"))

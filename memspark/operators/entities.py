@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark.functions.extract import classify_summary
-from memspark.functions.text import ascii_words
+from memspark.functions.text import ascii_words, bound, runs, strings
 from memspark.functions.wordlists import AMBIGUOUS_WORDS, NAME_STOPWORDS, PERSON_PATTERNS, PROJECT_PATTERNS
 
 NAME = "[A-Z][a-z]{2,}"
@@ -25,23 +26,32 @@ class Registry(NamedTuple):
     mode: str = "personal"
 
 
-def names_beside(text: Column, pattern: str) -> Column:
+def fixed_word(pattern: str) -> str:
+    """The longest run of letters that every match of a pattern has."""
+    plain = re.sub(r"\(\?:[^)]*\)\??|[a-z]\?|\\[a-z]\+?|\{name\}", " ", pattern)
+    return max(re.findall("[a-z]+", plain), key=len, default="")
+
+
+def names_beside(text: Column, lowered: Column, pattern: str) -> Column:
     """All capitalized words of a text that stand at the pattern's place. What comes after the name is only looked at, so that
-    one match doesn't hide the next."""
+    one match doesn't hide the next. Texts without the pattern's fixed word are not searched."""
     before, after = pattern.split("{name}")
     rule = f"(?i:{ascii_words(before)})({NAME})(?={ascii_words(after) if after == chr(92) + 'b' else '(?i:' + ascii_words(after) + ')'})"
-    return F.regexp_extract_all(text, F.lit(rule), F.lit(1))
+    return F.when(lowered.contains(fixed_word(pattern)), F.array_distinct(F.regexp_extract_all(text, F.lit(rule), F.lit(1)))).otherwise(strings(()))
 
 
 def detect_entities(docs: DataFrame, registry: Registry | None = None, doc_id: str = "doc_id", text: str = "text", stopwords=NAME_STOPWORDS) -> DataFrame:
     """(doc_id, name, score): occurrences of capitalized words of three letters or more, and two for each pattern of people or
-    projects that the name meets in the text. A stopword counts only where a pattern met it, a registered name always."""
-    body = F.col(text)
+    projects that the name meets in the text. A stopword counts only where a pattern met it, a registered name always. A
+    text's names are counted within its row."""
+    body = F.coalesce(F.col(text), F.lit(""))
     found = F.regexp_extract_all(body, F.lit(ascii_words(rf"\b({NAME})\b")), F.lit(1))
-    patterns = PERSON_PATTERNS + PROJECT_PATTERNS
-    beside = F.concat(*(F.array_distinct(names_beside(body, p)) for p in patterns))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.concat(F.transform(found, lambda w: F.struct(w.alias("name"), F.lit(1).alias("n"), F.lit(0).alias("met"))), F.transform(beside, lambda w: F.struct(w.alias("name"), F.lit(0).alias("n"), F.lit(1).alias("met"))))).alias("w"))
-    scored = rows.groupBy("doc_id", "w.name").agg(F.sum("w.n").alias("n"), F.sum("w.met").alias("met")).where("n > 0")
+    beside = bound(F.lower(body), lambda lowered: F.concat(*(names_beside(body, lowered, p) for p in PERSON_PATTERNS + PROJECT_PATTERNS)))
+    item = lambda w, n, met: F.struct(w.alias("name"), F.lit(n).alias("n"), F.lit(met).alias("met"))
+    items = F.concat(F.transform(found, lambda w: item(w, 1, 0)), F.transform(beside, lambda w: item(w, 0, 1)))
+    total = lambda run, field: F.aggregate(run, F.lit(0), lambda a, x: a + x[field])
+    counted = runs(items, "name", lambda run: F.struct(run[0]["name"].alias("name"), total(run, "n").alias("n"), total(run, "met").alias("met")))
+    scored = docs.select(F.col(doc_id).alias("doc_id"), F.inline(counted)).where("n > 0")
     stop = F.lower("name").isin(*stopwords)
     if registry is not None:
         known = registry.people.select(F.lower("name").alias("__known")).union(registry.projects.select(F.lower("name"))).distinct()

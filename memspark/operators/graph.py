@@ -55,17 +55,19 @@ def top_tunnels(nodes: DataFrame, n: int = 10) -> DataFrame:
 
 def traverse(nodes: DataFrame, start_room: str, max_hops: int = 2, limit: int = 50) -> DataFrame:
     """(room, wings, halls, count, hop, connected_via): rooms within so many hops over shared wings. A room's parent is the
-    first, by the order in which rooms were found, that shares a wing. Each hop goes from the frontier's wings, each of
-    which is expanded once, to rooms not seen yet; its result is a table in the shared folder."""
+    first, by the order in which rooms were found, that shares a wing; that order is the order of the rooms' trails (the
+    names from the start), so nothing has to be numbered. Each hop goes from the frontier's wings, each of which is expanded
+    once, to rooms not seen yet; its result is a table in the shared folder. An unknown start is an error that names rooms
+    like it."""
     member = nodes.select("room", F.explode("wings").alias("wing"))
-    seen = materialize(nodes.where(F.col("room") == start_room).select("room", F.lit(0).alias("hop"), F.lit([0]).cast("array<int>").alias("trail"), F.lit(None).cast("string").alias("parent")), "seen")
+    seen = materialize(nodes.where(F.col("room") == start_room).select("room", F.lit(0).alias("hop"), F.array("room").alias("trail"), F.lit(None).cast("string").alias("parent")), "seen")
+    if not seen.limit(1).count():
+        raise LookupError(f"no room {start_room!r}; rooms like it: {', '.join(r['room'] for r in suggest_rooms(nodes, start_room).collect()) or 'none'}")
     for hop in range(1, max_hops + 1):
         frontier = seen.where(F.col("hop") == hop - 1).select("room", "trail")
-        by_wing = frontier.join(member, "room").groupBy("wing").agg(F.min(F.struct("trail", "room")).alias("first"))
-        found = member.join(by_wing, "wing").join(seen.select("room"), "room", "left_anti").groupBy("room").agg(F.min("first").alias("first"))
-        # A room's place: its parent's, then its own among the parent's by name.
-        own = F.row_number().over(Window.partitionBy("first.room").orderBy("room"))
-        found = found.select("room", F.lit(hop).alias("hop"), F.concat("first.trail", F.array(own)).alias("trail"), F.col("first.room").alias("parent"))
+        by_wing = frontier.join(member, "room").groupBy("wing").agg(F.min("trail").alias("trail"))
+        found = member.join(by_wing, "wing").join(seen.select("room"), "room", "left_anti").groupBy("room").agg(F.min("trail").alias("trail"))
+        found = found.select("room", F.lit(hop).alias("hop"), F.concat("trail", F.array("room")).alias("trail"), F.element_at("trail", -1).alias("parent"))
         new = materialize(seen.unionByName(found), "seen")
         release(seen)
         seen = new

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,9 +46,9 @@ def add_triples(entities: DataFrame, triples: DataFrame, incoming: DataFrame, no
     active = triples.where("valid_to is null").groupBy(*key).agg(F.min("id").alias("active_id"))
     text = F.concat_ws("|", "subject", "predicate", "object", F.coalesce("valid_from", F.lit("")), F.col("seq").cast("string"))
     rows = rows.withColumn("id", F.concat(F.lit("t_"), F.concat_ws("_", *key), F.lit("_"), F.substring(F.md5(text.cast("binary")), 1, 8)))
-    first = F.min_by(F.col("id"), F.when(F.col("valid_to").isNull(), F.col("seq"))).over(Window.partitionBy(*key))
-    first_seq = F.min(F.when(F.col("valid_to").isNull(), F.col("seq"))).over(Window.partitionBy(*key))
-    rows = rows.withColumns({"first_id": first, "first_seq": first_seq}).join(active, key, "left")
+    # The first active one of each triple, by a partial aggregation: a triple with most of the rows isn't one task's.
+    opened = rows.where("valid_to is null").groupBy(*key).agg(F.min("seq").alias("first_seq"), F.min_by("id", "seq").alias("first_id"))
+    rows = rows.join(opened, key, "left").join(active, key, "left")
     added = F.col("active_id").isNull() & (F.col("first_seq").isNull() | (F.col("seq") <= F.col("first_seq")))
     rows = rows.withColumn("added", added)
     ids = rows.select("seq", F.when(F.col("added"), F.col("id")).otherwise(F.coalesce("active_id", "first_id")).alias("id"), "added")
@@ -56,10 +56,15 @@ def add_triples(entities: DataFrame, triples: DataFrame, incoming: DataFrame, no
     return entities.unionByName(made), triples.unionByName(new), ids
 
 
+def closing_keys(closings: DataFrame, today: str) -> DataFrame:
+    """(subject, predicate, object, ended) by ids of closings with names as given, the first end of each."""
+    ends = closings.select(entity_id("subject").alias("subject"), predicate_name("predicate").alias("predicate"), entity_id("object").alias("object"), F.coalesce(F.nullif("ended", F.lit("")), F.lit(today)).alias("ended"))
+    return ends.groupBy("subject", "predicate", "object").agg(F.min("ended").alias("ended"))
+
+
 def invalidate(triples: DataFrame, closings: DataFrame, today: str) -> DataFrame:
     """closings: (subject, predicate, object, ended), names as given. Active triples that match get valid_to."""
-    ends = closings.select(entity_id("subject").alias("subject"), predicate_name("predicate").alias("predicate"), entity_id("object").alias("object"), F.coalesce(F.nullif("ended", F.lit("")), F.lit(today)).alias("ended"))
-    ends = ends.groupBy("subject", "predicate", "object").agg(F.min("ended").alias("ended"))
+    ends = closing_keys(closings, today)
     joined = triples.join(ends, ["subject", "predicate", "object"], "left")
     return joined.withColumn("valid_to", F.when(F.col("valid_to").isNull(), F.col("ended")).otherwise(F.col("valid_to"))).select(*triples.columns)
 
