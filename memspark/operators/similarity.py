@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.text import base_name, or_default, snippet
-from memspark.plans.shared import materialize, release
+from memspark.plans.shared import materialize, shared_path
 
 #: Queries that go to the tasks at once.
 QUERY_BLOCK = 20_000
+#: Incoming rows that are decided at once.
+ACCEPT_BLOCK = 4096
 
 
 def hash_features(texts: list[str], dim: int = 384) -> np.ndarray:
@@ -48,8 +50,8 @@ def similarity(a: Column | str, b: Column | str) -> Column:
 
 def topk(drawers: DataFrame, queries: DataFrame, k: int = 5, wing: str | None = None, room: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, id, similarity) of drawers (id, vector) and queries (query_id, vector). The queries are the stated
-    set: blocks of at most ``block`` of them go to the tasks, each multiplies its rows by them and passes on its k best
-    per query."""
+    set: blocks of about ``block`` of them go to the tasks, each multiplies its rows by them and passes on its k best
+    per query. Of several blocks, each one's result is written and its broadcast freed before the next is read."""
     for name, value in (("wing", wing), ("room", room)):
         if value is not None:
             drawers = drawers.where(F.col(name) == value)
@@ -84,6 +86,9 @@ def topk(drawers: DataFrame, queries: DataFrame, k: int = 5, wing: str | None =
 
         kinds = dict(drawers.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
         part = drawers.select("id", "vector").mapInArrow(best, f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double")
+        if n_blocks > 1:
+            part = materialize(part, "nearest")
+            shared.destroy()
         scored = part if scored is None else scored.union(part)
     if scored is None:
         kind = dict(queries.dtypes)["query_id"]
@@ -109,47 +114,66 @@ def check_duplicates(stored: DataFrame, incoming: DataFrame, threshold: float =
     return rows.select(F.col("query_id").alias("id"), found.alias("is_duplicate"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.when(found, F.col("existing_id")).alias("existing_id"))
 
 
-def close_pairs(rows: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
-    """(a, b) with a < b in the given order (``pos``) and a similarity of the threshold or more. Rows are dealt to blocks by a
-    hash, and each pair of blocks is one unit of work with two blocks of rows."""
-    n = max(1, -(-rows.count() // block))
-    dealt = rows.select("pos", "vector", F.pmod(F.xxhash64("pos"), F.lit(n)).cast("int").alias("mine"))
-    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("pos", "vector", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+def first_near(rows: DataFrame, wanted: list[tuple[int, list[float]]], threshold: float) -> dict[int, int]:
+    """The least ``pos`` of the rows (pos, vector) that are near each of the wanted (pos, vector), of those that have one."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(([p for p, _ in wanted], np.array([v for _, v in wanted], dtype=np.float64)))
 
-    def pairs(key, frame):
-        import pandas as pd
-
-        i, j = key
-        left, right = (frame[frame["mine"] == x] for x in (i, j))
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        dots = np.round(np.stack(left["vector"].to_numpy()).astype(np.float64) @ np.stack(right["vector"].to_numpy()).astype(np.float64).T, 3)
-        x, y = np.nonzero(dots >= threshold)
-        a, b = left["pos"].to_numpy()[x], right["pos"].to_numpy()[y]
-        keep = a < b if i == j else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors = shared.value
+        found = np.full(len(names), np.iinfo(np.int64).max)
+        for batch in batches:
+            if len(batch):
+                near = np.round(np.array(batch.column(1).to_pylist(), dtype=np.float64) @ vectors.T, 3) >= threshold
+                pos = batch.column(0).to_numpy()[:, None]
+                found = np.minimum(found, np.where(near, pos, np.iinfo(np.int64).max).min(axis=0))
+        at = np.flatnonzero(found < np.iinfo(np.int64).max)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(names, dtype=np.int64)[at]), pa.array(found[at])], names=["pos", "first"])
 
-    return units.groupBy("i", "j").applyInPandas(pairs, "a bigint, b bigint")
+    made = rows.select(F.col("pos").cast("long"), "vector").mapInArrow(least, "pos bigint, first bigint").groupBy("pos").agg(F.min("first").alias("first"))
+    out = {r["pos"]: r["first"] for r in made.collect()}
+    shared.destroy()
+    return out
 
 
-def add_if_new(stored: DataFrame, incoming: DataFrame, threshold: float = 0.9) -> DataFrame:
+def add_if_new(stored: DataFrame, incoming: DataFrame, threshold: float = 0.9, block: int = ACCEPT_BLOCK) -> DataFrame:
     """(id, status, existing_id) of incoming (pos, id, vector), as if added one after another: a row is a duplicate if a
-    stored row, or an accepted row before it, is near. Rounds: of the rows still open, those without an open near row
-    before them are decided: by then all before them are."""
+    stored row, or an accepted row before it, is near. The rows that no stored one is near are decided in blocks of about
+    ``block`` in their order: each block is compared with all accepted before it, by all tasks, and then with itself, in
+    the driver. Pairs are never written, so a group of near rows costs no more than others."""
+    spark = incoming.sparkSession
     old = check_duplicates(stored, incoming, threshold)
     rows = materialize(incoming.join(old.select("id", "is_duplicate", "existing_id"), "id"), "incoming")
-    near = materialize(close_pairs(rows.where("not is_duplicate"), threshold), "pairs")
-    state = materialize(rows.select("pos", F.when(F.col("is_duplicate"), F.lit(0)).alias("accepted")), "state")
-    while state.where("accepted is null").limit(1).count():
-        before = near.join(state.select(F.col("pos").alias("a"), "accepted"), "a").groupBy(F.col("b").alias("pos")).agg(F.max(F.col("accepted")).alias("taken"), F.max(F.col("accepted").isNull()).alias("open"))
-        settled = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(F.col("taken") == 1, 0).when(~F.coalesce("open", F.lit(False)), 1)
-        new = materialize(state.join(before, "pos", "left").select("pos", settled.alias("accepted")), "state")
-        release(state)
-        state = new
-    by = near.join(state.where("accepted = 1").select(F.col("pos").alias("a")), "a").groupBy(F.col("b").alias("pos")).agg(F.min("a").alias("a"))
-    first = rows.select(F.col("pos").alias("a"), F.col("id").alias("first_id"))
-    out = rows.join(state, "pos").join(by.join(first, "a"), "pos", "left")
-    return out.select("id", F.when(F.col("accepted") == 1, "added").otherwise("duplicate").alias("status"), F.when(F.col("accepted") == 0, F.coalesce("existing_id", "first_id")).alias("existing_id"))
+    undecided = rows.where("not is_duplicate").select(F.col("pos").cast("long").alias("pos"), "vector")
+    parts = -(-undecided.count() // block)
+    ends = undecided.approxQuantile("pos", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    accepted, taken = shared_path(spark, "accepted"), shared_path(spark, "taken")
+    undecided.limit(0).write.parquet(accepted)
+    spark.createDataFrame([], "pos bigint, first bigint").write.parquet(taken)
+    for low, high in zip([None, *ends], [*ends, None], strict=True):
+        part = undecided if low is None else undecided.where(F.col("pos") > low)
+        part = part if high is None else part.where(F.col("pos") <= high)
+        wanted = sorted((r["pos"], r["vector"]) for r in part.collect())
+        if not wanted:
+            continue
+        first = first_near(spark.read.schema(undecided.schema).parquet(accepted), wanted, threshold)
+        vectors = np.array([v for _, v in wanted], dtype=np.float64)
+        kept: list[int] = []
+        for i, (pos, _) in enumerate(wanted):
+            if pos not in first:
+                near = np.flatnonzero(np.round(vectors[kept] @ vectors[i], 3) >= threshold) if kept else []
+                if len(near):
+                    first[pos] = wanted[kept[near[0]]][0]
+                else:
+                    kept.append(i)
+        new = spark.createDataFrame([(wanted[i][0],) for i in kept], "pos bigint")
+        part.join(F.broadcast(new), "pos").select("pos", "vector").write.mode("append").parquet(accepted)
+        spark.createDataFrame(list(first.items()), "pos bigint, first bigint").write.mode("append").parquet(taken)
+    by = spark.read.schema("pos bigint, first bigint").parquet(taken)
+    names = rows.select(F.col("pos").alias("first"), F.col("id").alias("first_id"))
+    out = rows.join(by, "pos", "left").join(names, "first", "left")
+    status = F.when(F.col("is_duplicate") | F.col("first").isNotNull(), "duplicate").otherwise("added")
+    return out.select("id", status.alias("status"), F.coalesce("existing_id", "first_id").alias("existing_id"))
 
 
 def render_results(found: DataFrame, drawers: DataFrame) -> DataFrame:

@@ -19,11 +19,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_dir(spark)}/memspark/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor
     costs only the tasks that read it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/memspark/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path

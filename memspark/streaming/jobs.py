@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from memspark.operators.drawers import append_drawers, mine_conversations, mine_project
-from memspark.operators.kg import add_triples, invalidate
-from memspark.sources.files import read_kg, write_kg
+from memspark.operators.kg import ENTITY, TRIPLE, add_triples, closing_keys
+from memspark.sources.files import write_kg
 
 CHECKPOINT = "session_id string, n bigint, since_last bigint"
 
@@ -42,12 +43,14 @@ def save_checkpoints_batch(df: DataFrame, every: int = 15, marker: str = "<comma
 
 
 class SaveEvery(StatefulProcessor):
-    """A session's messages so far, and how many there were at the last checkpoint."""
+    """A session's messages so far, and how many there were at the last checkpoint. With ``idle_ms`` the state of a session
+    that says nothing for so long is dropped; if it goes on later, it is counted anew."""
 
-    def __init__(self, every: int = 15):
-        self.every = every
+    def __init__(self, every: int = 15, idle_ms: int | None = None):
+        self.every, self.idle_ms = every, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("counts", "n bigint, saved bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -60,16 +63,25 @@ class SaveEvery(StatefulProcessor):
                     out.append((key[0], n, n - saved))
                     saved = n
         self.state.update((n, saved))
+        if self.idle_ms:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "n", "since_last"]).astype({"session_id": str, "n": "int64", "since_last": "int64"})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({"session_id": pd.Series(dtype=str), "n": pd.Series(dtype="int64"), "since_last": pd.Series(dtype="int64")})
+
     def close(self) -> None:
         pass
 
 
-def save_checkpoints(stream: DataFrame, every: int = 15, marker: str = "<command-message>") -> DataFrame:
+def save_checkpoints(stream: DataFrame, every: int = 15, marker: str = "<command-message>", idle_ms: int | None = None) -> DataFrame:
     """The same over a stream. The count alone decides, so the order within a micro-batch doesn't matter. Needs the RocksDB
-    state store."""
-    return counted_messages(stream, marker).groupBy("session_id").transformWithStateInPandas(SaveEvery(every), CHECKPOINT, "Append", "None")
+    state store. Pass ``idle_ms`` to let the state of idle sessions go (by processing time)."""
+    mode = "ProcessingTime" if idle_ms else "None"
+    return counted_messages(stream, marker).groupBy("session_id").transformWithStateInPandas(SaveEvery(every, idle_ms), CHECKPOINT, "Append", mode)
 
 
 def compaction_checkpoints(df: DataFrame) -> DataFrame:
@@ -90,17 +102,58 @@ def mine_stream(files: DataFrame, store: Callable[[], DataFrame], path: str, che
     return files.writeStream.foreachBatch(mined).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def kg_stream(triples: DataFrame, path: str, checkpoint: str, closings: bool = False, today: str = ""):
-    """Adds (or closes) each micro-batch of triples in the tables below ``path``. A version of the tables is a folder of its
-    own, so a batch that runs again starts from the version before it."""
+CLOSING = T.StructType().add("subject", "string").add("predicate", "string").add("object", "string").add("ended", "string").add("upto", "integer")
+
+
+def versioned(spark: SparkSession, path: str, versions: list[int] | None = None) -> DataFrame:
+    """The triples of some versions (or all) with the number of each one's version."""
+    paths = [f"{path}/v{n}/triples" for n in versions] if versions is not None else [f"{path}/v*/triples"]
+    rows = spark.read.schema(TRIPLE).parquet(*paths)
+    return rows.withColumn("version", F.regexp_extract(F.col("_metadata.file_path"), "/v([0-9]+)/triples/", 1).cast("int"))
+
+
+def closed(triples: DataFrame, closings: DataFrame) -> DataFrame:
+    """Triples with the end of the first closing that came when they were there."""
+    ends = closings.groupBy("subject", "predicate", "object").agg(F.array_sort(F.collect_set(F.struct("upto", "ended"))).alias("ends"))
+    rows = triples.join(ends, ["subject", "predicate", "object"], "left")
+    end = F.get(F.filter("ends", lambda x: x["upto"] >= F.col("version")), F.lit(0))["ended"]
+    return rows.withColumn("valid_to", F.coalesce("valid_to", end)).select(*TRIPLE.names)
+
+
+def latest_kg(spark: SparkSession, path: str, versions: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities, triples) of a store that `kg_stream` keeps: the rows of all versions, with the closings applied."""
+    paths = [f"{path}/v{n}/entities" for n in versions] if versions is not None else [f"{path}/v*/entities"]
+    closings = spark.read.schema(CLOSING).parquet(f"{path}/closed*")
+    return spark.read.schema(ENTITY).parquet(*paths), closed(versioned(spark, path, versions), closings)
 
-    def applied(batch: DataFrame, n: int) -> None:
+
+def kg_stream(triples: DataFrame, path: str, checkpoint: str, closings: bool = False, today: str = "", first: int = 0):
+    """Adds (or closes) each micro-batch of triples in the store below ``path``, which has a version ``first``. Micro-batch n
+    writes what it adds, and nothing else, as version n + 1, or its closings as a table of their own; a batch that runs
+    again writes the same again. `latest_kg` reads the store, `compact_kg` makes one version of many."""
+    triples.sparkSession.createDataFrame([], CLOSING).write.mode("ignore").parquet(f"{path}/closed0")
+
+    def added(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        entities, known = latest_kg(spark, path, list(range(first, n + 1)))
+        rows = batch.persist()
+        all_entities, all_triples, _ = add_triples(entities.limit(0), known, rows)
+        # The new ones alone: entities and triples come out behind those of the store.
+        new = all_triples.join(known.select("id"), "id", "left_anti")
+        write_kg(all_entities.join(entities.select("id"), "id", "left_anti").select(*ENTITY.names), new.select(*TRIPLE.names), f"{path}/v{n + 1}")
+        rows.unpersist()
+
+    def ended(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        entities, known = read_kg(spark, f"{path}/v{n}")
-        if closings:
-            known = invalidate(known, batch, today)
-        else:
-            entities, known, _ = add_triples(entities, known, batch)
-        write_kg(entities, known, f"{path}/v{n + 1}")
-
-    return triples.writeStream.foreachBatch(applied).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        upto = versioned(spark, path).agg(F.coalesce(F.max("version"), F.lit(first))).first()[0]
+        ends = closing_keys(batch, today).withColumn("upto", F.lit(upto))
+        ends.select(*CLOSING.names).write.mode("overwrite").parquet(f"{path}/closed{n + 1}")
+
+    return triples.writeStream.foreachBatch(ended if closings else added).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def compact_kg(spark: SparkSession, path: str, to: str, version: int) -> None:
+    """One version of all of a store, below another path; streams go on there with ``first=version``."""
+    entities, triples = latest_kg(spark, path)
+    write_kg(entities, triples, f"{to}/v{version}")
+    spark.createDataFrame([], CLOSING).write.mode("ignore").parquet(f"{to}/closed0")
