@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.functions import extract, routing
-from memspark.functions.wordlists import EMOTION_SIGNALS, FLAG_SIGNALS, MEMORY_PATTERNS, ROOM_FOLDERS, TOPIC_STOPWORDS, TOPICS
+from memspark.functions.wordlists import EMOTION_SIGNALS, FLAG_SIGNALS, MEMORY_PATTERNS, NAME_STOPWORDS, PERSON_PATTERNS, PROJECT_PATTERNS, ROOM_FOLDERS, TOPIC_STOPWORDS, TOPICS
 from memspark.operators import drawers, entities, evaluate, graph, kg, similarity, transcripts
 from memspark.streaming import jobs
 
@@ -220,13 +220,13 @@ SQL["mtime_skip"] = "SELECT 'f' || doc_id AS source_file, n_chars * 1.0::DOUBLE
 @query
 def latest_upsert(spark, d):
     docs = t(spark, d, "documents")
-    row = lambda version: docs.select((F.col("doc_id") % 97).cast("string").alias("id"), "text", F.lpad(((F.col("doc_id") * 7 + version) % 50).cast("string"), 3, "0").alias("filed_at"), F.col("doc_id").alias("chunk_index"))
+    row = lambda version: docs.select(F.floor(F.col("doc_id") / 3).cast("string").alias("id"), "text", F.lpad(((F.col("doc_id") * 7 + version) % 50).cast("string"), 3, "0").alias("filed_at"), F.col("doc_id").alias("chunk_index"))
     return drawers.latest_drawers(row(0), row(3)).select("id", "filed_at", "chunk_index")
 
 
 SQL["latest_upsert"] = """
 WITH x AS (
-  SELECT (doc_id % 97)::VARCHAR AS id, lpad(((doc_id * 7 + v) % 50)::VARCHAR, 3, '0') AS filed_at, doc_id AS chunk_index, v FROM documents, (VALUES (0), (3)) y(v))
+  SELECT (doc_id // 3)::VARCHAR AS id, lpad(((doc_id * 7 + v) % 50)::VARCHAR, 3, '0') AS filed_at, doc_id AS chunk_index, v FROM documents, (VALUES (0), (3)) y(v))
 SELECT id, filed_at, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY filed_at DESC, v DESC, chunk_index DESC) AS n FROM x) WHERE n = 1"""
 
 _SAID = {1: "we decided to wait", 2: "I prefer tea", 3: "it works", 4: "the error is back", 5: "I feel fine"}
@@ -318,6 +318,35 @@ def compress_text(spark, d):
     return rows.select("doc_id", "compressed", "original_tokens", "summary_tokens", "size_ratio")
 
 
+def sql_tokens(x: str) -> str:
+    return f"greatest(1, floor(len(list_filter(regexp_split_to_array({x}, '{TRIM}+'), lambda w: w <> '')) * 1.3::DOUBLE))::BIGINT"
+
+
+def sql_compressed(source: str, header: str) -> str:
+    """CTEs up to ``comp`` (doc_id, text, compressed) of ``source`` (doc_id, text and what the header needs)."""
+    return f"""
+src AS ({source}),
+c_names AS (SELECT doc_id, {_NAMES} AS ns FROM src),
+c_codes AS (SELECT doc_id, array_to_string((list_filter(ns, lambda n, i: list_position(ns, n) = i))[1:3], '+') AS codes FROM c_names),
+c_ws AS (SELECT doc_id, regexp_extract_all(text, '[a-zA-Z][a-zA-Z_-]{{2,}}') AS ws FROM src),
+c_u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM c_ws),
+c_t AS (SELECT doc_id, lower(word) AS term, min(pos) AS first, sum(1 + 2 * regexp_matches(word, '^[A-Z]')::INT + 2 * regexp_matches(word, '[_-]|^.+[A-Z]')::INT) AS score
+        FROM c_u WHERE lower(word) NOT IN ({", ".join(map(quoted, TOPIC_STOPWORDS))}) GROUP BY doc_id, lower(word)),
+c_top AS (SELECT doc_id, string_agg(term, '_' ORDER BY rank) AS topics FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first) AS rank FROM c_t) WHERE rank <= 3 GROUP BY doc_id),
+c_p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?' || chr(10) || ']+'), lambda x: {sql_trim("x")}), lambda x: length(x) > 10) AS ps FROM src),
+c_s AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM c_p),
+c_v AS (SELECT *, 2 * {sql_hits("lower(x)", extract.DECISION_WORDS)} + (length(x) < 80)::INT + (length(x) < 40)::INT - 2 * (length(x) > 150)::INT AS score FROM c_s),
+c_key AS (SELECT doc_id, CASE WHEN length(x) > 55 THEN substr(x, 1, 52) || '...' ELSE x END AS quote FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS n FROM c_v) WHERE n = 1),
+comp AS (SELECT src.*, {header} || concat_ws('|', '0:' || coalesce(nullif(codes, ''), '???'), coalesce(topics, 'misc'), '"' || nullif(quote, '') || '"', nullif({sql_first_tags(EMOTION_SIGNALS)}, ''), nullif({sql_first_tags(FLAG_SIGNALS)}, '')) AS compressed
+         FROM src LEFT JOIN c_codes USING (doc_id) LEFT JOIN c_top USING (doc_id) LEFT JOIN c_key USING (doc_id))"""
+
+
+SQL["compress_text"] = f"""
+WITH {sql_compressed(_SPOKEN, "'w' || (doc_id % 2) || '|?|?|?' || chr(10)")}
+SELECT doc_id, compressed, {sql_tokens("text")} AS original_tokens, {sql_tokens("compressed")} AS summary_tokens,
+       round({sql_tokens("text")} / greatest({sql_tokens("compressed")}, 1), 1)::DOUBLE AS size_ratio FROM comp"""
+
+
 @query
 def token_estimates(spark, d):
     return t(spark, d, "documents").select("doc_id", extract.token_estimate("text").alias("tokens"))
@@ -331,14 +360,27 @@ def entity_candidates(spark, d):
     return entities.detect_entities(spoken(t(spark, d, "documents")))
 
 
+def sql_beside(pattern: str) -> str:
+    """Whether a name of a text stands at a pattern's place; texts without the pattern's fixed word aren't searched."""
+    before, after = pattern.split("{name}")
+    return f"(CASE WHEN contains(low, {quoted(entities.fixed_word(pattern))}) THEN regexp_matches(text, {quoted('(?i:' + before + ')')} || name || {quoted('(?i:' + after + ')')})::INT ELSE 0 END)"
+
+
+SQL["entity_candidates"] = f"""
+WITH s AS ({_SPOKEN}), f AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]{{2,}}\\b')) AS name FROM s),
+c AS (SELECT doc_id, any_value(text) AS text, lower(any_value(text)) AS low, name, count(*) AS n FROM f GROUP BY doc_id, name),
+m AS (SELECT doc_id, name, n, {" + ".join(map(sql_beside, PERSON_PATTERNS + PROJECT_PATTERNS))} AS met FROM c)
+SELECT doc_id, name, (n + 2 * met)::BIGINT AS score FROM m WHERE met > 0 OR lower(name) NOT IN ({", ".join(map(quoted, NAME_STOPWORDS))})"""
+
+
 def event_drawers(spark, d):
+    """Events as drawers: a wing for each kind, a room for each user and month."""
     k = F.get_json_object("props", "$.k").cast("long")
-    return t(spark, d, "events").select(F.col("event_type").alias("wing"), F.concat(F.lit("room-"), (F.col("user_id") % 40).cast("string")).alias("room"), F.concat(F.lit("hall"), (k % 3).cast("string")).alias("hall"), F.date_format("ts", "yyyy-MM-dd").alias("date"), "user_id").where((F.col("user_id") % 40 > 9) | (F.col("wing") == "click"))
+    return t(spark, d, "events").select(F.col("event_type").alias("wing"), F.concat(F.lit("room-"), F.col("user_id").cast("string"), F.date_format("ts", "-MM")).alias("room"), F.concat(F.lit("hall"), (k % 3).cast("string")).alias("hall"), F.date_format("ts", "yyyy-MM-dd").alias("date"))
 
 
 EVENTS = """
-ev AS (SELECT event_type AS wing, 'room-' || (user_id % 40) AS room, 'hall' || (json_extract(props, '$.k')::BIGINT % 3) AS hall, strftime(ts, '%Y-%m-%d') AS date
-       FROM events WHERE user_id % 40 > 9 OR event_type = 'click'),
+ev AS (SELECT event_type AS wing, 'room-' || user_id || strftime(ts, '-%m') AS room, 'hall' || (json_extract(props, '$.k')::BIGINT % 3) AS hall, strftime(ts, '%Y-%m-%d') AS date FROM events),
 nodes AS (SELECT room, list_sort(list_distinct(list(wing))) AS wings, list_sort(list_distinct(list(hall))) AS halls, count(*) AS n, (list_sort(list_distinct(list(date))))[-5:] AS dates FROM ev GROUP BY room)"""
 
 
@@ -398,24 +440,26 @@ SQL["top_tunnels"] = f"WITH {EVENTS} SELECT room, array_to_string(wings, ',') AS
 
 
 def customer_nodes(spark, d):
-    """Rooms of customers: a wing for each nation and for each group of the account."""
-    wings = F.explode(F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.concat(F.lit("g"), (F.col("c_custkey") % 101).cast("string"))))
-    return graph.room_nodes(t(spark, d, "customer").select(F.concat(F.lit("c"), (F.col("c_custkey") % 700).cast("string")).alias("room"), wings.alias("wing"), F.lit("h").alias("hall"), F.lit("").alias("date")))
+    """A room for each customer: a wing for its nation and one for each fifteen customers in a row."""
+    wings = F.explode(F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.concat(F.lit("g"), F.floor(F.col("c_custkey") / 15).cast("string"))))
+    return graph.room_nodes(t(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("room"), wings.alias("wing"), F.lit("h").alias("hall"), F.lit("").alias("date")))
 
 
 @query
 def traverse_rooms(spark, d):
-    rows = graph.traverse(customer_nodes(spark, d), "c1", 2, 100_000)
-    return rows.select("room", "hop", F.col("count").alias("n"))
+    rows = graph.traverse(customer_nodes(spark, d), "c1", 2, 1_000_000)
+    return rows.select("room", "hop", F.col("count").alias("n"), F.array_join("connected_via", ",").alias("via"))
 
 
 SQL["traverse_rooms"] = """
-WITH m AS (SELECT 'c' || (c_custkey % 700) AS room, unnest(['n' || c_nationkey, 'g' || (c_custkey % 101)]) AS wing FROM customer),
-c AS (SELECT room, count(*) AS n FROM m GROUP BY room),
-h1 AS (SELECT DISTINCT b.room FROM m a JOIN m b ON a.wing = b.wing WHERE a.room = 'c1' AND b.room <> 'c1'),
-h2 AS (SELECT DISTINCT b.room FROM h1 JOIN m a ON a.room = h1.room JOIN m b ON a.wing = b.wing WHERE b.room <> 'c1' AND b.room NOT IN (SELECT room FROM h1)),
-x AS (SELECT 'c1' AS room, 0 AS hop UNION ALL SELECT room, 1 FROM h1 UNION ALL SELECT room, 2 FROM h2)
-SELECT x.room, hop, n FROM x JOIN c ON c.room = x.room"""
+WITH m AS (SELECT 'c' || c_custkey AS room, unnest(['n' || c_nationkey, 'g' || (c_custkey // 15)]) AS wing FROM customer),
+c AS (SELECT room, count(*) AS n, list(wing) AS wings FROM m GROUP BY room),
+h1 AS (SELECT DISTINCT b.room, 'c1' AS parent FROM m a JOIN m b ON a.wing = b.wing WHERE a.room = 'c1' AND b.room <> 'c1'),
+w2 AS (SELECT a.wing, min(h1.room) AS parent FROM h1 JOIN m a ON a.room = h1.room GROUP BY a.wing),
+h2 AS (SELECT b.room, min(w2.parent) AS parent FROM w2 JOIN m b ON b.wing = w2.wing WHERE b.room <> 'c1' AND b.room NOT IN (SELECT room FROM h1) GROUP BY b.room),
+x AS (SELECT 'c1' AS room, 0 AS hop, NULL AS parent UNION ALL SELECT room, 1, parent FROM h1 UNION ALL SELECT room, 2, parent FROM h2)
+SELECT x.room, hop, c.n, CASE WHEN parent IS NULL THEN '' ELSE array_to_string(list_sort(list_intersect(c.wings, p.wings)), ',') END AS via
+FROM x JOIN c ON c.room = x.room LEFT JOIN c p ON p.room = x.parent"""
 
 
 @query
@@ -512,12 +556,12 @@ SQL["kg_invalidate"] = f"WITH {KG} SELECT id, CASE WHEN valid_to IS NULL AND pre
 
 
 def asked(spark, d, as_of=None):
-    rows = t(spark, d, "customer").where("c_custkey % 10 = 1").select(F.concat(F.lit("CUSTOMER #"), F.col("c_custkey").cast("string")).alias("name"))
+    rows = t(spark, d, "customer").select(F.concat(F.lit("CUSTOMER #"), F.col("c_custkey").cast("string")).alias("name"))
     return rows if as_of is None else rows.withColumn("as_of", as_of)
 
 
 _OUT = "SELECT q.name AS query, q.as_of AS as_of, 'outgoing' AS direction, q.name AS subject, predicate, o_name AS object, valid_from, valid_to, 1.0::DOUBLE AS confidence, NULL::VARCHAR AS source_closet, valid_to IS NULL AS current FROM q JOIN tri ON tri.subject = q.id"
-_ASK = "q AS (SELECT 'CUSTOMER #' || c_custkey AS name, 'customer_' || c_custkey AS id, {0} AS as_of FROM customer WHERE c_custkey % 10 = 1)"
+_ASK = "q AS (SELECT 'CUSTOMER #' || c_custkey AS name, 'customer_' || c_custkey AS id, {0} AS as_of FROM customer)"
 
 
 @query
@@ -620,6 +664,20 @@ def dedupe_insert(spark, d):
     return similarity.add_if_new(rows.where("id % 20 > 0"), new, 0.35)
 
 
+SQL["dedupe_insert"] = f"""
+WITH RECURSIVE old AS (SELECT id, CASE WHEN s >= 0.35 THEN other END AS existing FROM (
+    SELECT a.vec_id AS id, b.vec_id AS other, {_SIM} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_SIM} DESC, b.vec_id) AS k FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 > 0) WHERE k = 1),
+fresh AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM old WHERE existing IS NULL),
+near AS (SELECT y.i, list(x.i) AS before FROM fresh x JOIN embeddings a ON a.vec_id = x.id JOIN fresh y ON y.i > x.i JOIN embeddings b ON b.vec_id = y.id WHERE {_SIM} >= 0.35 GROUP BY y.i),
+walk(i, taken) AS (
+  SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT f.i, CASE WHEN len(list_intersect(coalesce(n.before, []), w.taken)) > 0 THEN w.taken ELSE list_append(w.taken, f.i) END FROM walk w JOIN fresh f ON f.i = w.i + 1 LEFT JOIN near n ON n.i = f.i),
+done AS (SELECT taken FROM walk ORDER BY i DESC LIMIT 1)
+SELECT old.id, CASE WHEN old.existing IS NULL AND list_contains(done.taken, f.i) THEN 'added' ELSE 'duplicate' END AS status,
+       coalesce(old.existing, CASE WHEN NOT list_contains(done.taken, f.i) THEN (SELECT g.id FROM fresh g WHERE g.i = list_min(list_intersect(n.before, done.taken))) END) AS existing_id
+FROM old CROSS JOIN done LEFT JOIN fresh f ON f.id = old.id LEFT JOIN near n ON n.i = f.i"""
+
+
 @query
 def retrieval_metrics(spark, d):
     rows = vectors(spark, d)
@@ -649,6 +707,23 @@ def l1_budget(spark, d):
     return drawers.essential_story(document_drawers(spark, d))
 
 
+_FILED = f"""SELECT lpad(d.doc_id::VARCHAR, 9, '0') AS id, s.doc_id, s.text, d.source AS wing, d.lang AS room, (l.quality * 5)::INT AS importance
+FROM ({_SPOKEN}) s JOIN documents d USING (doc_id) LEFT JOIN labels l USING (doc_id)"""
+_PICKED = f"""
+seen AS (SELECT *, row_number() OVER (PARTITION BY wing ORDER BY id) AS seen FROM ({_FILED})),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY wing ORDER BY coalesce(nullif(importance, 0), 3) DESC, seen) AS rank FROM seen WHERE seen <= 100)"""
+L1 = f"""
+{_PICKED}, {sql_compressed("SELECT doc_id, text, wing, coalesce(nullif(room, ''), 'general') AS room, rank FROM ranked WHERE rank <= 15", "wing || '|' || room || '|?|f' || doc_id || chr(10)")},
+l1 AS (SELECT wing, room, rank, '  ' || replace(compressed, chr(10), ' | ') AS line, min(rank) OVER (PARTITION BY wing, room) AS head FROM comp),
+l2 AS (SELECT *, CASE WHEN rank = head THEN length(room) + 3 ELSE 0 END AS h FROM l1),
+l3 AS (SELECT *, 30 + coalesce(sum(h + length(line) + 1) OVER (PARTITION BY wing ORDER BY head, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l2),
+l4 AS (SELECT *, before + h <= 3200 AS head_fits, before + h + length(line) <= 3200 AS fits FROM l3),
+l5 AS (SELECT *, coalesce(bool_or(NOT fits) OVER (PARTITION BY wing ORDER BY head, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM l4),
+story AS (SELECT wing, '## L1 — ESSENTIAL STORY' || string_agg(CASE WHEN rank = head THEN chr(10) || '[' || room || ']' ELSE '' END || CASE WHEN fits THEN chr(10) || line ELSE chr(10) || '  ... (more in L3 search)' END, '' ORDER BY head, rank) AS text
+          FROM l5 WHERE NOT stopped AND head_fits GROUP BY wing)"""
+SQL["l1_budget"] = f"WITH {L1} SELECT wing, text FROM story"
+
+
 @query
 def recall_snippets(spark, d):
     return drawers.recall(document_drawers(spark, d), "src2", "en", 10)
@@ -661,18 +736,19 @@ SELECT '## L2 — ON-DEMAND (' || count(*) || ' drawers)' || chr(10) || coalesce
 
 @query
 def session_split(spark, d):
-    """Documents of a source one below the other, each after a banner line."""
-    docs = t(spark, d, "documents").where("doc_id % 4 < 3")
-    body = F.concat(F.lit("* Session start\n"), F.when(F.col("doc_id") % 5 == 0, F.lit("3 previous messages\n")).otherwise(F.lit("")), F.lit("> please look at it\n"), F.repeat(F.lit("line\n"), (F.col("doc_id") % 12).cast("int")), F.col("lang"))
-    files = docs.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", body.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
-    rows = transcripts.split_sessions(files.withColumnRenamed("source", "file"), "* Session start", people=("Alice",))
+    """Six documents to a file with their whole texts, one below the other, each after a banner line and some more."""
+    docs = t(spark, d, "documents")
+    body = F.concat(F.lit("* Session start\n"), F.when(F.col("doc_id") % 5 == 0, F.lit("3 previous messages\n")).otherwise(F.lit("")), F.lit("> please look at it\n" + "line\n" * 6), F.coalesce("text", F.lit("")))
+    name = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 6).cast("string")).alias("file")
+    files = docs.groupBy(name).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", body.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
+    rows = transcripts.split_sessions(files, "* Session start", people=("Alice",))
     return rows.select("file", "session", "subject", "file_name", F.length("content").cast("long").alias("n_chars"))
 
 
 SQL["session_split"] = """
-WITH x AS (SELECT source AS file, doc_id, lang, doc_id % 12 AS k, doc_id % 5 = 0 AS old, sum((doc_id % 5 <> 0)::INT) OVER (PARTITION BY source ORDER BY doc_id) AS session, sum((doc_id % 5 <> 0)::INT) OVER (PARTITION BY source) AS starts FROM documents WHERE doc_id % 4 < 3),
-s AS (SELECT file, session, sum(3 + k + old::INT) AS n_lines, sum(16 + 20 + 5 * k + length(lang) + CASE WHEN old THEN 20 ELSE 0 END) + count(*) - 1 AS n_chars FROM x WHERE starts >= 2 AND session > 0 GROUP BY file, session)
-SELECT file, session::BIGINT AS session, 'please-look-at-it' AS subject, file || '_part' || CASE WHEN session < 10 THEN '0' || session ELSE substr(session::VARCHAR, 1, 2) END || '_unknown_please-look-at-it.txt' AS file_name, n_chars::BIGINT AS n_chars FROM s WHERE n_lines >= 10"""
+WITH x AS (SELECT 'd' || (doc_id // 6) AS file, coalesce(text, '') AS t, doc_id % 5 = 0 AS old, sum((doc_id % 5 <> 0)::INT) OVER (PARTITION BY doc_id // 6 ORDER BY doc_id) AS session, sum((doc_id % 5 <> 0)::INT) OVER (PARTITION BY doc_id // 6) AS starts FROM documents),
+s AS (SELECT file, session, sum(8 + old::INT + len(string_split(t, chr(10)))) AS n_lines, sum(16 + 20 + 30 + length(t) + CASE WHEN old THEN 20 ELSE 0 END) + count(*) - 1 AS n_chars FROM x WHERE starts >= 2 AND session > 0 GROUP BY file, session)
+SELECT file, session::BIGINT AS session, 'please-look-at-it' AS subject, file || '_part' || lpad(session::VARCHAR, 2, '0') || '_unknown_please-look-at-it.txt' AS file_name, n_chars::BIGINT AS n_chars FROM s WHERE n_lines >= 10"""
 
 
 @query
@@ -685,6 +761,12 @@ def session_split_texts(spark, d):
     return rows.select("file", "session", "subject", "file_name", F.length("content").cast("long").alias("n_chars"), "content")
 
 
+SQL["session_split_texts"] = """
+WITH b AS (SELECT 'd' || doc_id AS file, '* Session start' || chr(10) || '> please look at it' || chr(10) || repeat('line' || chr(10), 8) AS o, coalesce(text, '') AS text FROM documents),
+x AS (SELECT file, 1::BIGINT AS session, rtrim(o, chr(10)) AS content FROM b UNION ALL SELECT file, 2, o || text FROM b)
+SELECT file, session, 'please-look-at-it' AS subject, file || '_part0' || session || '_unknown_please-look-at-it.txt' AS file_name, length(content)::BIGINT AS n_chars, content FROM x"""
+
+
 @query
 def session_checkpoints(spark, d):
     rows = t(spark, d, "events").select(F.concat(F.lit("s/"), F.col("user_id").cast("string")).alias("session_id"), F.when(F.col("event_type") == "error", "assistant").otherwise("user").alias("role"), F.col("event_type").alias("content"), "ts", F.col("event_id").alias("id"))

@@ -18,9 +18,14 @@ CASES = {
     "e.json": ('[{"chat_messages":[{"sender":"human","text":"1"}]},null,{"chat_messages":[{"sender":"assistant","text":"2"}]}]', "messages", "> 1\n2\n"),
     "f.json": (TREE, "tree", "> x y\nz\n"),
     "g.json": ('[{"type":"message","user":"U1","text":"one"},{"type":"join"},{"type":"message","user":"U2","text":"two"},{"type":"message","user":"U1","text":"three"},{"type":"message","username":"U3","text":"four"}]', "channel", "> one\ntwo\n\n> three\nfour\n"),
+    "k.json": ('[{"role":"user","content":"[1] first"},{"role":"assistant","content":"{\\"curly\\"} reply"}]', "messages", '> [1] first\n{"curly"} reply\n'),
+    "l.jsonl": ('{"type":"human","message":{"content":"[note] call me"}}\n{"type":"assistant","message":{"content":"{curly} reply"}}', "events", "> [note] call me\n{curly} reply\n"),
+    "m.jsonl": ('{"type":"session_meta"}\n{"type":"event_msg","payload":{"type":"user_message","message":"[x] q"}}\n{"type":"event_msg","payload":{"type":"user_message","message":["no"]}}\n{"type":"event_msg","payload":{"type":"agent_message","message":"{a}"}}', "sessions", "> [x] q\n{a}\n"),
+    "n.json": ('[{"role":"user","content":null,"text":"x"},{"role":"user","content":["[a]",{"type":"text","text":"{b}"},5,null]},{"role":"assistant","content":{"text":"[c]"}},{"role":"user","content":"7"}]', "messages", "> x\n\n> [a] {b}\n[c]\n\n> 7\n"),
     "h.txt": ("> a\n> b\n > c", "transcript", "> a\n> b\n > c"),
     "i.json": ("{broken", "plain", "{broken"),
     "j.txt": (" ", "plain", " "),
+    "o.json": (None, "plain", None),
 }
 
 
@@ -94,3 +99,39 @@ def test_streams_of_files_and_triples(spark, tmp_path):
     jobs.kg_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "t")), str(tmp_path / "kg"), str(tmp_path / "c2")).awaitTermination(60)
     assert files.read_kg(spark, str(tmp_path / "kg/v1"))[1].count() == 1
     assert jobs.compaction_checkpoints(spark.createDataFrame([("a/b", "compaction", 1), ("a", "x", 2)], "session_id string, event string, ts int")).first()["session_id"] == "ab"
+
+
+def test_triples_and_closings_are_appended(spark, tmp_path):
+    """Micro-batches of triples, closings between them, and the same store compacted: as if applied one after another."""
+    path, kind = str(tmp_path / "kg"), "seq int, subject string, predicate string, object string, valid_from string, valid_to string"
+    files.write_kg(spark.createDataFrame([], kg.ENTITY), spark.createDataFrame([], kg.TRIPLE), f"{path}/v0")
+    for name in ("in", "ends"):
+        (tmp_path / name).mkdir()
+    source = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    ends = spark.readStream.schema("subject string, predicate string, object string, ended string").option("recursiveFileLookup", "true").parquet(str(tmp_path / "ends"))
+    add = lambda n, rows: (spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / f"in/{n}")), jobs.kg_stream(source, path, str(tmp_path / "c1")).awaitTermination(60))
+    end = lambda n, rows: (spark.createDataFrame(rows, "subject string, predicate string, object string, ended string").coalesce(1).write.parquet(str(tmp_path / f"ends/{n}")), jobs.kg_stream(ends, path, str(tmp_path / "c2"), closings=True, today="2026-01-01").awaitTermination(60))
+    add(0, [(1, "a", "p", "b", "2020", None), (2, "a", "p", "c", "2020", None)])
+    add(1, [(3, "a", "p", "b", "2021", None)])
+    end(0, [("A", "p", "b", "")])
+    add(2, [(4, "a", "p", "b", "2022", None)])
+    end(1, [("a", "p", "c", "2025")])
+    want = [("b", "2020", "2026-01-01"), ("b", "2022", None), ("c", "2020", "2025")]
+    rows = lambda found: sorted((r["object"], r["valid_from"], r["valid_to"]) for r in found[1].collect())
+    assert rows(jobs.latest_kg(spark, path)) == want and jobs.latest_kg(spark, path)[0].count() == 3
+    assert spark.read.parquet(f"{path}/v2/triples").count() == 0 and spark.read.parquet(f"{path}/v3/triples").count() == 1
+    jobs.compact_kg(spark, path, str(tmp_path / "less"), 3)
+    assert rows(jobs.latest_kg(spark, str(tmp_path / "less"))) == want
+
+
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    kind = "session_id string, role string, content string, ts int, id int"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    for n in range(3):
+        spark.createDataFrame([("a", "user", "x", i, i) for i in range(2)], kind).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        q = jobs.save_checkpoints(stream, 3, idle_ms=1).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    # Two messages, a pause, two more: without the pause there would be a checkpoint at the third and the sixth.
+    assert spark.read.schema(jobs.CHECKPOINT).parquet(str(tmp_path / "out")).count() == 0
