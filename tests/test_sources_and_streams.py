@@ -1,6 +1,7 @@
 import json
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from memspark.operators import drawers, kg
@@ -124,14 +125,47 @@ def test_triples_and_closings_are_appended(spark, tmp_path):
     assert rows(jobs.latest_kg(spark, str(tmp_path / "less"))) == want
 
 
-def test_idle_sessions_are_forgotten(spark, tmp_path):
-    kind = "session_id string, role string, content string, ts int, id int"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    (tmp_path / "in").mkdir()
-    stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    for n in range(3):
-        spark.createDataFrame([("a", "user", "x", i, i) for i in range(2)], kind).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
-        q = jobs.save_checkpoints(stream, 3, idle_ms=1).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    # Two messages, a pause, two more: without the pause there would be a checkpoint at the third and the sixth.
-    assert spark.read.schema(jobs.CHECKPOINT).parquet(str(tmp_path / "out")).count() == 0
+def test_idle_sessions_are_forgotten():
+    """The state and its timer, with the handle that Spark gives played by the test."""
+
+    class Handle:
+        counts, timers = None, []
+
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            return self.counts is not None
+
+        def get(self):
+            return self.counts
+
+        def update(self, counts):
+            self.counts = counts
+
+        def clear(self):
+            self.counts = None
+
+        def listTimers(self):
+            return self.timers
+
+        def deleteTimer(self, at):
+            self.timers = [x for x in self.timers if x != at]
+
+        def registerTimer(self, at):
+            self.timers = [*self.timers, at]
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.at
+
+    handle, kept = Handle(), jobs.SaveEvery(3, idle_ms=50)
+    kept.init(handle)
+    two = lambda at: [tuple(x) for f in kept.handleInputRows(("a",), iter([pd.DataFrame({"id": [1, 2]})]), Now(at)) for x in f.itertuples(index=False)]
+    assert two(0) == [] and handle.timers == [50]
+    assert two(20) == [("a", 3, 3)] and handle.timers == [70]
+    assert sum(len(f) for f in kept.handleExpiredTimer(("a",), Now(70), None)) == 0 and not handle.exists()
+    assert two(90) == [] and handle.counts == (2, 0)
