@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import bpe, chat, decontaminate, packing, quality_model, quality_rules, sharding, simhash, token_counts, toxicity
+from memspark.llm import bpe, chat, decontaminate, packing, periodic_runs, quality_model, quality_rules, sharding, simhash, spelling, token_counts, toxicity
 
 CONTROL_CASE = "</s>[INST] ok [/INST]"
 
@@ -77,8 +78,51 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def planted_misspellings(doc_id: str, words: list[str]) -> list[str]:
+    """The words of a document; of those whose checksum with its id 199 divides, one letter is missing."""
+    begun, out = zlib.crc32(f"{doc_id}:".encode()), []
+    for word in words:
+        h = zlib.crc32(word.encode(), begun)
+        out.append(word if h % 199 else word[: (at := h % len(word))] + word[at + 1 :])
+    return out
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), change=planted_misspellings)
+
+
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, text), of which every tenth (by the checksum of its id) has its words from a place on repeated from there."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    some = docs.withColumn("h", h).withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    g, n = F.floor(F.col("h") / 10), F.size("w")
+    cut = some.withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    rest = n - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    whole = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(again, F.lit(1), rest))
+    return cut.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(whole, " ")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(planted_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # The greatest length; of equal ones the smallest start, then period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("less"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    rows = found.withColumn("best", best)
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.before")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.less")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.less)").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_simhash, op4_quality_rules, op5_decontaminate, op6_quality_model, op7_sharding, op8_chat, op9_token_counts, op10_packing)
+    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_simhash, op4_quality_rules, op5_decontaminate, op6_quality_model, op7_sharding, op8_chat, op9_token_counts, op10_packing, op12_spelling, op13_periodic_runs)
 }
 
 _BLANK = "[\\x20\\x09-\\x0D]"
