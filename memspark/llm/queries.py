@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import bpe, chat, decontaminate, packing, periodic_runs, quality_model, quality_rules, sharding, simhash, spelling, token_counts, toxicity
+from memspark.llm import bpe, chat, decontaminate, packing, periodic_runs, pii, quality_model, quality_rules, sharding, simhash, spelling, token_counts, toxicity
 
 CONTROL_CASE = "</s>[INST] ok [/INST]"
 
@@ -78,6 +78,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, pii.KINDS), F.sha2(told(base), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
 def planted_misspellings(doc_id: str, words: list[str]) -> list[str]:
     """The words of a document; of those whose checksum with its id 199 divides, one letter is missing."""
     begun, out = zlib.crc32(f"{doc_id}:".encode()), []
@@ -122,7 +130,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_simhash, op4_quality_rules, op5_decontaminate, op6_quality_model, op7_sharding, op8_chat, op9_token_counts, op10_packing, op12_spelling, op13_periodic_runs)
+    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_simhash, op4_quality_rules, op5_decontaminate, op6_quality_model, op7_sharding, op8_chat, op9_token_counts, op10_packing, op11_pii, op12_spelling, op13_periodic_runs)
 }
 
 _BLANK = "[\\x20\\x09-\\x0D]"
@@ -190,4 +198,33 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
        sum(body + CASE role WHEN 'user' THEN 22 WHEN 'assistant' THEN 7 WHEN 'system' THEN 22 ELSE 20 + name END)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    # The checksum is worked out byte by byte with its table; letters past ASCII are two bytes, 195 and the code point less 64.
+    "op12_spelling": """
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM (SELECT unnest(range(256)) AS i))),
+run AS (
+  SELECT doc_id, w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS w FROM documents)
+  WHERE length(w) >= 6 GROUP BY doc_id, w),
+hashed AS (
+  SELECT w, n, xor(4294967295, list_reduce(
+           list_prepend(4294967295, flatten(list_transform(string_split(concat(doc_id, ':', w), ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c)::BIGINT - 64] END))),
+           lambda c, b: xor(c >> 8, crc.t[1 + (xor(c, b) & 255)]))) AS h
+  FROM run, crc),
+v AS (
+  SELECT w, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, n FROM hashed)
+  WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5),
+cut AS (SELECT w, n, k, left(w, k - 1) AS a, substr(w, k + 1) AS b FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS k FROM v)),
+near AS (
+  SELECT x.w, y.w AS o, y.n AS m FROM cut x JOIN cut y ON x.k = y.k AND x.a = y.a AND x.b = y.b AND x.w <> y.w
+  UNION SELECT cut.w, v.w, v.n FROM cut JOIN v ON cut.a || cut.b = v.w
+  UNION SELECT v.w, cut.w, cut.n FROM cut JOIN v ON cut.a || cut.b = v.w),
+best AS (SELECT w, count(*) AS n_near, first(o ORDER BY m DESC, o) AS o, max(m) AS m FROM near GROUP BY w),
+f AS (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN o END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM v LEFT JOIN best ON best.w = v.w),
+walk(w, place) AS (SELECT w, w FROM f UNION ALL SELECT walk.w, f.form FROM walk JOIN f ON f.w = walk.place WHERE f.form IS NOT NULL)
+SELECT f.w AS word, f.form, walk.place AS root, f.n, f.n_near, f.form_n
+FROM f JOIN walk ON walk.w = f.w JOIN f AS last ON last.w = walk.place WHERE last.form IS NULL""",
 }
