@@ -4,10 +4,10 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from memspark.llm import bpe, chat, decontaminate, near_copies, packing, quality_model, quality_rules, sharding, simhash, token_counts, toxicity
+from memspark.llm import bpe, chat, decontaminate, near_copies, packing, periodic_runs, pii, quality_model, quality_rules, sharding, simhash, spelling, token_counts, toxicity
 
 DATA = "/root/testdata/sf0.001"
-CLASHING = ("n_words", "score", "fp", "token_ids", "hit_spans", "__row", "__words", "n", "key", "shard", "kept")
+CLASHING = ("n_words", "score", "fp", "token_ids", "hit_spans", "__row", "__words", "n", "key", "shard", "kept", "spans", "runs", "collapsed")
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +44,8 @@ ROWS = {
     "op7": lambda df, labels, items: sharding.shard(df),
     "op7_bytes": lambda df, labels, items: sharding.shard(df, law="bytes", slack=0.1),
     "op8": lambda df, labels, items: chat.read_back(chat.format_turns(chat.canonical_json(df, "text"))),
+    "op11": lambda df, labels, items: pii.find_personal_data(df, steps=4),
+    "op13": lambda df, labels, items: periodic_runs.find_runs(df),
     "op9": lambda df, labels, items: token_counts.count_tokens(df),
 }
 
@@ -57,6 +59,12 @@ def test_every_row_comes_back(odd, labels, items, name):
     assert ROWS[name](odd.limit(0), labels, items).collect() == []
 
 
+def test_spelling(odd):
+    words = {r["word"]: r["n"] for r in spelling.group_variants(odd, least_chars=4).collect()}
+    assert words["long"] >= 450_000 and words["word"] >= 450_000
+    assert spelling.group_variants(odd.limit(0)).collect() == []
+
+
 def test_packing(odd):
     ids = {x for r in packing.pack_documents(odd).collect() for x in r["doc_ids"]}
     assert ids == {r["doc_id"] for r in odd.select("doc_id").collect()}
