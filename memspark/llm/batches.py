@@ -55,18 +55,27 @@ def id_type(kind: str) -> str:
     return kind if kind in ID_TYPES else "string"
 
 
+def entry_bytes(key: str | bytes, value: bytes) -> int:
+    """About what an entry takes: the objects' own bytes, their headers and the dict's place."""
+    return len(key) + len(value) + 200
+
+
 class Memo(dict):
-    """A dict for pure results, at most ``most`` entries over what the current batch needs."""
+    """A dict for pure results of at most ``most`` entries, and about ``most_bytes`` where given, over what the current batch needs."""
 
-    def __init__(self, work: Callable[[list], list], most: int = 500_000):
+    def __init__(self, work: Callable[[list], list], most: int = 500_000, most_bytes: int | None = None):
         super().__init__()
-        self.work, self.most = work, most
+        self.work, self.most, self.most_bytes, self.bytes = work, most, most_bytes, 0
 
     def fill(self, keys: set) -> None:
         missing = [k for k in keys if k not in self]
-        if len(self) + len(missing) > self.most:
+        if len(self) + len(missing) > self.most or (self.most_bytes and self.bytes > self.most_bytes):
             held = {k: self[k] for k in keys if k in self}
             self.clear()
             self.update(held)
+            self.bytes = sum(map(entry_bytes, held, held.values())) if self.most_bytes else 0
         if missing:
-            self.update(zip(missing, self.work(missing), strict=True))
+            made = self.work(missing)
+            self.update(zip(missing, made, strict=True))
+            if self.most_bytes:
+                self.bytes += sum(map(entry_bytes, missing, made))

@@ -6,7 +6,9 @@ on equal ranks, finds the leftmost lowest pair. A merge changes at most three le
 neighbour's and the swallowed token's) and the nodes above them. Short pieces of a batch are merged side by side in numpy
 arrays, one tree a row; long ones one after another, in arrays of 4-byte numbers.
 
-A long text is taken `PIECES` pieces at a time, so that beside the text and its ids only these stand in memory.
+A long text is taken `PIECES` pieces, or a million characters of them, at a time; pieces are merged side by side as many at a
+time as `SIDE_BYTES` of trees allow, and the kept pieces are bounded by bytes. So beside a text and its ids a worker holds about
+100 MB, whatever the text; a piece over `SIDE_BY_SIDE` bytes takes 30 bytes for each of its own.
 
 Nulls and empty texts give no ids. A piece that is a whole token gives that token, as the usual library does. Of equal
 ranks the leftmost pair is merged. Repeated rows give equal rows; an empty table gives an empty table; the input's own
@@ -18,7 +20,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,12 @@ from memspark.llm.batches import PART_CHARS, Memo, slices, unused
 NONE = np.int32(2**31 - 1)
 #: Pieces of at most so many bytes are merged side by side.
 SIDE_BY_SIDE = 64
-#: Pieces whose ids a worker keeps, beside those of its current batch.
-MEMO_PIECES = 150_000
-#: Pieces of one long text that are encoded at once.
+#: Pieces whose ids a worker keeps, beside those of its current batch, and about their bytes.
+MEMO_PIECES, MEMO_BYTES = 150_000, 48 << 20
+#: Pieces of one long text that are encoded at once, and their characters.
 PIECES = 100_000
+#: Bytes of the trees and arrays of pieces that are merged side by side: about `PER_BYTE` for each byte of their size.
+SIDE_BYTES, PER_BYTE = 24 << 20, 56
 
 
 def rank_file(path: str | None = None) -> str:
@@ -86,7 +90,7 @@ class Merges:
         self.keys, self.values = keys[order], np.array(list(self.pairs.values()), dtype=np.int32)[order]
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.pattern = regex.compile(split_pattern(pattern))
-        self.memo = Memo(self.encode_pieces, MEMO_PIECES)
+        self.memo = Memo(self.encode_pieces, MEMO_PIECES, MEMO_BYTES)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NONE where a pair isn't a token or a side is absent (-1)."""
@@ -201,8 +205,10 @@ class Merges:
             else:
                 groups.setdefault(1 << (len(piece) - 1).bit_length(), []).append(at)
         for size, members in groups.items():
-            for at, ids in zip(members, self.merge_many([raw[x] for x in members], size), strict=True):
-                out[at] = ids
+            step = max(1, SIDE_BYTES // (PER_BYTE * size))
+            for some in (members[k : k + step] for k in range(0, len(members), step)):
+                for at, ids in zip(some, self.merge_many([raw[x] for x in some], size), strict=True):
+                    out[at] = ids
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -211,8 +217,8 @@ class Merges:
             return self.encode(texts[:half]) + self.encode(texts[half:])
         get = self.memo.__getitem__
         if len(texts) == 1 and len(texts[0]) > PART_CHARS:
-            found, ids = (m[0] for m in self.pattern.finditer(texts[0])), []
-            while part := list(islice(found, PIECES)):
+            ids = []
+            for part in bounded_pieces(m[0] for m in self.pattern.finditer(texts[0])):
                 self.memo.fill(set(part))
                 ids.append(b"".join(map(get, part)))
             return [b"".join(ids)]
@@ -224,6 +230,19 @@ class Merges:
         return tokens(self.path).decode(ids)
 
 
+def bounded_pieces(found: Iterator[str]) -> Iterator[list[str]]:
+    """The pieces in lists of at most `PIECES` pieces and, but for the last of them, `PART_CHARS` characters."""
+    held, chars = [], 0
+    for piece in found:
+        held.append(piece)
+        chars += len(piece)
+        if len(held) >= PIECES or chars >= PART_CHARS:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
+
+
 _loaded: dict[tuple, Merges] = {}
 
 

@@ -21,6 +21,7 @@ whole. Empty tables of documents or items are allowed. The input's own columns s
 
 from __future__ import annotations
 
+import uuid
 from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -138,19 +139,30 @@ def joined(found: list[tuple[int, int]]) -> list[dict]:
     return spans
 
 
+#: The index of the block that this worker searched last, by the name of its search.
+_built: dict[str, WuManber] = {}
+
+
+def index_of(name: str, shared, size: int) -> WuManber:
+    """A block's index, built once in a worker, not in each of its tasks; only one is held."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = WuManber(shared.value, size)
+    return _built[name]
+
+
 def search_block(text: Column, shared, size: int, kind: str) -> Column:
     """shared: a broadcast list of (item id, text). (n_words, spans, items) of each text."""
-    made: list[WuManber] = []
+    name = uuid.uuid4().hex
 
     @F.arrow_udf(f"struct<n_words:bigint,spans:array<struct<start:bigint,n:bigint>>,items:array<{kind}>>")
     def searched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if not made:
-            made.append(WuManber(shared.value, size))
+        index = index_of(name, shared, size)
         row = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())]))), ("items", pa.list_(ID_TYPES[kind]))])
         for batch in batches:
             out = []
             for x in (x for part in slices(batch) for x in part):
-                n, found, items = made[0].search(x)
+                n, found, items = index.search(x)
                 out.append({"n_words": n, "spans": joined(found), "items": sorted(items, key=lambda i: (i is None, i))})
             yield pa.array(out, type=row)
 
@@ -199,7 +211,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
     taken = lambda i: spark.sparkContext.broadcast([(r["item"], r["body"]) for r in numbered.where(F.col("block") == i).toLocalIterator()])
     results = ("n_words", "hit_spans", "item_ids", "n_hit", "contaminated")
     kept = [c for c in df.columns if c not in results]
-    one, none, key = (unused(df.columns, x) for x in ("__found", "__none", "__text"))
+    one, none, key, some = (unused(df.columns, x) for x in ("__found", "__none", "__text", "__hits"))
     if n_blocks == 1:
         # A generator of one row: the function runs once, whatever reads its fields.
         found = df.select(*kept, F.explode(F.array(search_block(F.col(text), taken(0), window, kind))).alias(one))
@@ -215,9 +227,10 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
         release(numbered)
         ids = F.array_distinct(F.flatten(F.collect_list("x.items")))
         hits = hits.groupBy(key).agg(merged(F.array_sort(F.flatten(F.collect_list("x.spans")))).alias("spans"), F.array_sort(ids).alias("items"))
+        hits = hits.select(key, F.struct("spans", "items").alias(some))
         empty = search_block(F.col(text), spark.sparkContext.broadcast([]), window, kind)
         rows = df.select(*kept, of, F.explode(F.array(empty)).alias(none)).join(hits, key, "left")
-        spans, ids = (F.coalesce(hits[c], F.col(f"{none}.{c}")).alias(c) for c in ("spans", "items"))
+        spans, ids = (F.coalesce(F.col(f"{some}.{c}"), F.col(f"{none}.{c}")).alias(c) for c in ("spans", "items"))
         found = rows.select(*kept, F.struct(F.col(f"{none}.n_words").alias("n_words"), spans, ids).alias(one))
     n_hit = F.aggregate(f"{one}.spans", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     out = found.select(*kept, F.col(f"{one}.n_words").alias("n_words"), F.col(f"{one}.spans").alias("hit_spans"), F.col(f"{one}.items").alias("item_ids"), n_hit.alias("n_hit"))
