@@ -24,10 +24,14 @@ def ascii_words(pattern: str) -> str:
 
 def any_of(patterns) -> str:
     """One case-insensitive alternation. Of patterns that begin at a boundary before a word character, the boundary is looked
-    at once."""
+    at once, and those that begin with one letter stand together behind it, so that few are tried at a place."""
     begun = [p[2:] for p in patterns if p.startswith("\\b") and (p[2:3].isalnum() or p[2:4] == "\\d" or p[2:3] == "(")]
     rest = [p for p in patterns if p[2:] not in begun]
-    parts = [f"(?<!\\w)(?:{'|'.join(map(ascii_words, begun))})"] if begun else []
+    plain = [p for p in begun if p[0].isalpha() and p[1:2] not in ("?", "*", "+", "{", "")]
+    letters = {p[0].lower(): [q[1:] for q in plain if q[0].lower() == p[0].lower()] for p in plain}
+    grouped = [f"{first}(?:{'|'.join(map(ascii_words, ends))})" for first, ends in letters.items()]
+    begun = grouped + [ascii_words(p) for p in begun if p not in plain]
+    parts = [f"(?<!\\w)(?:{'|'.join(begun)})"] if begun else []
     return "(?i)" + "|".join(parts + [f"(?:{ascii_words(p)})" for p in rest])
 
 
@@ -49,7 +53,7 @@ def runs(items: Column, key: str, f) -> Column:
         starts = F.filter(F.transform(ordered, changed), lambda i: i.isNotNull())
         return bound(starts, lambda s: F.transform(s, lambda at, n: bound(F.slice(ordered, at + 1, F.coalesce(F.get(s, n + 1), F.size(ordered)) - at), f)))
 
-    return bound(F.array_sort(items), cut)
+    return bound(F.sort_array(items), cut)
 
 
 def contained(lowered: Column, keywords) -> Column:

@@ -30,8 +30,8 @@ def upsert_entities(entities: DataFrame, incoming: DataFrame, now: str = "") ->
 
 
 def add_triples(entities: DataFrame, triples: DataFrame, incoming: DataFrame, now: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """incoming: (seq, subject, predicate, object, valid_from, valid_to[, confidence, source_file]), names as given.
-    Returns (entities, triples, ids): the new stores and (seq, id, added). Missing entities are made, the first name of an
+    """incoming: (seq, subject, predicate, object, valid_from, valid_to[, confidence, source_file]), names as given; ``seq`` is a
+    whole number of its own for each row, 0 or more. What is first is found by hash aggregations of numbers alone. Returns (entities, triples, ids): the new stores and (seq, id, added). Missing entities are made, the first name of an
     id wins. A triple that is active already (valid_to null), in the store or earlier in the batch, isn't added again."""
     has = lambda c, kind: F.col(c) if c in incoming.columns else F.lit(None).cast(kind)
     rows = incoming.select(
@@ -39,15 +39,25 @@ def add_triples(entities: DataFrame, triples: DataFrame, incoming: DataFrame, no
         F.nullif("valid_from", F.lit("")).alias("valid_from"), F.nullif("valid_to", F.lit("")).alias("valid_to"), or_default(has("confidence", "double"), 1.0).alias("confidence"),
         has("source_closet", "string").alias("source_closet"), has("source_file", "string").alias("source_file"),
     )
-    ends = rows.select("seq", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.col("subject").alias("id"), F.col("s_name").alias("name")), F.struct(F.lit(1).alias("pos"), F.col("object").alias("id"), F.col("o_name").alias("name")))).alias("e"))
-    named = ends.groupBy("e.id").agg(F.min_by("e.name", F.struct("seq", "e.pos")).alias("name")).join(entities.select("id"), "id", "left_anti")
+    # The place of a name: twice the row's number, and one more for objects.
+    ends = rows.select(F.explode(F.array(F.struct(F.col("subject").alias("id"), (2 * F.col("seq")).alias("place")), F.struct(F.col("object").alias("id"), (2 * F.col("seq") + 1).alias("place")))).alias("e"))
+    first = ends.groupBy("e.id").agg(F.min("e.place").alias("place")).join(entities.select("id"), "id", "left_anti").select("id", F.floor(F.col("place") / 2).alias("seq"), (F.col("place") % 2 == 0).alias("is_subject"))
+    named = first.join(rows.select("seq", "s_name", "o_name"), "seq").select("id", F.when(F.col("is_subject"), F.col("s_name")).otherwise(F.col("o_name")).alias("name"))
     made = named.select("id", "name", F.lit("unknown").alias("type"), F.lit("{}").alias("properties"), F.lit(now).alias("created_at"))
     key = ["subject", "predicate", "object"]
     active = triples.where("valid_to is null").groupBy(*key).agg(F.min("id").alias("active_id"))
     text = F.concat_ws("|", "subject", "predicate", "object", F.coalesce("valid_from", F.lit("")), F.col("seq").cast("string"))
-    rows = rows.withColumn("id", F.concat(F.lit("t_"), F.concat_ws("_", *key), F.lit("_"), F.substring(F.md5(text.cast("binary")), 1, 8)))
-    # The first active one of each triple, by a partial aggregation: a triple with most of the rows isn't one task's.
-    opened = rows.where("valid_to is null").groupBy(*key).agg(F.min("seq").alias("first_seq"), F.min_by("id", "seq").alias("first_id"))
+    short = F.substring(F.md5(text.cast("binary")), 1, 8)
+    of = lambda end: F.concat(F.lit("t_"), F.concat_ws("_", *key), F.lit("_"), end)
+    rows = rows.withColumn("short", short)
+    # The first active one of each triple with the end of its id, in one number that a hash aggregation takes: a triple with
+    # most of the rows isn't one task's.
+    step = F.lit(1 << 32).cast("decimal(11,0)")
+    packed = (F.col("seq").cast("decimal(20,0)") * step + F.conv("short", 16, 10).cast("decimal(11,0)")).cast("decimal(34,0)")
+    opened = rows.where("valid_to is null").groupBy(*key).agg(F.min("seq").alias("first_seq"), F.min(packed).alias("packed"))
+    end = F.lower(F.lpad(F.hex((F.col("packed") - F.col("first_seq").cast("decimal(20,0)") * step).cast("long")), 8, "0"))
+    opened = opened.select(*key, "first_seq", of(end).alias("first_id"))
+    rows = rows.withColumn("id", of(F.col("short"))).drop("short")
     rows = rows.join(opened, key, "left").join(active, key, "left")
     added = F.col("active_id").isNull() & (F.col("first_seq").isNull() | (F.col("seq") <= F.col("first_seq")))
     rows = rows.withColumn("added", added)

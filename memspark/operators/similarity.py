@@ -12,12 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.text import base_name, or_default, snippet
-from memspark.plans.shared import materialize, shared_path
+from memspark.operators.neighbours import Index, first_kept, nearest
+from memspark.plans.shared import materialize
 
 #: Queries that go to the tasks at once.
 QUERY_BLOCK = 20_000
-#: Incoming rows that are decided at once.
-ACCEPT_BLOCK = 4096
 
 
 def hash_features(texts: list[str], dim: int = 384) -> np.ndarray:
@@ -106,72 +105,27 @@ def search(drawers: DataFrame, vector: list[float], k: int = 5, wing: str | None
     return drawers.select("id", similarity("vector", query).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def check_duplicates(stored: DataFrame, incoming: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(id, is_duplicate, similarity, existing_id): the nearest stored row of each incoming one, over all wings."""
-    near = topk(stored, incoming.select(F.col("id").alias("query_id"), "vector"), 1)
-    rows = incoming.select(F.col("id").alias("query_id")).join(near.select("query_id", F.col("id").alias("existing_id"), "similarity"), "query_id", "left")
+def check_duplicates(stored: DataFrame, incoming: DataFrame, threshold: float = 0.9, probes: int | None = 16) -> DataFrame:
+    """(id, is_duplicate, similarity, existing_id): the nearest stored row of each incoming one, over all wings, by an index of
+    the stored rows (`neighbours`); exact with ``probes`` None. A row without a vector is no duplicate."""
+    index = Index(stored.select("id", "vector"))
+    near = nearest(index, incoming.select(F.col("id").alias("query_id"), "vector"), 1, probes)
+    near = materialize(near.select(F.col("query_id").alias("id"), F.col("id").alias("existing_id"), "similarity"), "near")
+    index.release()
+    rows = incoming.select("id").join(near, "id", "left")
     found = F.coalesce(F.col("similarity") >= threshold, F.lit(False))
-    return rows.select(F.col("query_id").alias("id"), found.alias("is_duplicate"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.when(found, F.col("existing_id")).alias("existing_id"))
+    return rows.select("id", found.alias("is_duplicate"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.when(found, F.col("existing_id")).alias("existing_id"))
 
 
-def first_near(rows: DataFrame, wanted: list[tuple[int, list[float]]], threshold: float) -> dict[int, int]:
-    """The least ``pos`` of the rows (pos, vector) that are near each of the wanted (pos, vector), of those that have one."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(([p for p, _ in wanted], np.array([v for _, v in wanted], dtype=np.float64)))
-
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vectors = shared.value
-        found = np.full(len(names), np.iinfo(np.int64).max)
-        for batch in batches:
-            if len(batch):
-                near = np.round(np.array(batch.column(1).to_pylist(), dtype=np.float64) @ vectors.T, 3) >= threshold
-                pos = batch.column(0).to_numpy()[:, None]
-                found = np.minimum(found, np.where(near, pos, np.iinfo(np.int64).max).min(axis=0))
-        at = np.flatnonzero(found < np.iinfo(np.int64).max)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(names, dtype=np.int64)[at]), pa.array(found[at])], names=["pos", "first"])
-
-    made = rows.select(F.col("pos").cast("long"), "vector").mapInArrow(least, "pos bigint, first bigint").groupBy("pos").agg(F.min("first").alias("first"))
-    out = {r["pos"]: r["first"] for r in made.collect()}
-    shared.destroy()
-    return out
-
-
-def add_if_new(stored: DataFrame, incoming: DataFrame, threshold: float = 0.9, block: int = ACCEPT_BLOCK) -> DataFrame:
+def add_if_new(stored: DataFrame, incoming: DataFrame, threshold: float = 0.9, probes: int | None = 16, told: Callable[[int, int, int], None] | None = None) -> DataFrame:
     """(id, status, existing_id) of incoming (pos, id, vector), as if added one after another: a row is a duplicate if a
-    stored row, or an accepted row before it, is near. The rows that no stored one is near are decided in blocks of about
-    ``block`` in their order: each block is compared with all accepted before it, by all tasks, and then with itself, in
-    the driver. Pairs are never written, so a group of near rows costs no more than others."""
-    spark = incoming.sparkSession
-    old = check_duplicates(stored, incoming, threshold)
+    stored row, or an accepted row before it, is near. What no stored row is near is decided by rounds (`first_kept`), each a job
+    over all open rows; pairs are never written and no vector goes through the driver. Exact with ``probes`` None."""
+    old = check_duplicates(stored, incoming, threshold, probes)
     rows = materialize(incoming.join(old.select("id", "is_duplicate", "existing_id"), "id"), "incoming")
-    undecided = rows.where("not is_duplicate").select(F.col("pos").cast("long").alias("pos"), "vector")
-    parts = -(-undecided.count() // block)
-    ends = undecided.approxQuantile("pos", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    accepted, taken = shared_path(spark, "accepted"), shared_path(spark, "taken")
-    undecided.limit(0).write.parquet(accepted)
-    spark.createDataFrame([], "pos bigint, first bigint").write.parquet(taken)
-    for low, high in zip([None, *ends], [*ends, None], strict=True):
-        part = undecided if low is None else undecided.where(F.col("pos") > low)
-        part = part if high is None else part.where(F.col("pos") <= high)
-        wanted = sorted((r["pos"], r["vector"]) for r in part.collect())
-        if not wanted:
-            continue
-        first = first_near(spark.read.schema(undecided.schema).parquet(accepted), wanted, threshold)
-        vectors = np.array([v for _, v in wanted], dtype=np.float64)
-        kept: list[int] = []
-        for i, (pos, _) in enumerate(wanted):
-            if pos not in first:
-                near = np.flatnonzero(np.round(vectors[kept] @ vectors[i], 3) >= threshold) if kept else []
-                if len(near):
-                    first[pos] = wanted[kept[near[0]]][0]
-                else:
-                    kept.append(i)
-        new = spark.createDataFrame([(wanted[i][0],) for i in kept], "pos bigint")
-        part.join(F.broadcast(new), "pos").select("pos", "vector").write.mode("append").parquet(accepted)
-        spark.createDataFrame(list(first.items()), "pos bigint, first bigint").write.mode("append").parquet(taken)
-    by = spark.read.schema("pos bigint, first bigint").parquet(taken)
-    names = rows.select(F.col("pos").alias("first"), F.col("id").alias("first_id"))
-    out = rows.join(by, "pos", "left").join(names, "first", "left")
+    by = first_kept(rows.where("not is_duplicate and vector is not null").select("pos", "vector"), threshold, probes, told)
+    names = rows.select(F.col("pos").cast("long").alias("first"), F.col("id").alias("first_id"))
+    out = rows.withColumn("pos", F.col("pos").cast("long")).join(by, "pos", "left").join(names, "first", "left")
     status = F.when(F.col("is_duplicate") | F.col("first").isNotNull(), "duplicate").otherwise("added")
     return out.select("id", status.alias("status"), F.coalesce("existing_id", "first_id").alias("existing_id"))
 

@@ -648,7 +648,7 @@ SQL["topk_search"] = f"SELECT b.vec_id AS id, {_SIM} AS similarity FROM embeddin
 @query
 def duplicate_check(spark, d):
     rows = vectors(spark, d)
-    return similarity.check_duplicates(rows.where("id % 20 > 0"), rows.where("id % 20 = 0"), 0.4)
+    return similarity.check_duplicates(rows.where("id % 20 > 0"), rows.where("id % 20 = 0"), 0.4, probes=None)
 
 
 SQL["duplicate_check"] = f"""
@@ -661,7 +661,7 @@ SELECT id, s >= 0.4 AS is_duplicate, s AS similarity, CASE WHEN s >= 0.4 THEN ot
 def dedupe_insert(spark, d):
     rows = vectors(spark, d)
     new = rows.where("id % 20 = 0").select(F.col("id").alias("pos"), "id", "vector")
-    return similarity.add_if_new(rows.where("id % 20 > 0"), new, 0.35)
+    return similarity.add_if_new(rows.where("id % 20 > 0"), new, 0.35, probes=None)
 
 
 SQL["dedupe_insert"] = f"""

@@ -121,22 +121,32 @@ def tree_turns(text: Column) -> Column:
     return paths(F.when(text.contains('"mapping"'), text))
 
 
+def channel_roles(users: Column) -> Column:
+    """The role of each message of a channel by its users: the first user is ``user``, a new one gets the role that the message
+    before hasn't, roles stay. A small function goes through each channel once."""
+
+    @F.arrow_udf("array<string>")
+    def roles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for users in batch:
+                known, last, row = {}, None, []
+                for user in users.values.to_pylist() if users.is_valid else ():
+                    last = known.setdefault(user, "assistant" if last == "user" else "user")
+                    row.append(last)
+                out.append(row)
+            yield pa.array(out, type=pa.list_(pa.string()))
+
+    return roles(users)
+
+
 def channel_turns(text: Column) -> Column:
-    """Items {type: message, user, text}. The first user is ``user``; a new one gets the role that the message before hasn't;
-    roles stay. A fold over the ordered items."""
+    """Items {type: message, user, text}, with the roles of `channel_roles`."""
     items = F.from_json(text, "array<struct<type:string,user:string,username:string,text:string>>")
     told = F.filter(items, lambda x: (x["type"] == "message") & (F.coalesce(x["user"], x["username"], F.lit("")) != "") & (blank_trim(F.coalesce(x["text"], F.lit(""))) != ""))
-    state = f"struct<roles:map<string,string>,last:string,out:{TURNS}>"
-    zero = F.struct(F.create_map().cast("map<string,string>").alias("roles"), F.lit(None).cast("string").alias("last"), F.lit([]).cast(TURNS).alias("out")).cast(state)
-
-    def step(a: Column, x: Column) -> Column:
-        who = F.coalesce(x["user"], x["username"])
-        known = F.try_element_at(a["roles"], who)
-        role = F.coalesce(known, F.when(a["last"] == "user", "assistant").otherwise("user"))
-        roles = F.when(known.isNull(), F.map_concat(a["roles"], F.create_map(who, role))).otherwise(a["roles"])
-        return F.struct(roles.alias("roles"), role.alias("last"), F.concat(a["out"], F.array(turn(role, blank_trim(x["text"])))).alias("out")).cast(state)
-
-    return F.aggregate(told, zero, step, lambda a: a["out"])
+    roles = channel_roles(F.transform(told, lambda x: F.coalesce(x["user"], x["username"])))
+    # Both lists side by side: what a lambda reads by a place outside of it would be worked out at each place.
+    return F.transform(F.arrays_zip(told.alias("x"), roles.alias("role")), lambda z: turn(z["role"], blank_trim(z["x"]["text"]))).cast(TURNS)
 
 
 #: By name, in the order in which they are tried.

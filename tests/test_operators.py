@@ -231,10 +231,12 @@ def test_greedy_insert_against_a_plain_model(spark):
         near = [j for j in taken if round(float(base[i] @ base[j]), 3) >= 0.9]
         want[f"r{i:02}"] = "duplicate" if near else "added"
         taken += [] if near else [i]
-    for block in (4096, 7):
-        got = similarity.add_if_new(stored, new, block=block).collect()
+    rounds = []
+    for probes in (None, 16):
+        got = similarity.add_if_new(stored, new, probes=probes, told=lambda *x: rounds.append(x)).collect()
         assert {r["id"]: r["status"] for r in got} == want
         assert all((r["existing_id"] is None) == (r["status"] == "added") for r in got)
+    assert rounds[0][0] == 1 and sum(x[1] for x in rounds) == 2 * sum(x == "added" for x in want.values())
 
 
 def test_embedding_search_and_metrics(spark):
