@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memspark.operators.neighbours import own_nearest
+from memspark.operators.similarity import embed, hash_features
+
 
 def session_documents(questions: DataFrame) -> DataFrame:
     """(question_id, session_id, date, content): the user turns of each session; sessions without any are left out."""
@@ -30,3 +36,18 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 5, full_i
 
 def mean_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.avg("recall_any").alias("recall_any"), F.avg("recall_all").alias("recall_all"), F.avg("ndcg").alias("ndcg"), F.count("*").alias("questions"))
+
+
+def ranked_sessions(questions: DataFrame, k: int = 5, fn: Callable[[list[str]], np.ndarray] = hash_features) -> DataFrame:
+    """(query_id, rank, id, similarity): of each question's own sessions the ``k`` nearest to it, by the user turns of each."""
+    sessions = embed(session_documents(questions), "content", fn).select(F.col("question_id").alias("query_id"), F.col("session_id").alias("id"), "vector")
+    asked = embed(questions.select(F.col("question_id").alias("query_id"), "question"), "question", fn)
+    return own_nearest(sessions, asked, k)
+
+
+def evaluate_questions(questions: DataFrame, k: int = 5, fn: Callable[[list[str]], np.ndarray] = hash_features) -> DataFrame:
+    """(query_id, recall_any, recall_all, dcg, ndcg) of questions (question_id, question, haystack_sessions, haystack_session_ids,
+    haystack_dates, answer_session_ids), each against its own haystack; `mean_metrics` of it is the benchmark's result. A question
+    without answers has no row."""
+    wanted = questions.select(F.col("question_id").alias("query_id"), F.explode("answer_session_ids").alias("id"))
+    return retrieval_metrics(ranked_sessions(questions, k, fn), wanted, k)

@@ -79,6 +79,55 @@ def invalidate(triples: DataFrame, closings: DataFrame, today: str) -> DataFrame
     return joined.withColumn("valid_to", F.when(F.col("valid_to").isNull(), F.col("ended")).otherwise(F.col("valid_to"))).select(*triples.columns)
 
 
+#: Levels of the bins of months; a month is year and month as one number of six digits.
+LEVELS = 20
+
+
+def month(date: Column | str) -> Column:
+    """A date's year and month as a number, in the order of the texts; null for texts that don't begin with both."""
+    date = as_column(date)
+    return F.when(date.rlike("^[0-9]{4}-[0-9]{2}"), F.concat(F.substring(date, 1, 4), F.substring(date, 6, 2)).cast("int"))
+
+
+def bins(first: Column, last: Column) -> Column:
+    """The bins (level, bin) that cover the months from first to last, at most two a level: bin b of level l is the 2^l months
+    from b * 2^l on. Each month lies in exactly one of them."""
+    every = F.sequence(F.lit(0), F.lit(LEVELS))
+
+    def at(level: Column) -> Column:
+        size = F.pow(F.lit(2), level).cast("long")
+        low, high = F.ceil(first / size), F.floor((last + 1) / size) - 1
+        node = lambda b: F.struct(level.alias("level"), b.cast("long").alias("bin"))
+        left, right = F.when((low % 2 == 1) & (low <= high), node(low)), F.when((high % 2 == 0) & (low <= high), node(high))
+        return F.array_compact(F.array(left, right))
+
+    return F.flatten(F.transform(every, at))
+
+
+def bins_of(point: Column) -> Column:
+    """The bins that a month lies in, one a level."""
+    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda level: F.struct(level.alias("level"), F.floor(point / F.pow(F.lit(2), level)).cast("long").alias("bin")))
+
+
+def valid_at(triples: DataFrame, asked: DataFrame, mine: str) -> DataFrame:
+    """The triples of each asked entity (query, query_id, as_of) that are valid at its time, or all where it has none.
+
+    Times meet by equi-keys: a triple stands in the bins that cover its months, a question looks into those of its own month.
+    So an entity with many triples and many questions makes only the pairs that are valid in the month, which are then compared
+    by the whole texts. Dates that aren't of the usual form count as open in the bins; questions with such ones meet
+    all triples of their entity."""
+    inside = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("as_of"))) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("as_of")))
+    at = asked.withColumn("__month", month("as_of"))
+    rest = at.where("__month is null").drop("__month")
+    dated = at.where("__month is not null").select("query", "query_id", "as_of", F.inline(bins_of(F.col("__month"))))
+    months = bins(F.coalesce(month("valid_from"), F.lit(0)), F.coalesce(month("valid_to"), F.lit((1 << LEVELS) - 1)))
+    placed = triples.select("*", F.inline(months))
+    met = placed.join(dated.withColumnRenamed("query_id", mine), [mine, "level", "bin"]).where(inside)
+    every = triples.join(rest.withColumnRenamed("query_id", mine), mine).where(F.col("as_of").isNull() | inside)
+    columns = [*triples.columns, "query", "as_of"]
+    return met.select(*columns).unionByName(every.select(*columns))
+
+
 def query_entities(entities: DataFrame, triples: DataFrame, queries: DataFrame, direction: str = "outgoing") -> DataFrame:
     """queries: (name[, as_of]). (query, direction, subject, predicate, object, valid_from, valid_to, confidence,
     source_closet, current): the triples of each name, valid at its time where it has one (both ends count)."""
@@ -87,9 +136,9 @@ def query_entities(entities: DataFrame, triples: DataFrame, queries: DataFrame,
     mine, other = ("subject", "object") if direction == "outgoing" else ("object", "subject")
     as_of = F.col("as_of") if "as_of" in queries.columns else F.lit(None).cast("string")
     asked = queries.select(F.col("name").alias("query"), entity_id("name").alias("query_id"), as_of.alias("as_of"))
-    when = F.col("as_of").isNull() | ((F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("as_of"))) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("as_of"))))
     names = entities.select(F.col("id").alias("other_id"), F.col("name").alias("other_name"))
-    rows = triples.join(asked, (F.col(mine) == F.col("query_id")) & when).join(names, F.col(other) == F.col("other_id"))
+    found = valid_at(triples, asked, mine) if "as_of" in queries.columns else triples.join(asked.withColumnRenamed("query_id", mine), mine)
+    rows = found.join(names, F.col(other) == F.col("other_id"))
     given = {mine: F.col("query"), other: F.col("other_name")}
     return rows.select("query", "as_of", F.lit(direction).alias("direction"), given["subject"].alias("subject"), "predicate", given["object"].alias("object"), "valid_from", "valid_to", "confidence", "source_closet", F.col("valid_to").isNull().alias("current"))
 

@@ -247,3 +247,28 @@ def first_kept(rows: DataFrame, threshold: float, probes: int | None = None, tol
     for table in (every, first, *made):
         release(table)
     return out
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """The similarity of two vectors of a row, to three digits, over Arrow batches."""
+
+    @F.arrow_udf("double")
+    def dots(left: pa.Array, right: pa.Array) -> pa.Array:
+        if not len(left):
+            return pa.array([], type=pa.float64())
+        return pa.array(np.round((matrix(left) * matrix(right)).sum(axis=1), 3))
+
+    return dots(a, b)
+
+
+def own_nearest(haystacks: DataFrame, queries: DataFrame, k: int = 5, parts: int = 64) -> DataFrame:
+    """(query_id, rank, id, similarity): of each query's own rows (query_id, id, vector) the ``k`` nearest. Rows and queries meet by
+    the query's id, nothing is broadcast; the best of each of ``parts`` parts of a haystack come first, then those of all, so one
+    haystack with most of the rows isn't one task's."""
+    asked = queries.where("vector is not null").select("query_id", F.col("vector").alias("asked"))
+    rows = haystacks.where("vector is not null").join(asked, "query_id")
+    rows = rows.select("query_id", "id", cosine(F.col("vector"), F.col("asked")).alias("similarity"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
+    order = (F.desc("similarity"), F.asc("id"))
+    some = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= k)
+    every = some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return every.where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import extract, routing
 from memspark.functions.wordlists import EMOTION_SIGNALS, FLAG_SIGNALS, MEMORY_PATTERNS, NAME_STOPWORDS, PERSON_PATTERNS, PROJECT_PATTERNS, ROOM_FOLDERS, TOPIC_STOPWORDS, TOPICS
-from memspark.operators import drawers, entities, evaluate, graph, kg, similarity, transcripts
+from memspark.operators import drawers, entities, evaluate, graph, kg, neighbours, similarity, transcripts
 from memspark.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -678,6 +678,28 @@ SELECT old.id, CASE WHEN old.existing IS NULL AND list_contains(done.taken, f.i)
 FROM old CROSS JOIN done LEFT JOIN fresh f ON f.id = old.id LEFT JOIN near n ON n.i = f.i"""
 
 
+@query
+def haystack_scores(spark, d):
+    """Each twentieth vector against a haystack of its own: the others of its hundred. Relevant are those of its label."""
+    rows = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label", F.floor(F.col("vec_id") / 100).alias("part"))
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector", F.col("label").alias("wanted"), "part")
+    own = rows.join(asked.select("query_id", "wanted", "part"), "part").where("id <> query_id")
+    found = neighbours.own_nearest(own.select("query_id", "id", "vector"), asked, 5)
+    out = evaluate.retrieval_metrics(found, own.where("label = wanted").select("query_id", "id"))
+    means = evaluate.mean_metrics(out)
+    return means.select(*(F.round(c, 9).alias(c) for c in ("recall_any", "recall_all", "ndcg")), "questions")
+
+
+SQL["haystack_scores"] = f"""
+WITH s AS (
+  SELECT a.vec_id AS q, b.vec_id AS id, a.label = b.label AS hit, {_SIM} AS s FROM embeddings a, embeddings b
+  WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND floor(a.vec_id / 100) = floor(b.vec_id / 100)),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS k FROM s),
+g AS (SELECT q, count(*) FILTER (hit) AS n, count(*) FILTER (hit AND k <= 5) AS h, coalesce(sum(1 / log2(k + 1)) FILTER (hit AND k <= 5), 0) AS dcg FROM r GROUP BY q HAVING n > 0),
+i AS (SELECT *, coalesce((SELECT sum(1 / log2(x + 1)) FROM unnest(range(1, h + 1)) AS u(x)), 0) AS ideal FROM g)
+SELECT round(avg((h > 0)::INT), 9) AS recall_any, round(avg((h = n)::INT), 9) AS recall_all, round(avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END), 9) AS ndcg, count(*) AS questions FROM i"""
+
+
 @query
 def retrieval_metrics(spark, d):
     rows = vectors(spark, d)
