@@ -21,6 +21,13 @@ def predicate_name(predicate: Column | str) -> Column:
     return F.regexp_replace(F.lower(as_column(predicate)), "\\s+", "_")
 
 
+def triple_id(seq: Column, short: Column | None = None) -> Column:
+    """The id of a row (subject, predicate, object, valid_from), which are ids, and its number."""
+    text = F.concat_ws("|", "subject", "predicate", "object", F.coalesce("valid_from", F.lit("")), seq.cast("string"))
+    end = F.substring(F.md5(text.cast("binary")), 1, 8) if short is None else short
+    return F.concat(F.lit("t_"), F.concat_ws("_", "subject", "predicate", "object"), F.lit("_"), end)
+
+
 def upsert_entities(entities: DataFrame, incoming: DataFrame, now: str = "") -> DataFrame:
     """incoming: (name, type, properties, seq). The last of one id replaces name, type and properties; created_at stays."""
     new = incoming.select(entity_id("name").alias("id"), F.struct(F.col("seq"), F.col("name"), or_default("type", "unknown").alias("type"), or_default("properties", "{}").alias("properties")).alias("v")).groupBy("id").agg(F.max_by("v", "v.seq").alias("v"))
@@ -46,18 +53,14 @@ def add_triples(entities: DataFrame, triples: DataFrame, incoming: DataFrame, no
     made = named.select("id", "name", F.lit("unknown").alias("type"), F.lit("{}").alias("properties"), F.lit(now).alias("created_at"))
     key = ["subject", "predicate", "object"]
     active = triples.where("valid_to is null").groupBy(*key).agg(F.min("id").alias("active_id"))
-    text = F.concat_ws("|", "subject", "predicate", "object", F.coalesce("valid_from", F.lit("")), F.col("seq").cast("string"))
-    short = F.substring(F.md5(text.cast("binary")), 1, 8)
-    of = lambda end: F.concat(F.lit("t_"), F.concat_ws("_", *key), F.lit("_"), end)
-    rows = rows.withColumn("short", short)
+    rows = rows.withColumn("id", triple_id(F.col("seq")))
     # The first active one of each triple with the end of its id, in one number that a hash aggregation takes: a triple with
     # most of the rows isn't one task's.
     step = F.lit(1 << 32).cast("decimal(11,0)")
-    packed = (F.col("seq").cast("decimal(20,0)") * step + F.conv("short", 16, 10).cast("decimal(11,0)")).cast("decimal(34,0)")
+    packed = (F.col("seq").cast("decimal(20,0)") * step + F.conv(F.right("id", F.lit(8)), 16, 10).cast("decimal(11,0)")).cast("decimal(34,0)")
     opened = rows.where("valid_to is null").groupBy(*key).agg(F.min("seq").alias("first_seq"), F.min(packed).alias("packed"))
     end = F.lower(F.lpad(F.hex((F.col("packed") - F.col("first_seq").cast("decimal(20,0)") * step).cast("long")), 8, "0"))
-    opened = opened.select(*key, "first_seq", of(end).alias("first_id"))
-    rows = rows.withColumn("id", of(F.col("short"))).drop("short")
+    opened = opened.select(*key, "first_seq", triple_id(F.col("first_seq"), end).alias("first_id"))
     rows = rows.join(opened, key, "left").join(active, key, "left")
     added = F.col("active_id").isNull() & (F.col("first_seq").isNull() | (F.col("seq") <= F.col("first_seq")))
     rows = rows.withColumn("added", added)

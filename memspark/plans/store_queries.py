@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import extract
 from memspark.functions.wordlists import AMBIGUOUS_WORDS, EMOTION_CODES
-from memspark.operators import drawers, entities, evaluate, kg, similarity
+from memspark.operators import drawers, entities, evaluate, kg, similarity, versions
 from memspark.plans.queries import _NEAR, _SIM, KG, L1, SQL, built_kg, document_drawers, empty_kg, kg_rows, query, quoted, retrieval_metrics, searchers, t, vectors
 from memspark.plans.shared import materialize, shared_path
 from memspark.sources import files
@@ -370,6 +370,92 @@ def streamed_triples(spark, d):
 
 SQL["streamed_triples"] = SQL["kg_invalidate"].replace("SELECT id, CASE WHEN valid_to IS NULL", "SELECT id, valid_from, CASE WHEN valid_to IS NULL")
 
+@query
+def stateful_triples(spark, d):
+    """The same by a state for each triple, in two runs of one stream: the second goes on from the checkpoint and reads neither the
+    store nor what the first one wrote."""
+    path = shared_path(spark, "keyed")
+    events = kg_rows(spark, d).withColumn("ended", F.lit(None).cast("string")).select("seq", "subject", "predicate", "object", "valid_from", "valid_to", "ended")
+    ends = t(spark, d, "customer").where("c_custkey % 2 = 0")
+    closing = ends.select((F.col("c_custkey") + (1 << 40)).alias("seq"), F.concat(F.lit("Customer #"), "c_custkey").alias("subject"), F.lit("has 1-URGENT").alias("predicate"), F.lit("Status O").alias("object"), *(F.lit(None).cast("string").alias(c) for c in ("valid_from", "valid_to")), F.lit("").alias("ended"))
+    for rows in (events, closing):
+        rows.select([F.col(c).cast(k) for c, k in events.dtypes]).write.mode("append").parquet(f"{path}/in")
+        with jobs.keyed_state(spark):
+            jobs.keyed_triples(spark.readStream.schema(events.schema).parquet(f"{path}/in"), path, f"{path}/state", today="2026-01-01").awaitTermination()
+    return jobs.logged_triples(spark, path).select("id", "valid_from", "valid_to")
+
+
+SQL["stateful_triples"] = SQL["streamed_triples"]
+
+
+@query
+def idle_checkpoints(spark, d):
+    """Events in four runs of one stream, in the order of time, each from the checkpoint of the one before: sessions end after six
+    idle hours, by event time."""
+    path, idle = shared_path(spark, "sessions"), 6 * 3_600_000
+    rows = t(spark, d, "events").select(F.concat(F.lit("s/"), F.col("user_id").cast("string")).alias("session_id"), F.when(F.col("event_type") == "error", "assistant").otherwise("user").alias("role"), F.col("event_type").alias("content"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
+    cuts = rows.select(F.unix_millis("ts").alias("ms")).approxQuantile("ms", [0.25, 0.5, 0.75], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        at = F.unix_millis("ts")
+        part = rows.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        part.write.mode("append").parquet(f"{path}/in")
+        made = jobs.save_checkpoints(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), 3, idle_ms=idle)
+        with jobs.keyed_state(spark):
+            sink = made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+            sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(jobs.CHECKPOINT).parquet(f"{path}/out")
+
+
+SQL["idle_checkpoints"] = """
+WITH e AS (SELECT user_id, ts, event_id, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events WHERE event_type <> 'error'),
+c AS (SELECT *, count(*) FILTER (gap > 21600000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM e)
+SELECT 's' || user_id AS session_id, n, 3::BIGINT AS since_last FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id, part ORDER BY ts, event_id) AS n FROM c) WHERE n % 3 = 0"""
+
+
+@query
+def mined_once(spark, d):
+    """Documents as a stream of files into a store of versions; then a run without the checkpoint delivers the same micro-batch again."""
+    path, name = shared_path(spark, "once"), F.concat(F.lit("/s/"), "doc_id", F.lit(".md"))
+    store = versions.DrawerStore(spark, path).create()
+    rows = materialize(t(spark, d, "documents").select(F.concat(F.lit("notes/"), "doc_id", F.lit(".md")).alias("rel_path"), name.alias("source_file"), (F.col("n_chars") + 1.0).alias("source_mtime"), "text"), "incoming")
+    for k in range(2):
+        jobs.mine_into(spark.readStream.schema(rows.schema).parquet(rows._shared_path), store, f"{path}/from-{k}", "w", "files").awaitTermination()
+    stored = store.read().groupBy("source_file").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.sum(F.length("content")).cast("long").alias("n_chars"))
+    return stored.withColumn("last_version", F.lit(store.versions()[-1]).cast("long"))
+
+
+SQL["mined_once"] = f"""
+WITH c AS ({SQL["fixed_chunks"]})
+SELECT '/s/' || doc_id || '.md' AS source_file, count(*) AS n, count(*) AS ids, sum(length(content))::BIGINT AS n_chars, 1::BIGINT AS last_version FROM c GROUP BY doc_id"""
+
+
+@query
+def versioned_store(spark, d):
+    """Documents appended; the German ones upserted with another room; the toxic ones deleted. Each version is read; a wing that a
+    change doesn't touch keeps its folder."""
+    store = versions.DrawerStore(spark, shared_path(spark, "versions")).create()
+    rows = filed_documents(spark, d).withColumns({"wing": F.col("room"), "filed_at": F.lit("1")})
+    store.append(rows)
+    store.upsert(rows.where("wing = 'de'").withColumns({"room": F.lit("new"), "filed_at": F.lit("2")}))
+    store.delete(t(spark, d, "labels").where("toxic = 1").select(F.concat(F.lit("d"), "doc_id").alias("id")))
+    out = None
+    for n in store.versions()[1:]:
+        kept = spark.createDataFrame([(wing, folder in dict(store.folders(1))) for folder, wing in store.folders(n)], "wing string, first boolean")
+        part = store.read(n).groupBy("wing", "room").agg(F.count("*").alias("n"), F.sum(F.length("content")).cast("long").alias("n_chars")).join(kept, "wing")
+        part = part.select(F.lit(n).cast("long").alias("version"), "wing", "room", "n", "n_chars", "first")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+SQL["versioned_store"] = """
+WITH x AS (SELECT 'd' || doc_id AS id, lang AS wing, coalesce(text, '') AS content, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS gone FROM documents),
+hit AS (SELECT wing, bool_or(gone) AS hit FROM x GROUP BY wing),
+v AS (SELECT 1 AS version, wing, wing AS room, content, true AS first FROM x
+UNION ALL SELECT 2, wing, CASE wing WHEN 'de' THEN 'new' ELSE wing END, content, wing <> 'de' FROM x
+UNION ALL SELECT 3, x.wing, CASE x.wing WHEN 'de' THEN 'new' ELSE x.wing END, content, x.wing <> 'de' AND NOT hit FROM x JOIN hit ON hit.wing = x.wing WHERE NOT gone)
+SELECT version::BIGINT AS version, wing, room, count(*) AS n, sum(length(content))::BIGINT AS n_chars, first FROM v GROUP BY ALL"""
+
+
 @query
 def wake_up(spark, d):
     return drawers.wake_up(document_drawers(spark, d), "I am the store.")

@@ -1,8 +1,9 @@
-"""Streaming forms: session checkpoints by keyed state, incremental mining, and triples in micro-batches."""
+"""Streaming forms: session checkpoints and triples by keyed state, incremental mining, and triples in micro-batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from memspark.operators.drawers import append_drawers, mine_conversations, mine_project
-from memspark.operators.kg import ENTITY, TRIPLE, add_triples, closing_keys
+from memspark.operators.kg import ENTITY, TRIPLE, add_triples, closing_keys, entity_id, predicate_name, triple_id
+from memspark.operators.versions import DrawerStore
 from memspark.sources.files import write_kg
 
 CHECKPOINT = "session_id string, n bigint, since_last bigint"
@@ -43,30 +45,35 @@ def save_checkpoints_batch(df: DataFrame, every: int = 15, marker: str = "<comma
 
 
 class SaveEvery(StatefulProcessor):
-    """A session's messages so far, and how many there were at the last checkpoint. With ``idle_ms`` the state of a session
-    that says nothing for so long is dropped; if it goes on later, it is counted anew."""
+    """A session's messages so far, how many there were at the last checkpoint, and when the last message came. With ``idle_ms`` a
+    message that comes later than that after the one before begins the count anew, and a timer drops the state once the watermark is
+    past: what comes after that would begin anew as well, so results don't depend on how the stream is cut. Within a micro-batch
+    messages count in the order of ts and id."""
 
     def __init__(self, every: int = 15, idle_ms: int | None = None):
         self.every, self.idle_ms = every, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("counts", "n bigint, saved bigint")
+        self.state = handle.getValueState("counts", "n bigint, saved bigint, last bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, saved = self.state.get() if self.state.exists() else (0, 0)
+        n, saved, last = self.state.get() if self.state.exists() else (0, 0, None)
         out = []
-        for frame in rows:
-            for _ in range(len(frame)):
-                n += 1
-                if n - saved >= self.every:
-                    out.append((key[0], n, n - saved))
-                    saved = n
-        self.state.update((n, saved))
+        times = (x for frame in rows for x in frame["ms"]) if not self.idle_ms else iter(pd.concat(list(rows)).sort_values(["ms", "id"])["ms"])
+        for ms in times:
+            if self.idle_ms and last is not None and ms - last > self.idle_ms:
+                n = saved = 0
+            last = ms if last is None or not self.idle_ms else max(last, ms)
+            n += 1
+            if n - saved >= self.every:
+                out.append((key[0], n, n - saved))
+                saved = n
+        self.state.update((n, saved, last))
         if self.idle_ms:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+            self.handle.registerTimer(int(last) + self.idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "n", "since_last"]).astype({"session_id": str, "n": "int64", "since_last": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -77,11 +84,37 @@ class SaveEvery(StatefulProcessor):
         pass
 
 
-def save_checkpoints(stream: DataFrame, every: int = 15, marker: str = "<command-message>", idle_ms: int | None = None) -> DataFrame:
-    """The same over a stream. The count alone decides, so the order within a micro-batch doesn't matter. Needs the RocksDB
-    state store. Pass ``idle_ms`` to let the state of idle sessions go (by processing time)."""
-    mode = "ProcessingTime" if idle_ms else "None"
-    return counted_messages(stream, marker).groupBy("session_id").transformWithStateInPandas(SaveEvery(every, idle_ms), CHECKPOINT, "Append", mode)
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Streams that are started within use the state store that keyed state and timers need; the session's own stays."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, kept)
+
+
+def save_checkpoints(stream: DataFrame, every: int = 15, marker: str = "<command-message>", idle_ms: int | None = None, lateness: str = "10 minutes") -> DataFrame:
+    """The same over a stream; start it within `keyed_state`. Without ``idle_ms`` the count alone decides, so the order doesn't
+    matter. With it, ``ts`` is a timestamp and the watermark follows it by ``lateness``; sessions are cut at gaps, as by
+    `idle_checkpoints_batch`, and the state of those that ended goes by event-time timers."""
+    rows = counted_messages(stream, marker)
+    if not idle_ms:
+        return rows.withColumn("ms", F.lit(0).cast("long")).groupBy("session_id").transformWithStateInPandas(SaveEvery(every), CHECKPOINT, "Append", "None")
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ms", F.unix_millis("ts")).withWatermark("ts", lateness)
+    return rows.groupBy("session_id").transformWithStateInPandas(SaveEvery(every, idle_ms), CHECKPOINT, "Append", "EventTime")
+
+
+def idle_checkpoints_batch(df: DataFrame, idle_ms: int, every: int = 15, marker: str = "<command-message>") -> DataFrame:
+    """(session_id, n, since_last) with sessions cut at gaps of over ``idle_ms``, over a table."""
+    order = Window.partitionBy("session_id").orderBy("ts", "id")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = counted_messages(df, marker).withColumn("gap", ms - F.lag(ms).over(order))
+    cut = rows.withColumn("part", F.count_if(F.col("gap") > idle_ms).over(order))
+    n = F.row_number().over(Window.partitionBy("session_id", "part").orderBy("ts", "id")).cast("long")
+    return cut.select("session_id", n.alias("n")).where(F.col("n") % every == 0).withColumn("since_last", F.lit(every).cast("long"))
 
 
 def compaction_checkpoints(df: DataFrame) -> DataFrame:
@@ -94,10 +127,24 @@ def mine_stream(files: DataFrame, store: Callable[[], DataFrame], path: str, che
     drawers of files that changed. ``store`` reads the store."""
 
     def mined(batch: DataFrame, _: int) -> None:
-        last = F.row_number().over(Window.partitionBy("source_file").orderBy(F.desc("source_mtime")))
-        batch = batch.withColumn("__n", last).where("__n = 1").drop("__n")
-        drawers = (mine_conversations if conversations else mine_project)(batch, store(), wing, **how)
-        append_drawers(drawers, path)
+        append_drawers(drawers_of(batch, store(), wing, conversations, how), path)
+
+    return files.writeStream.foreachBatch(mined).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drawers_of(batch: DataFrame, stored: DataFrame, wing: str, conversations: bool, how: dict) -> DataFrame:
+    last = F.row_number().over(Window.partitionBy("source_file").orderBy(F.desc("source_mtime")))
+    batch = batch.withColumn("__n", last).where("__n = 1").drop("__n")
+    return (mine_conversations if conversations else mine_project)(batch, stored, wing, **how)
+
+
+def mine_into(files: DataFrame, store: DrawerStore, checkpoint: str, wing: str, name: str, conversations: bool = False, **how):
+    """The same into a store of versions, each micro-batch exactly once: it is a batch named by the stream and its number, so one
+    that runs again, wherever it was broken off, leaves its drawers once. The changed files of a micro-batch are found against the
+    version before it, whatever a run that was broken off has left."""
+
+    def mined(batch: DataFrame, n: int) -> None:
+        store.append(drawers_of(batch, store.read(), wing, conversations, how), f"{name}-{n}")
 
     return files.writeStream.foreachBatch(mined).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -157,3 +204,70 @@ def compact_kg(spark: SparkSession, path: str, to: str, version: int) -> None:
     entities, triples = latest_kg(spark, path)
     write_kg(entities, triples, f"{to}/v{version}")
     spark.createDataFrame([], CLOSING).write.mode("ignore").parquet(f"{to}/closed0")
+
+
+#: What the keyed triples write: added triples, and closings by the triple's id.
+CHANGE = "event string, id string, subject string, predicate string, object string, valid_from string, valid_to string, confidence double, source_closet string, source_file string, seq bigint"
+
+
+class ActiveTriple(StatefulProcessor):
+    """The id of a triple that is active. Additions of an active one add nothing, a closing ends it; both come in the order of
+    ``seq``. The state begins with what the store has."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.active = handle.getValueState("active", "id string")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.active.update((initialState["id"].iloc[0],))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        active = self.active.get()[0] if self.active.exists() else None
+        kept = []
+        for row in frame.to_dict("records"):
+            if row["event"] == "ended":
+                if active is not None:
+                    kept.append(row | {"id": active})
+                    active = None
+            elif active is None:
+                kept.append(row)
+                active = row["id"] if pd.isna(row["valid_to"]) else None
+        if active is not None:
+            self.active.update((active,))
+        elif self.active.exists():
+            self.active.clear()
+        yield pd.DataFrame(kept, columns=frame.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def triple_changes(events: DataFrame, today: str = "") -> DataFrame:
+    """Events (seq, subject, predicate, object, valid_from, valid_to, ended), names as given, as rows that `ActiveTriple` takes.
+    An event with ``ended`` ('' stands for ``today``) closes a triple, one without adds it."""
+    is_end = F.col("ended").isNotNull()
+    rows = events.select(
+        F.when(is_end, "ended").otherwise("added").alias("event"), entity_id("subject").alias("subject"), predicate_name("predicate").alias("predicate"), entity_id("object").alias("object"),
+        F.when(~is_end, F.nullif("valid_from", F.lit(""))).alias("valid_from"), F.when(is_end, F.coalesce(F.nullif("ended", F.lit("")), F.lit(today))).otherwise(F.nullif("valid_to", F.lit(""))).alias("valid_to"),
+        F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("source_closet"), F.lit(None).cast("string").alias("source_file"), F.col("seq").cast("long").alias("seq"),
+    )
+    return rows.withColumn("id", triple_id(F.col("seq"))).select(*(x.split()[0] for x in CHANGE.split(", ")))
+
+
+def keyed_triples(events: DataFrame, path: str, checkpoint: str, known: DataFrame | None = None, today: str = ""):
+    """Applies a stream of events (`triple_changes`) in order, by a state for each triple, and appends what it changes to the log below
+    ``path``, once each, whatever runs again. No micro-batch reads the store: ``known``, its triples, is the first state and is read
+    at the very first start alone. Start it within `keyed_state`; `logged_triples` reads the result."""
+    key = ["subject", "predicate", "object"]
+    active = None if known is None else known.where("valid_to is null").groupBy(*key).agg(F.min("id").alias("id")).groupBy(*key)
+    made = triple_changes(events, today).groupBy(*key).transformWithStateInPandas(ActiveTriple(), CHANGE, "Append", "None", active)
+    return made.writeStream.format("parquet").option("path", f"{path}/log").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def logged_triples(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """The triples of a log, and those that were ``known`` before it, with their closings applied: an id is closed once at most."""
+    log = spark.read.schema(CHANGE).parquet(f"{path}/log")
+    added = log.where("event = 'added'").withColumn("extracted_at", F.lit("")).select(*TRIPLE.names)
+    ends = log.where("event = 'ended'").select("id", F.col("valid_to").alias("__end"))
+    rows = added if known is None else known.select(*TRIPLE.names).unionByName(added)
+    return rows.join(ends, "id", "left").withColumn("valid_to", F.coalesce("valid_to", "__end")).select(*TRIPLE.names)
