@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.functions.extract import classify_summary
+from memspark.functions.extract import classify_summary, entity_codes
 from memspark.functions.text import ascii_words, bound, runs, strings
 from memspark.functions.wordlists import AMBIGUOUS_WORDS, NAME_STOPWORDS, PERSON_PATTERNS, PROJECT_PATTERNS
+from memspark.plans.shared import materialize, release
 
 NAME = "[A-Z][a-z]{2,}"
+#: Bytes of names in one automaton, which takes some fifty times as much.
+NAMES_BLOCK = 1 << 20
 
 
 class Registry(NamedTuple):
@@ -60,6 +66,70 @@ def detect_entities(docs: DataFrame, registry: Registry | None = None, doc_id: s
     return scored.where(~stop | (F.col("met") > 0)).select("doc_id", "name", (F.col("n") + 2 * F.col("met")).cast("long").alias("score"))
 
 
+#: The automaton that this worker searched with last, by its name.
+_automata: dict[str, object] = {}
+
+
+def automaton(name: str, keys) -> object:
+    """An Aho-Corasick automaton of a broadcast list of keys, made once in a worker; only one is held."""
+    if name not in _automata:
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for i, key in enumerate(keys.value):
+            made.add_word(key, i)
+        made.make_automaton()
+        _automata.clear()
+        _automata[name] = made
+    return _automata[name]
+
+
+def found_keys(lowered: Column, keys) -> Column:
+    """The places in the list of the keys that stand in a text, each once."""
+    name = uuid.uuid4().hex
+
+    @F.arrow_udf("array<int>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            search = automaton(name, keys).iter
+            yield pa.array((sorted({i for _, i in search(x)}) if x else [] for x in (y.as_py() for y in batch)), type=pa.list_(pa.int32()), size=len(batch))
+
+    return found(lowered)
+
+
+def names_in(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = NAMES_BLOCK) -> DataFrame:
+    """(doc_id, key): the lower-cased names (name) that stand anywhere in a text, whatever their number. Names go to the tasks in
+    automata of about ``block`` bytes, one after another; a text is gone through once for each, not once for each name."""
+    spark = docs.sparkSession
+    keys = materialize(names.select(F.lower("name").alias("key")).where("key <> ''").distinct(), "names")
+    n = -(-(keys.agg(F.sum(F.octet_length("key"))).first()[0] or 0) // block)
+    kind, out = dict(docs.dtypes)[doc_id], None
+    for i in range(n):
+        part = [r["key"] for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i).toLocalIterator()]
+        if not part:
+            continue
+        shared = spark.sparkContext.broadcast(part)
+        listed = spark.createDataFrame(list(enumerate(part)), "i int, key string")
+        rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(found_keys(F.lower(text), shared)).alias("i")).join(F.broadcast(listed), "i").select("doc_id", "key")
+        if n > 1:
+            rows = materialize(rows, "found")
+            shared.destroy()
+        out = rows if out is None else out.unionByName(rows)
+    release(keys) if n else None
+    return spark.createDataFrame([], f"doc_id {kind}, key string") if out is None else out
+
+
+def registered_codes(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = NAMES_BLOCK) -> DataFrame:
+    """``docs`` with ``codes``: what `entity_codes` gives with the names (seq, name, code) in their order, for any number of them. Ids are
+    unique."""
+    named = names.where(F.col("name") != F.lower("name")).select(F.lower("name").alias("key"), "seq", "code")
+    hits = names_in(docs, named.select(F.col("key").alias("name")), doc_id, text, block).join(named, "key")
+    first = hits.groupBy("doc_id", "code").agg(F.min("seq").alias("seq"))
+    known = first.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "code"))), lambda x: x["code"]).alias("__known")).withColumnRenamed("doc_id", doc_id)
+    rows = docs.drop("codes").join(known, doc_id, "left")
+    return rows.withColumn("codes", F.coalesce("__known", entity_codes(text))).drop("__known")
+
+
 def seed_registry(people: DataFrame, projects: DataFrame, mode: str = "personal", ambiguous_words=AMBIGUOUS_WORDS) -> Registry:
     """people: (seq, name, relationship, aliases). The last entry of a name wins; names that are common words are flagged."""
     last = people.groupBy("name").agg(F.max_by(F.struct("relationship", "aliases"), "seq").alias("p"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -113,7 +114,8 @@ def chunk_text(df: DataFrame, text: str = "text", size: int = 800, overlap: int
     @F.arrow_udf("array<string>")
     def chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([cut(x, size, overlap, min_size) for x in batch.to_pylist()], type=pa.list_(pa.string()))
+            for at in range(0, len(batch), 64):  # so many texts and their chunks at once
+                yield pa.array([cut(x, size, overlap, min_size) for x in batch.slice(at, 64).to_pylist()], type=pa.list_(pa.string()))
 
     return df.select("*", F.posexplode(chunks(F.col(text))).alias("chunk_index", "content"))
 
@@ -121,17 +123,17 @@ def chunk_text(df: DataFrame, text: str = "text", size: int = 800, overlap: int
 def split_sessions(files: DataFrame, banner: str, not_near=("Ctrl+E", "previous messages"), people=(), file: str = "file", text: str = "text", clock: str = CLOCK, skipped: tuple[str, ...] = SKIPPED_PROMPTS) -> DataFrame:
     """(file, session, ts, people, subject, file_name, content) of files that hold at least two sessions. A session starts at
     a line with ``banner`` unless it or the five lines after it have one of ``not_near``; those of under 10 lines are
-    left out, their number is used up."""
-    lines = files.select(F.col(file).alias("file"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    w = Window.partitionBy("file").orderBy("pos")
-    near = F.array_join(F.collect_list("line").over(w.rowsBetween(0, 5)), "")
-    starts = F.col("line").contains(banner)
-    for word in not_near:
-        starts = starts & ~near.contains(word)
-    lines = lines.withColumn("starts", starts.cast("int")).withColumn("session", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    lines = lines.withColumn("boundaries", F.sum("starts").over(Window.partitionBy("file"))).where("boundaries >= 2 and session > 0")
-    body = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
-    sessions = lines.groupBy("file", "session").agg(body.alias("lines")).where(F.size("lines") >= 10)
+    left out, their number is used up. All of it stays in the file's row."""
+
+    def cut_at(lines: Column) -> Column:
+        near = lambda i: F.array_join(F.slice(lines, i + 1, 6), "")
+        # The lines beside it are looked at for lines with the banner alone.
+        begins = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: reduce(lambda kept, word: kept & ~near(i).contains(word), not_near, F.get(lines, i).contains(banner)))
+        part = lambda o, at, k: F.struct((k + 1).cast("long").alias("session"), F.slice(lines, at + 1, F.coalesce(F.get(o, k + 1), F.size(lines)) - at).alias("lines"))
+        return bound(begins, lambda o: F.when(F.size(o) >= 2, F.transform(o, lambda at, k: part(o, at, k))))
+
+    parts = F.filter(bound(F.split(text, "\n"), cut_at), lambda x: F.size(x["lines"]) >= 10)
+    sessions = files.select(F.col(file).alias("file"), F.inline(parts))
     dated = F.get(F.filter(F.slice("lines", 1, 50), lambda x: x.rlike(clock)), F.lit(0))
     group = lambda i: F.regexp_extract(dated, clock, i)
     month = F.coalesce(F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS) for x in (m, f"{i + 1:02d}")))[group(2)], F.lit("00"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memspark.operators import drawers, evaluate, transcripts
 from memspark.plans.queries import EXCHANGES, PAIRS, SQL, SQL_TOPIC, query, sql_trim, t
 from memspark.plans.shared import shared_path
-from memspark.sources import files, formats
+from memspark.sources import files, formats, lines
 
 
 def talks(spark, d) -> DataFrame:
@@ -245,3 +245,23 @@ def session_texts(spark, d):
 
 
 SQL["session_texts"] = "SELECT 'q' || conv_id AS question_id, 's' || conv_id AS session_id, '2026-01-01' AS date, string_agg(text, chr(10) ORDER BY turn) AS content FROM conversations WHERE role = 'user' GROUP BY conv_id"
+
+
+@query
+def exported_lines(spark, d):
+    """Conversations written as exports with a JSON object a line, fifty in a file, as events and as sessions in turn; read by ranges."""
+    path, part = shared_path(spark, "exports"), F.floor(F.col("conv_id") / 50)
+    event = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message")))
+    kind = F.when(F.col("role") == "user", "user_message").when(F.col("role") == "assistant", "agent_message").otherwise("other")
+    session = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(kind.alias("type"), F.col("text").alias("message")).alias("payload")))
+    rows = t(spark, d, "conversations").select(part.alias("part"), "conv_id", "turn", F.when(part % 2 == 0, event).otherwise(session).alias("value"))
+    meta = rows.select("part").distinct().select("part", F.lit(-1).cast("long").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), F.lit('{"type": "session_meta"}').alias("value"))
+    rows.unionByName(meta).repartition("part").sortWithinPartitions("part", "conv_id", "turn").select("part", "value").write.partitionBy("part").text(path)
+    name = F.regexp_extract("file", "part=([0-9]+)", 1).alias("part")
+    return lines.line_turns(lines.export_lines(spark, path)).select(name, "layout", "turn", "role", "text")
+
+
+SQL["exported_lines"] = f"""
+WITH x AS (SELECT conv_id // 50 AS part, conv_id, turn, role, {sql_trim("text")} AS text FROM conversations),
+k AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY conv_id, turn) - 1 AS n FROM x WHERE role IN ('user', 'assistant') AND text <> '')
+SELECT part::VARCHAR AS part, CASE WHEN part % 2 = 0 THEN 'events' ELSE 'sessions' END AS layout, n AS turn, role, text FROM k"""

@@ -789,6 +789,30 @@ x AS (SELECT file, 1::BIGINT AS session, rtrim(o, chr(10)) AS content FROM b UNI
 SELECT file, session, 'please-look-at-it' AS subject, file || '_part0' || session || '_unknown_please-look-at-it.txt' AS file_name, length(content)::BIGINT AS n_chars, content FROM x"""
 
 
+@query
+def dated_sessions(spark, d):
+    """Each document as a file of two sessions with the time in a line of its own, the second with its whole text and, of every
+    second document, a known name."""
+    no = F.col("doc_id")
+    month = F.element_at(F.lit(["January", "March", "October", "Smarch"]), (no % 4 + 1).cast("int"))
+    clock = F.concat(F.lit("\n⏺ "), (no % 12 + 1).cast("string"), F.lit(":05 "), F.when(no % 3 == 0, "AM").otherwise("PM"), F.lit(" Monday, "), month, F.lit(" "), (no % 28 + 1).cast("string"), F.lit(", "), (2000 + no % 25).cast("string"))
+    opening = F.concat(F.lit("* Session start"), clock, F.when(no % 2 == 0, "\nwith ALICE, and Bobby").otherwise("\nnobody"), F.lit("\n> please look at it\n" + "line\n" * 8))
+    rows = t(spark, d, "documents").select(F.concat(F.lit("d"), no.cast("string")).alias("file"), F.concat(opening, opening, F.coalesce("text", F.lit(""))).alias("text"))
+    found = transcripts.split_sessions(rows, "* Session start", people=("Bob", "Alice"))
+    return found.select("file", "session", "ts", F.array_join("people", ",").alias("people"), "file_name", F.length("content").cast("long").alias("n_chars"))
+
+
+SQL["dated_sessions"] = """
+WITH b AS (
+  SELECT doc_id, coalesce(text, '') AS text, (2000 + doc_id % 25) || '-' || ['01', '03', '10', '00'][doc_id % 4 + 1] || '-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || '_' || (doc_id % 12 + 1) || '05' || CASE WHEN doc_id % 3 = 0 THEN 'AM' ELSE 'PM' END AS ts,
+         CASE WHEN doc_id % 2 = 0 THEN 'Alice' ELSE '' END AS people,
+         '* Session start' || chr(10) || '⏺ ' || (doc_id % 12 + 1) || ':05 ' || CASE WHEN doc_id % 3 = 0 THEN 'AM' ELSE 'PM' END || ' Monday, ' || ['January', 'March', 'October', 'Smarch'][doc_id % 4 + 1] || ' ' || (doc_id % 28 + 1) || ', ' || (2000 + doc_id % 25)
+         || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'with ALICE, and Bobby' ELSE chr(10) || 'nobody' END || chr(10) || '> please look at it' || chr(10) || repeat('line' || chr(10), 8) AS o
+  FROM documents),
+x AS (SELECT *, 1::BIGINT AS session, length(o) - 1 AS n FROM b UNION ALL SELECT *, 2, length(o) + length(text) FROM b)
+SELECT 'd' || doc_id AS file, session, ts, people, 'd' || doc_id || '_' || ts || '_' || CASE people WHEN '' THEN 'unknown' ELSE people END || '_please-look-at-it.txt' AS file_name, n::BIGINT AS n_chars FROM x"""
+
+
 @query
 def session_checkpoints(spark, d):
     rows = t(spark, d, "events").select(F.concat(F.lit("s/"), F.col("user_id").cast("string")).alias("session_id"), F.when(F.col("event_type") == "error", "assistant").otherwise("user").alias("role"), F.col("event_type").alias("content"), "ts", F.col("event_id").alias("id"))

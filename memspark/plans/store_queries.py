@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from memspark.functions import extract
 from memspark.functions.wordlists import AMBIGUOUS_WORDS, EMOTION_CODES
 from memspark.operators import drawers, entities, evaluate, kg, similarity, versions
-from memspark.plans.queries import _NEAR, _SIM, KG, L1, SQL, built_kg, document_drawers, empty_kg, kg_rows, query, quoted, retrieval_metrics, searchers, t, vectors
+from memspark.plans.queries import _NEAR, _SIM, _SPOKEN, KG, L1, SQL, built_kg, document_drawers, empty_kg, kg_rows, query, quoted, retrieval_metrics, searchers, spoken, sql_compressed, t, vectors
 from memspark.plans.shared import materialize, shared_path
 from memspark.sources import files
 from memspark.streaming import jobs
@@ -208,6 +208,19 @@ def decoded_records(spark, d):
 SQL["decoded_records"] = """
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'g' ELSE 'f' || doc_id END AS file, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'A+B' END AS entities, CASE WHEN doc_id % 2 = 0 THEN '2026' ELSE lang END AS date,
        CASE WHEN doc_id % 2 = 0 THEN 'title' ELSE 'old' END AS title, CASE WHEN doc_id % 3 = 0 THEN 'fall and ' || lang ELSE 'rise' END AS arc, '0:ABC|topic|' || source || ';1:DEF|x' AS records, 'T:1<->2|x' AS tunnels FROM documents"""
+
+
+@query
+def decoded_texts(spark, d):
+    """What `compress` writes of whole texts, read back: its header and its record."""
+    docs = spoken(t(spark, d, "documents")).withColumns({"wing": F.concat(F.lit("w"), (F.col("doc_id") % 2).cast("string")), "room": F.lit("r"), "date": F.lit("2026-01-01"), "source_file": F.concat(F.lit("/a/f"), "doc_id", F.lit(".md"))})
+    rows = extract.decode(extract.compress(docs))
+    return rows.select("doc_id", "header.file", "header.entities", "header.date", "header.title", F.size("records").cast("long").alias("n_records"), F.array_join("records", ";").alias("records"))
+
+
+SQL["decoded_texts"] = f"""
+WITH {sql_compressed(_SPOKEN, "''")}
+SELECT doc_id, 'w' || (doc_id % 2) AS file, 'r' AS entities, '2026-01-01' AS date, 'f' || doc_id AS title, 1::BIGINT AS n_records, compressed AS records FROM comp"""
 _CODES = {"BUILDING": "BLD", "Auto": "AUT", "mach": "MCH", "000000012": "TWL"}
 
 
@@ -462,3 +475,20 @@ def wake_up(spark, d):
 
 
 SQL["wake_up"] = f"WITH {L1} SELECT wing, 'I am the store.' || chr(10) || chr(10) || text AS text FROM story"
+
+
+@query
+def many_names(spark, d):
+    """Every document's first word as a registered name, if it has a capital and four letters; the codes of those that stand in each document."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    names = docs.select(F.regexp_extract("text", "^([A-Z][a-z]{3,})", 1).alias("name")).where("name <> ''").distinct()
+    names = names.select("name", F.upper(F.substring("name", 1, 4)).alias("code"), F.col("name").alias("seq"))
+    found = entities.registered_codes(docs, names)
+    return found.select("doc_id", F.size("codes").cast("long").alias("n_codes"), F.array_join(F.slice("codes", 1, 5), "+").alias("codes")).where("length(codes) > 3 and substring(codes, 4, 1) <> '+'")
+
+
+SQL["many_names"] = """
+WITH n AS (SELECT DISTINCT regexp_extract(text, '^([A-Z][a-z]{3,})', 1) AS name FROM documents WHERE regexp_matches(text, '^[A-Z][a-z]{3,}')),
+h AS (SELECT doc_id, upper(substr(name, 1, 4)) AS code, min(name) AS seq FROM documents JOIN n ON contains(lower(text), lower(name)) GROUP BY ALL),
+k AS (SELECT doc_id, list(code ORDER BY seq) AS codes FROM h GROUP BY doc_id)
+SELECT doc_id, len(codes)::BIGINT AS n_codes, array_to_string(codes[1:5], '+') AS codes FROM k"""

@@ -253,3 +253,19 @@ def test_embedding_search_and_metrics(spark):
     assert values(evaluate.mean_metrics(evaluate.retrieval_metrics(ranked, wanted)), "questions") == [3]
     asked = spark.createDataFrame([("q", [[("user", "a"), ("assistant", "b"), ("user", "c")], [("assistant", "d")]], ["s1", "s2"], ["d1", "d2"])], "question_id string, haystack_sessions array<array<struct<role:string,content:string>>>, haystack_session_ids array<string>, haystack_dates array<string>")
     assert values(evaluate.session_documents(asked), "session_id", "content") == [("s1", "a\nc")]
+
+
+def test_many_names_against_one_by_one(spark):
+    """A hundred thousand names, in one automaton and in many, against the expression for each of a few."""
+    from memspark.functions import extract
+    from memspark.operators import entities
+
+    docs = spark.createDataFrame([(1, "we saw ANNA and Ann, then Berta Lang"), (2, "nothing but a Dog here"), (3, None), (4, ""), (5, "xAnnx carl")], "doc_id long, text string")
+    few = [("Ann", "A1"), ("Anna", "A2"), ("Berta lang", "B1"), ("carl", "C0"), ("Carl", "C1"), ("Zed", "A1")]
+    frame = lambda rows: spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq long, name string, code string")
+    want = {r["doc_id"]: r["c"] for r in docs.select("doc_id", extract.entity_codes("text", dict(few)).alias("c")).collect()}
+    for names, block in ((few, 1 << 20), (few, 9), (few + [(f"Name{i}q", "N") for i in range(100_000)], 1 << 19)):
+        got = entities.registered_codes(docs, frame(names), block=block)
+        assert {r["doc_id"]: r["codes"] for r in got.collect()} == want
+    assert want[1] == ["A1", "A2", "B1"] and want[2] == ["DOG"] and want[5] == ["A1", "C1"]
+    assert entities.names_in(docs, frame([])).collect() == []

@@ -125,47 +125,24 @@ def test_triples_and_closings_are_appended(spark, tmp_path):
     assert rows(jobs.latest_kg(spark, str(tmp_path / "less"))) == want
 
 
-def test_idle_sessions_are_forgotten():
-    """The state and its timer, with the handle that Spark gives played by the test."""
-
-    class Handle:
-        counts, timers = None, []
-
-        def getValueState(self, *_):
-            return self
-
-        def exists(self):
-            return self.counts is not None
-
-        def get(self):
-            return self.counts
-
-        def update(self, counts):
-            self.counts = counts
-
-        def clear(self):
-            self.counts = None
-
-        def listTimers(self):
-            return self.timers
-
-        def deleteTimer(self, at):
-            self.timers = [x for x in self.timers if x != at]
-
-        def registerTimer(self, at):
-            self.timers = [*self.timers, at]
-
-    class Now:
-        def __init__(self, at):
-            self.at = at
-
-        def getCurrentProcessingTimeInMs(self):
-            return self.at
-
-    handle, kept = Handle(), jobs.SaveEvery(3, idle_ms=50)
-    kept.init(handle)
-    two = lambda at: [tuple(x) for f in kept.handleInputRows(("a",), iter([pd.DataFrame({"id": [1, 2]})]), Now(at)) for x in f.itertuples(index=False)]
-    assert two(0) == [] and handle.timers == [50]
-    assert two(20) == [("a", 3, 3)] and handle.timers == [70]
-    assert sum(len(f) for f in kept.handleExpiredTimer(("a",), Now(70), None)) == 0 and not handle.exists()
-    assert two(90) == [] and handle.counts == (2, 0)
+def test_exports_cut_into_ranges(spark, tmp_path):
+    """A file of many ranges gives the turns that it gives as one row; lines longer than a range, bad lines, other line ends."""
+    from memspark.sources import lines
+
+    events = [json.dumps({"type": ("human", "assistant", "system")[i % 3], "message": {"content": f"turn {i} " + "x" * (i % 7 * 300)}}) for i in range(400)]
+    events[5:5] = ["{bad", "", '{"type": "human"}', json.dumps({"type": "human", "message": {"content": [{"type": "text", "text": "of a list"}]}})]
+    sessions = [json.dumps({"type": "event_msg", "payload": {"type": ("user_message", "agent_message")[i % 2], "message": f"said {i}"}}) for i in range(90)]
+    texts = {"a.jsonl": "\n".join(events), "b.jsonl": "\n".join([*sessions, '{"type": "session_meta"}']) + "\n", "c.jsonl": "\n".join(sessions), "d.jsonl": events[0]}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = lines.export_lines(spark, str(tmp_path))
+        assert rows.groupBy("file", "block").count().where("file like '%a.jsonl'").count() > 50
+        got = sorted((r["file"].rsplit("/", 1)[1], r["turn"], r["role"], r["text"]) for r in lines.line_turns(rows).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    whole = spark.createDataFrame(list(texts.items()), "file string, text string")
+    want = sorted(tuple(r) for name, layout in (("a.jsonl", "events"), ("b.jsonl", "sessions")) for r in formats.turns_from(whole.where(F.col("file") == name), layout).collect())
+    assert got == want and len(want) > 300
