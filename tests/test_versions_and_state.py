@@ -1,5 +1,7 @@
 """The store of versions, micro-batches that run again, and streams that go on from their state."""
 
+import datetime
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -91,7 +93,7 @@ def test_triples_by_keyed_state(spark, tmp_path):
 def test_idle_sessions_over_event_time(spark, tmp_path):
     """A stream in three runs, rows out of order within one, against the table at once; sessions end where they fall silent."""
     kind = "session_id string, role string, content string, ts timestamp, id long"
-    minute = lambda m: pd.Timestamp("2026-01-01") + pd.Timedelta(minutes=m)
+    minute = lambda m: datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=m)
     batches = [[("a", 1), ("b", 2), ("a", 0), ("a", 3)], [("a", 5), ("b", 40), ("b", 41), ("c", 42)], [("a", 90), ("b", 91), ("a", 92), ("a", 93), ("c", 44 + 50), ("b", 95)]]
     every, n = None, 0
     for batch in batches:
