@@ -37,6 +37,17 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def first_k(values: np.ndarray, k: int) -> np.ndarray:
+    """The places (rows, k) of each row's ``k`` largest values; of equal ones the first. Rows of fewer give all."""
+    n = values.shape[1]
+    if n <= k:
+        return np.broadcast_to(np.arange(n), values.shape)
+    bar = np.partition(values, n - k, axis=1)[:, n - k, None]
+    above, same = values > bar, values == bar
+    kept = above | (same & (same.cumsum(axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    return np.nonzero(kept)[1].reshape(len(values), k)
+
+
 def fit_centres(rows: DataFrame, cells: int = CELLS, sample: int = SAMPLE, rounds: int = 8) -> np.ndarray:
     """The centres of at most ``cells`` cells, by spherical k-means over the sampled rows (id, vector); one cell for forty rows."""
     taken = rows.where("vector is not null").select("vector", F.xxhash64("id", F.lit(17)).alias("h")).orderBy("h", "vector").limit(sample).collect()
@@ -154,14 +165,7 @@ def best_of(index: Index, asking: DataFrame, k: int) -> DataFrame:
             order = pc.sort_indices(ids)
             ids = ids.take(order)
             dots = np.round(matrix(some.column("vector")) @ matrix(stored.column("vector").take(order)).T, 3)
-            if k == 1:
-                at = dots.argmax(axis=1)[:, None]
-            elif dots.shape[1] <= k:
-                at = np.broadcast_to(np.arange(dots.shape[1]), dots.shape)
-            else:
-                # All at or above the k-th largest, of which the smallest ids count where that one is shared.
-                bar = np.partition(dots, dots.shape[1] - k, axis=1)[:, dots.shape[1] - k]
-                at = np.array([np.concatenate([np.flatnonzero(row > b), np.flatnonzero(row == b)])[:k] for row, b in zip(dots, bar, strict=True)])
+            at = first_k(dots, k)
             query, found = np.repeat(np.arange(len(some)), at.shape[1]), at.ravel()
             value = dots[query, found]
         kind = pa.schema([pa.field("query_id", names.type), pa.field("id", ids.type), pa.field("similarity", pa.float64())])

@@ -10,13 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from memspark.functions.text import base_name, or_default, snippet
-from memspark.operators.neighbours import Index, first_kept, nearest
+from memspark.operators.neighbours import Index, first_k, first_kept, matrix, nearest
 from memspark.plans.shared import materialize
 
-#: Queries that go to the tasks at once.
-QUERY_BLOCK = 20_000
+#: Queries that go to the tasks at once, and similarities that a task works out at once.
+QUERY_BLOCK, PRODUCTS = 20_000, 4_000_000
 
 
 def hash_features(texts: list[str], dim: int = 384) -> np.ndarray:
@@ -55,6 +56,8 @@ def topk(drawers: DataFrame, queries: DataFrame, k: int = 5, wing: str | None =
         if value is not None:
             drawers = drawers.where(F.col(name) == value)
     spark = drawers.sparkSession
+    drawers = drawers.where("vector is not null")
+    types = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(drawers.schema["id"].dataType), pa.float64()]
     n_blocks = max(1, -(-queries.count() // block))
     scored = None
     for i in range(n_blocks):
@@ -65,23 +68,24 @@ def topk(drawers: DataFrame, queries: DataFrame, k: int = 5, wing: str | None =
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, wanted = shared.value
-            held: list[list[tuple[float, object]]] = [[] for _ in names]
+            # The best so far of each query, a row a query; a block of rows is compared at once, in the order of the ids.
+            ids, dots = None, np.zeros((len(names), 0))
+            step = max(1, PRODUCTS // len(names))
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                if not ids:
-                    continue
-                dots = np.round(np.array(batch.column(1).to_pylist(), dtype=np.float64) @ wanted.T, 3)
-                for q in range(len(names)):
-                    column = dots[:, q]
-                    if len(column) > k:
-                        least = np.partition(column, len(column) - k)[len(column) - k]
-                        at = np.flatnonzero(column >= least)
-                    else:
-                        at = np.arange(len(column))
-                    held[q] = sorted(held[q] + [(-column[j], ids[j]) for j in at])[:k]
-            out = [{"query_id": names[q], "id": i, "similarity": -s} for q in range(len(names)) for s, i in held[q]]
-            if out:
-                yield pa.RecordBatch.from_pylist(out)
+                for at in range(0, len(batch), step):
+                    part = batch.slice(at, step)
+                    own = np.array(part.column(0).to_pylist())
+                    order = np.argsort(own, kind="stable")
+                    near = np.round(matrix(part.column(1))[order] @ wanted.T, 3).T
+                    some = first_k(near, k)
+                    both = np.concatenate([dots, np.take_along_axis(near, some, 1)], axis=1)
+                    every = own[order][some] if ids is None else np.concatenate([ids, own[order][some]], axis=1)
+                    first = np.lexsort((every, -both), axis=1)[:, :k]
+                    ids, dots = np.take_along_axis(every, first, 1), np.take_along_axis(both, first, 1)
+            if ids is not None:
+                query = np.repeat(np.arange(len(names)), ids.shape[1])
+                kind = pa.schema([pa.field(c, t) for c, t in zip(("query_id", "id", "similarity"), types, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in query], type=types[0]), pa.array(ids.ravel().tolist(), type=types[1]), pa.array(dots.ravel())], schema=kind)
 
         kinds = dict(drawers.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
         part = drawers.select("id", "vector").mapInArrow(best, f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double")
