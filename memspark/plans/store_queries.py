@@ -385,7 +385,7 @@ SQL["streamed_triples"] = SQL["kg_invalidate"].replace("SELECT id, CASE WHEN val
 
 @query
 def stateful_triples(spark, d):
-    """The same by a state for each triple, in two runs of one stream: the second goes on from the checkpoint and reads neither the
+    """The same by states of buckets of triples, in two runs of one stream: the second goes on from the checkpoint and reads neither the
     store nor what the first one wrote."""
     path = shared_path(spark, "keyed")
     events = kg_rows(spark, d).withColumn("ended", F.lit(None).cast("string")).select("seq", "subject", "predicate", "object", "valid_from", "valid_to", "ended")

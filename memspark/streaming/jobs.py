@@ -208,42 +208,59 @@ def compact_kg(spark: SparkSession, path: str, to: str, version: int) -> None:
 
 #: What the keyed triples write: added triples, and closings by the triple's id.
 CHANGE = "event string, id string, subject string, predicate string, object string, valid_from string, valid_to string, confidence double, source_closet string, source_file string, seq bigint"
+#: What a state tells of a change; the rest is the same for all.
+CHANGED = ["event", "id", "subject", "predicate", "object", "valid_from", "valid_to", "seq"]
 
 
-class ActiveTriple(StatefulProcessor):
-    """The id of a triple that is active. Additions of an active one add nothing, a closing ends it; both come in the order of
-    ``seq``. The state begins with what the store has."""
+#: A state holds the keys of one bucket. Each call of a state costs milliseconds, so a state for each key costs hours where keys are
+#: millions; a stream keeps its number of buckets for life, and a task holds what one bucket has.
+BUCKETS = 1024
+
+
+class ActiveTriples(StatefulProcessor):
+    """The ids of a bucket's triples that are active. Additions of an active one add nothing, a closing ends it; both come in the
+    order of ``seq``. The state begins with what the store has."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.active = handle.getValueState("active", "id string")
+        self.state = handle.getValueState("actives", "keys array<string>, ids array<string>")
+
+    def active(self) -> dict[str, str]:
+        return dict(zip(*self.state.get(), strict=True)) if self.state.exists() else {}
+
+    def keep(self, active: dict[str, str]) -> None:
+        if active:
+            self.state.update((list(active), list(active.values())))
+        elif self.state.exists():
+            self.state.clear()
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.active.update((initialState["id"].iloc[0],))
+        self.keep(self.active() | dict(zip(initialState["key"], initialState["id"], strict=True)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        active = self.active.get()[0] if self.active.exists() else None
-        kept = []
-        for row in frame.to_dict("records"):
-            if row["event"] == "ended":
-                if active is not None:
-                    kept.append(row | {"id": active})
-                    active = None
-            elif active is None:
-                kept.append(row)
-                active = row["id"] if pd.isna(row["valid_to"]) else None
-        if active is not None:
-            self.active.update((active,))
-        elif self.active.exists():
-            self.active.clear()
-        yield pd.DataFrame(kept, columns=frame.columns)
+        frame = pd.concat(list(rows)).sort_values("seq", kind="stable", ignore_index=True)
+        active = self.active()
+        kept, ids = [], []
+        for i, (name, event, own, is_open) in enumerate(zip(frame["key"], frame["event"], frame["id"], frame["valid_to"].isna(), strict=True)):
+            held = active.get(name)
+            if event == "ended":
+                if held is not None:
+                    kept.append(i)
+                    ids.append(held)
+                    del active[name]
+            elif held is None:
+                kept.append(i)
+                ids.append(own)
+                if is_open:
+                    active[name] = own
+        self.keep(active)
+        yield frame.iloc[kept].assign(id=pd.Series(ids, index=kept, dtype=object))[CHANGED]
 
     def close(self) -> None:
         pass
 
 
 def triple_changes(events: DataFrame, today: str = "") -> DataFrame:
-    """Events (seq, subject, predicate, object, valid_from, valid_to, ended), names as given, as rows that `ActiveTriple` takes.
+    """Events (seq, subject, predicate, object, valid_from, valid_to, ended), names as given, as rows of the log.
     An event with ``ended`` ('' stands for ``today``) closes a triple, one without adds it."""
     is_end = F.col("ended").isNotNull()
     rows = events.select(
@@ -254,13 +271,20 @@ def triple_changes(events: DataFrame, today: str = "") -> DataFrame:
     return rows.withColumn("id", triple_id(F.col("seq"))).select(*(x.split()[0] for x in CHANGE.split(", ")))
 
 
-def keyed_triples(events: DataFrame, path: str, checkpoint: str, known: DataFrame | None = None, today: str = ""):
-    """Applies a stream of events (`triple_changes`) in order, by a state for each triple, and appends what it changes to the log below
+def keyed_triples(events: DataFrame, path: str, checkpoint: str, known: DataFrame | None = None, today: str = "", buckets: int = BUCKETS):
+    """Applies a stream of events (`triple_changes`) in order, by a state for each bucket of triples, and appends what it changes to the log below
     ``path``, once each, whatever runs again. No micro-batch reads the store: ``known``, its triples, is the first state and is read
     at the very first start alone. Start it within `keyed_state`; `logged_triples` reads the result."""
-    key = ["subject", "predicate", "object"]
-    active = None if known is None else known.where("valid_to is null").groupBy(*key).agg(F.min("id").alias("id")).groupBy(*key)
-    made = triple_changes(events, today).groupBy(*key).transformWithStateInPandas(ActiveTriple(), CHANGE, "Append", "None", active)
+    # As JSON null is a name of its own, and names with any sign stay apart.
+    key = F.to_json(F.array("subject", "predicate", "object"), {"ignoreNullFields": "false"})
+    placed = lambda df: df.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    active = None
+    if known is not None:
+        active = placed(known.where("valid_to is null")).groupBy("bucket", "key").agg(F.min("id").alias("id")).groupBy("bucket")
+    rows = placed(triple_changes(events, today)).select("bucket", "key", *CHANGED)
+    kinds = ", ".join(f"{c} {'bigint' if c == 'seq' else 'string'}" for c in CHANGED)
+    made = rows.groupBy("bucket").transformWithStateInPandas(ActiveTriples(), kinds, "Append", "None", active)
+    made = made.withColumns({"confidence": F.lit(1.0), "source_closet": F.lit(None).cast("string"), "source_file": F.lit(None).cast("string")}).select(*(x.split()[0] for x in CHANGE.split(", ")))
     return made.writeStream.format("parquet").option("path", f"{path}/log").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 

@@ -150,3 +150,21 @@ def test_state_of_idle_sessions_goes():
     assert told(30, 20) == [("a", 3, 3)] and handle.timers == [80] and handle.counts == (4, 3, 30)
     assert told(81) == [] and handle.counts == (1, 0, 81) and handle.timers == [131]
     assert sum(len(f) for f in kept.handleExpiredTimer(("a",), None, None)) == 0 and not handle.exists()
+
+
+def test_triples_share_states(spark, tmp_path):
+    """Many triples take no more states than there are buckets; null is a name of its own, and the store's rows are the first state."""
+    names = [None, "a b", *(f"n{i}" for i in range(600))]
+    known = spark.createDataFrame([(f"k{i}", f"n{i}", "p", "o", "2019", None, 1.0, None, None, "") for i in range(0, 600, 3)], kg.TRIPLE)
+    adds = spark.createDataFrame([(i, x, "p", "o", "2020", None, None) for i, x in enumerate([*names, *names])], EVENTS)
+    ends = spark.createDataFrame([(5000 + i, x, "p", "o", None, None, "") for i, x in enumerate(names[:102])], EVENTS)
+    source = str(tmp_path / "in")
+    for rows, start in ((adds, known), (ends, None)):
+        rows.write.mode("append").parquet(source)
+        with jobs.keyed_state(spark):
+            query = jobs.keyed_triples(spark.readStream.schema(EVENTS).parquet(source), str(tmp_path / "kg"), str(tmp_path / "state"), start, "2026-01-01", buckets=8)
+            query.awaitTermination()
+        assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 8
+    rows = jobs.logged_triples(spark, str(tmp_path / "kg"), known).collect()
+    assert len(rows) == len({r["subject"] for r in rows}) == 602
+    assert sum(r["valid_to"] == "2026-01-01" for r in rows) == 102 and sum(r["id"].startswith("k") for r in rows) == 200
