@@ -17,6 +17,9 @@ from memspark.operators.versions import DrawerStore
 from memspark.sources.files import write_kg
 
 CHECKPOINT = "session_id string, n bigint, since_last bigint"
+#: A state holds the keys of one bucket. Each call of a state costs milliseconds, so a state for each key costs hours where keys are
+#: millions; a stream keeps its number of buckets for life, and a task holds what one bucket has.
+BUCKETS = 1024
 
 
 def session_name(session_id: str = "session_id"):
@@ -84,6 +87,60 @@ class SaveEvery(StatefulProcessor):
         pass
 
 
+class SaveEveryOfMany(StatefulProcessor):
+    """`SaveEvery` for the sessions of a bucket, which share a state and a timer. The timer drops those that are idle by then and
+    waits for the next."""
+
+    def __init__(self, every: int = 15, idle_ms: int | None = None):
+        self.every, self.idle_ms = every, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("sessions", "names array<string>, n array<bigint>, saved array<bigint>, last array<bigint>")
+
+    def counts(self) -> dict[str, tuple[int, int, int]]:
+        if not self.state.exists():
+            return {}
+        names, *counts = self.state.get()
+        return dict(zip(names, zip(*counts, strict=True), strict=True))
+
+    def keep(self, counts: dict[str, tuple[int, int, int]]) -> None:
+        if counts:
+            self.state.update((list(counts), *(list(x) for x in zip(*counts.values(), strict=True))))
+        elif self.state.exists():
+            self.state.clear()
+        if self.idle_ms:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if counts:
+                self.handle.registerTimer(int(min(last for _, _, last in counts.values())) + self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))
+        if self.idle_ms:
+            frame = frame.sort_values(["ms", "id"])
+        counts, out = self.counts(), []
+        for name, ms in zip(frame["session_id"].tolist(), frame["ms"].tolist(), strict=True):
+            n, saved, last = counts.get(name, (0, 0, ms))
+            if self.idle_ms and ms - last > self.idle_ms:
+                n = saved = 0
+            n += 1
+            if n - saved >= self.every:
+                out.append((name, n, n - saved))
+                saved = n
+            counts[name] = (n, saved, max(last, ms))
+        self.keep(counts)
+        yield pd.DataFrame(out, columns=["session_id", "n", "since_last"]).astype({"session_id": object, "n": "int64", "since_last": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        over = expiredTimerInfo.getExpiryTimeInMs() - self.idle_ms
+        self.keep({name: x for name, x in self.counts().items() if x[2] > over})
+        yield pd.DataFrame({"session_id": pd.Series(dtype=str), "n": pd.Series(dtype="int64"), "since_last": pd.Series(dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
 @contextmanager
 def keyed_state(spark: SparkSession):
     """Streams that are started within use the state store that keyed state and timers need; the session's own stays."""
@@ -96,15 +153,18 @@ def keyed_state(spark: SparkSession):
         spark.conf.set(name, kept)
 
 
-def save_checkpoints(stream: DataFrame, every: int = 15, marker: str = "<command-message>", idle_ms: int | None = None, lateness: str = "10 minutes") -> DataFrame:
-    """The same over a stream; start it within `keyed_state`. Without ``idle_ms`` the count alone decides, so the order doesn't
+def save_checkpoints(stream: DataFrame, every: int = 15, marker: str = "<command-message>", idle_ms: int | None = None, lateness: str = "10 minutes", buckets: int | None = BUCKETS) -> DataFrame:
+    """The same over a stream; start it within `keyed_state`. Sessions share the states of ``buckets``, or without a number have one each. Without ``idle_ms`` the count alone decides, so the order doesn't
     matter. With it, ``ts`` is a timestamp and the watermark follows it by ``lateness``; sessions are cut at gaps, as by
     `idle_checkpoints_batch`, and the state of those that ended goes by event-time timers."""
     rows = counted_messages(stream, marker)
+    by, kept = ["session_id"], SaveEvery
+    if buckets:
+        rows, by, kept = rows.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")), ["bucket"], SaveEveryOfMany
     if not idle_ms:
-        return rows.withColumn("ms", F.lit(0).cast("long")).groupBy("session_id").transformWithStateInPandas(SaveEvery(every), CHECKPOINT, "Append", "None")
+        return rows.withColumn("ms", F.lit(0).cast("long")).groupBy(*by).transformWithStateInPandas(kept(every), CHECKPOINT, "Append", "None")
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ms", F.unix_millis("ts")).withWatermark("ts", lateness)
-    return rows.groupBy("session_id").transformWithStateInPandas(SaveEvery(every, idle_ms), CHECKPOINT, "Append", "EventTime")
+    return rows.groupBy(*by).transformWithStateInPandas(kept(every, idle_ms), CHECKPOINT, "Append", "EventTime")
 
 
 def idle_checkpoints_batch(df: DataFrame, idle_ms: int, every: int = 15, marker: str = "<command-message>") -> DataFrame:
@@ -212,11 +272,6 @@ CHANGE = "event string, id string, subject string, predicate string, object stri
 CHANGED = ["event", "id", "subject", "predicate", "object", "valid_from", "valid_to", "seq"]
 
 
-#: A state holds the keys of one bucket. Each call of a state costs milliseconds, so a state for each key costs hours where keys are
-#: millions; a stream keeps its number of buckets for life, and a task holds what one bucket has.
-BUCKETS = 1024
-
-
 class ActiveTriples(StatefulProcessor):
     """The ids of a bucket's triples that are active. Additions of an active one add nothing, a closing ends it; both come in the
     order of ``seq``. The state begins with what the store has."""

@@ -168,3 +168,52 @@ def test_triples_share_states(spark, tmp_path):
     rows = jobs.logged_triples(spark, str(tmp_path / "kg"), known).collect()
     assert len(rows) == len({r["subject"] for r in rows}) == 602
     assert sum(r["valid_to"] == "2026-01-01" for r in rows) == 102 and sum(r["id"].startswith("k") for r in rows) == 200
+
+
+def test_sessions_share_a_state():
+    """A bucket's sessions take one state and one timer, which drops those that are idle; counts are those of a state for each."""
+
+    class Handle:
+        counts, timers, updates = None, [], 0
+
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            return self.counts is not None
+
+        def get(self):
+            return self.counts
+
+        def update(self, counts):
+            self.counts, self.updates = counts, self.updates + 1
+
+        def clear(self):
+            self.counts = None
+
+        def listTimers(self):
+            return self.timers
+
+        def deleteTimer(self, at):
+            self.timers = [x for x in self.timers if x != at]
+
+        def registerTimer(self, at):
+            self.timers = [*self.timers, at]
+
+    class Expired:
+        def getExpiryTimeInMs(self):
+            return self.at
+
+    handle, kept = Handle(), jobs.SaveEveryOfMany(2, idle_ms=50)
+    kept.init(handle)
+    told = lambda rows: [tuple(x) for f in kept.handleInputRows((0,), iter([pd.DataFrame({"session_id": [s for s, _ in rows], "ms": [m for _, m in rows], "id": range(len(rows))})]), None) for x in f.itertuples(index=False)]
+    many = [(f"s{i}", i % 7) for i in range(1000)]
+    assert told([*many, ("a", 40), ("a", 20)]) == [("a", 2, 2)] and handle.updates == 1 and handle.timers == [50]
+    assert sorted(told([("s3", 30), ("a", 120), ("s6", 200)])) == [("s3", 2, 2)] and handle.timers == [50]
+    expired = Expired()
+    expired.at = 60
+    assert sum(len(f) for f in kept.handleExpiredTimer((0,), None, expired)) == 0
+    assert dict(zip(handle.counts[0], handle.counts[3], strict=True)) == {"s3": 30, "a": 120, "s6": 200} and handle.timers == [80]
+    expired.at = 250
+    list(kept.handleExpiredTimer((0,), None, expired))
+    assert not handle.exists() and handle.timers == []
