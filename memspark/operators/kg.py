@@ -82,6 +82,8 @@ def invalidate(triples: DataFrame, closings: DataFrame, today: str) -> DataFrame
     return joined.withColumn("valid_to", F.when(F.col("valid_to").isNull(), F.col("ended")).otherwise(F.col("valid_to"))).select(*triples.columns)
 
 
+#: Questions of one entity that are compared with all of its triples.
+FEW = 16
 #: Levels of the bins of months; a month is year and month as one number of six digits.
 LEVELS = 20
 
@@ -115,20 +117,25 @@ def bins_of(point: Column) -> Column:
 def valid_at(triples: DataFrame, asked: DataFrame, mine: str) -> DataFrame:
     """The triples of each asked entity (query, query_id, as_of) that are valid at its time, or all where it has none.
 
-    Times meet by equi-keys: a triple stands in the bins that cover its months, a question looks into those of its own month.
+    An entity with at most `FEW` dated questions meets its triples by the entity alone: that is no more than `FEW` pairs a triple, and a triple
+    is sent once. Of the others, times meet by equi-keys: a triple stands in the bins that cover its months, a question looks into those of its own month.
     So an entity with many triples and many questions makes only the pairs that are valid in the month, which are then compared
     by the whole texts. Dates that aren't of the usual form count as open in the bins; questions with such ones meet
     all triples of their entity."""
     inside = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("as_of"))) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("as_of")))
     at = asked.withColumn("__month", month("as_of"))
-    rest = at.where("__month is null").drop("__month")
-    dated = at.where("__month is not null").select("query", "query_id", "as_of", F.inline(bins_of(F.col("__month"))))
+    columns = [*triples.columns, "query", "as_of"]
+    crowded = at.where("__month is not null").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("query_id")
+    has_crowds = crowded.limit(1).count() > 0
+    rest = at.where("__month is null").unionByName(at.where("__month is not null").join(crowded, "query_id", "left_anti")) if has_crowds else at
+    every = triples.join(rest.drop("__month").withColumnRenamed("query_id", mine), mine).where(F.col("as_of").isNull() | inside).select(*columns)
+    if not has_crowds:
+        return every
+    dated = at.where("__month is not null").join(crowded, "query_id", "left_semi").select("query", "query_id", "as_of", F.inline(bins_of(F.col("__month"))))
     months = bins(F.coalesce(month("valid_from"), F.lit(0)), F.coalesce(month("valid_to"), F.lit((1 << LEVELS) - 1)))
-    placed = triples.select("*", F.inline(months))
+    placed = triples.join(crowded.withColumnRenamed("query_id", mine), mine, "left_semi").select("*", F.inline(months))
     met = placed.join(dated.withColumnRenamed("query_id", mine), [mine, "level", "bin"]).where(inside)
-    every = triples.join(rest.withColumnRenamed("query_id", mine), mine).where(F.col("as_of").isNull() | inside)
-    columns = [*triples.columns, "query", "as_of"]
-    return met.select(*columns).unionByName(every.select(*columns))
+    return met.select(*columns).unionByName(every)
 
 
 def query_entities(entities: DataFrame, triples: DataFrame, queries: DataFrame, direction: str = "outgoing") -> DataFrame:

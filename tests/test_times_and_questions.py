@@ -38,6 +38,17 @@ def test_as_of_against_a_plain_model(spark):
     assert sorted((x["query"], str(x["as_of"]), x["object"], str(x["valid_from"]), str(x["valid_to"])) for x in got.collect()) == want
 
 
+def test_few_questions_copy_no_triples(spark):
+    """Where no entity has many questions, each triple is joined once as it is; where one has, its triples alone stand in bins."""
+    entities = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, name string")
+    rows = spark.createDataFrame([(s, "p", "b", "2020-01-01", None, 1.0, None) for s in "ab"], "subject string, predicate string, object string, valid_from string, valid_to string, confidence double, source_closet string")
+    for n, binned in ((kg.FEW, False), (kg.FEW + 1, True)):
+        asked = spark.createDataFrame([("a", f"20{10 + i}-06-01") for i in range(n)] + [("b", "2021-01-01")], "name string, as_of string")
+        got = kg.query_entities(entities, rows, asked)
+        assert ("Generate" in got._jdf.queryExecution().optimizedPlan().toString()) == binned
+        assert got.count() == n - 10 + 1
+
+
 def test_questions_from_file_to_means(spark, tmp_path):
     r = random.Random(3)
     words = [f"w{i}" for i in range(60)]
