@@ -150,3 +150,12 @@ def test_packs_are_full_and_can_be_written(spark, tmp_path):
     assert back.agg(F.sum("n_tokens")).first()[0] == token_counts.count_tokens(docs).agg(F.sum("n_tokens")).first()[0]
     named = packing.pack_documents(docs.limit(5).select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text"))
     assert {x[:1] for r in named.collect() for x in r["doc_ids"]} == {"d"}
+
+
+def test_short_pieces_are_packed_without_arrays(monkeypatch):
+    """The ids are the library's own, and no array is made of each piece."""
+    encoder, made, array = packing.Encoder(), [], np.array
+    texts = [" ".join(f"word{i * j}" for i in range(300)) for j in range(1, 8)]
+    monkeypatch.setattr(packing.np, "array", lambda *a, **k: made.append(1) or array(*a, **k))
+    got = [x.tolist() for x in encoder.encode([*texts, "", " a  b "])]
+    assert got == [encoder.counter.library.encode(x) for x in [*texts, "", " a  b "]] and len(made) < 100
