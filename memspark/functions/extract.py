@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.functions.text import SPACE, any_of, as_column, blank_trim, bound, contained, or_default, stem, strings
+from memspark.functions.text import SPACE, any_of, as_column, blank_trim, bound, contained, or_default, stem
 from memspark.functions.wordlists import DECISION_WORDS, EMOTION_CODES, EMOTION_SIGNALS, FLAG_SIGNALS, MEMORY_PATTERNS, TOPIC_STOPWORDS
 
 
@@ -63,12 +63,38 @@ def entity_codes(text: Column | str, codes: dict | None = None, stopwords=TOPIC_
     lowered = F.lower(text)
     named = [(n, c) for n, c in (codes or {}).items() if n != n.lower()]
     known = F.array_distinct(F.array_compact(F.array(*(F.when(lowered.contains(n.lower()), F.lit(c)) for n, c in named)))) if named else F.lit([]).cast("array<string>")
-    # Words with a capital that a blank stands before: the first word of a text has none.
-    capital = F.regexp_extract_all(text, F.lit(f"(?<=[{SPACE}])[^{SPACE}A-Z]*+[A-Z][^{SPACE}]*+"), F.lit(0))
-    rest = F.transform(capital, lambda w: F.regexp_replace(w, "[^a-zA-Z]", ""))
-    names = F.filter(rest, lambda w: w.rlike("^[A-Z][a-z]+$") & ~F.array_contains(strings(stopwords), F.lower(w)))
-    guessed = F.slice(F.array_distinct(F.transform(names, lambda w: F.upper(F.substring(w, 1, 3)))), 1, 3)
-    return bound(known, lambda k: F.when(F.size(k) > 0, k).otherwise(guessed))
+    guessed = guessed_codes(text, stopwords)
+    return F.coalesce(bound(known, lambda k: F.when(F.size(k) > 0, k)), guessed) if named else guessed
+
+
+#: A word with a capital that a blank stands before: the first word of a text has none. Java's \s, which is in `SPACE`, is ASCII.
+_BLANKS = SPACE.replace("\\s", " \t\n\x0b\f\r")
+_CAPITAL = re.compile(f"(?<=[{_BLANKS}])[^{_BLANKS}A-Z]*+[A-Z][^{_BLANKS}]*+")
+_NO_LETTERS, _NAME = re.compile("[^a-zA-Z]+"), re.compile("[A-Z][a-z]+")
+
+
+def first_codes(text: str, k: int, stopwords: frozenset[str]) -> list[str]:
+    """The first k distinct codes of the capitalized words; the text behind them isn't read."""
+    out: list[str] = []
+    for found in _CAPITAL.finditer(text):
+        word = _NO_LETTERS.sub("", found[0])
+        if _NAME.fullmatch(word) and word.lower() not in stopwords and (code := word[:3].upper()) not in out:
+            out.append(code)
+            if len(out) == k:
+                break
+    return out
+
+
+def guessed_codes(text: Column, stopwords=TOPIC_STOPWORDS, k: int = 3) -> Column:
+    """`first_codes` over Arrow batches: built-in functions would list and clean every capitalized word of a text first."""
+    stop = frozenset(stopwords)
+
+    @F.arrow_udf("array<string>")
+    def codes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array((None if x is None else first_codes(x, k, stop) for x in (y.as_py() for y in batch)), type=pa.list_(pa.string()), size=len(batch))
+
+    return codes(text)
 
 
 TERMS = "array<struct<score:int,first:int,term:string>>"

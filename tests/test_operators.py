@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -286,3 +287,17 @@ def test_many_names_against_one_by_one(spark):
         assert {r["doc_id"]: r["codes"] for r in got.collect()} == want
     assert want[1] == ["A1", "A2", "B1"] and want[2] == ["DOG"] and want[5] == ["A1", "C1"]
     assert entities.names_in(docs, frame([])).collect() == []
+
+
+def test_guessed_codes_read_no_more_than_they_need(spark):
+    """Three codes stand at the beginning of texts of megabytes; blanks are the library's own."""
+    odd = spark.createDataFrame([(0, None), (1, ""), (2, "Abc Def"), (3, "x Ab\u0085Cd Ef"), (4, "a \x1cBcd  Éa 9Abc-D (Abc) The Abd Abe"), (5, "AA\x0bBb　Cc\nDd Ee")], "i int, text string")
+    got = [r["c"] for r in odd.orderBy("i").select(extract.entity_codes("text").alias("c")).collect()]
+    assert got == [None, [], ["DEF"], ["EF"], ["BCD", "ABC", "ABD"], ["BB", "CC", "DD"]]
+    long = spark.range(40).select(F.concat(F.lit("x Abc Bcd Cde "), F.repeat(F.lit("Def some Word "), 100_000)).alias("text"))
+    seconds = []
+    for rows in (long.limit(1), long):
+        start = time.monotonic()
+        assert {tuple(r["c"]) for r in rows.select(extract.entity_codes("text").alias("c")).collect()} == {("ABC", "BCD", "CDE")}
+        seconds.append(time.monotonic() - start)
+    assert seconds[1] < 6
