@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from memspark.functions.text import BOUNDARY, SPACE, as_column, blank_trim, bound, stem
 from memspark.functions.wordlists import CLOCK, MONTHS, SKIPPED_PROMPTS
 
+#: Characters of chunks after which those of the texts so far are passed on.
+CHUNKED_CHARS = 1 << 20
+
 
 def pair_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, group, user_text, assistant_text): each user turn with the assistant turn right after it; other assistant turns
@@ -109,13 +112,21 @@ def cut(text: str | None, size: int = 800, overlap: int = 100, min_size: int = 5
 
 def chunk_text(df: DataFrame, text: str = "text", size: int = 800, overlap: int = 100, min_size: int = 50) -> DataFrame:
     """``df`` with chunk_index and content. Where a chunk starts follows from where the last one ended, so a small Arrow
-    function cuts each text."""
+    function cuts each text. Beside the batch as it came, a worker holds one text and about a million characters of chunks."""
 
     @F.arrow_udf("array<string>")
     def chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for at in range(0, len(batch), 64):  # so many texts and their chunks at once
-                yield pa.array([cut(x, size, overlap, min_size) for x in batch.slice(at, 64).to_pylist()], type=pa.list_(pa.string()))
+            made, held = [], 0
+            for x in batch:
+                pieces = cut(x.as_py(), size, overlap, min_size)
+                made.append(pieces)
+                held += sum(map(len, pieces))
+                if len(made) == 64 or held >= CHUNKED_CHARS:
+                    yield pa.array(made, type=pa.list_(pa.string()))
+                    made, held = [], 0
+            if made:
+                yield pa.array(made, type=pa.list_(pa.string()))
 
     return df.select("*", F.posexplode(chunks(F.col(text))).alias("chunk_index", "content"))
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +29,14 @@ class DrawerStore:
 
     def create(self) -> DrawerStore:
         """An empty version 0; a store that is there already stays."""
-        self.spark.createDataFrame([], FOLDERS).coalesce(1).write.mode("ignore").parquet(f"{self.path}/versions/v=0")
+        self.folder_table([]).write.mode("ignore").parquet(f"{self.path}/versions/v=0")
         return self
 
+    def folder_table(self, folders: list[tuple[str, str]]) -> DataFrame:
+        """A version's table from Arrow: rows of a Python list start a Python worker on every core, which then stays."""
+        columns = zip(*folders, strict=True) if folders else ([], [])
+        return self.spark.createDataFrame(pa.table([pa.array(x, pa.string()) for x in columns], names=["folder", "wing"]), FOLDERS).coalesce(1)
+
     def versions(self) -> list[int]:
         """The numbers of the versions that are there: each one's table is one file, which is there whole or not at all."""
         rows = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{self.path}/versions")
@@ -43,7 +49,7 @@ class DrawerStore:
 
     def rows_of(self, folders: list[tuple[str, str]]) -> DataFrame:
         if not folders:
-            return self.spark.createDataFrame([], DRAWER)
+            return as_drawers(self.spark.range(0).where("false").select())
         paths = [f"{self.path}/data/{folder}" for folder, _ in folders]
         return as_drawers(self.spark.read.schema(DRAWER).option("basePath", f"{self.path}/data").parquet(*paths))
 
@@ -65,7 +71,7 @@ class DrawerStore:
         return [(folder, wings[folder]) for folder, _ in names]
 
     def commit(self, folders: list[tuple[str, str]], after: int) -> int:
-        self.spark.createDataFrame(folders, FOLDERS).coalesce(1).write.mode("error").parquet(f"{self.path}/versions/v={after + 1}")
+        self.folder_table(folders).write.mode("error").parquet(f"{self.path}/versions/v={after + 1}")
         return after + 1
 
     def append(self, rows: DataFrame, name: str | None = None) -> int:

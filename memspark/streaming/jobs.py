@@ -20,6 +20,8 @@ CHECKPOINT = "session_id string, n bigint, since_last bigint"
 #: A state holds the keys of one bucket. Each call of a state costs milliseconds, so a state for each key costs hours where keys are
 #: millions; a stream keeps its number of buckets for life, and a task holds what one bucket has.
 BUCKETS = 1024
+#: Bytes of texts that a Python worker gets at once while files are mined; one longer text is a batch of its own.
+ARROW_BYTES = 4 << 20
 
 
 def session_name(session_id: str = "session_id"):
@@ -193,6 +195,9 @@ def mine_stream(files: DataFrame, store: Callable[[], DataFrame], path: str, che
 
 
 def drawers_of(batch: DataFrame, stored: DataFrame, wing: str, conversations: bool, how: dict) -> DataFrame:
+    """The drawers of a micro-batch's changed files. The stream's session, which is a copy of the user's own, hands texts to Python in
+    batches of `ARROW_BYTES`; by default a worker gets 10,000 texts or 64 MB at once, and holds them more than once."""
+    batch.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     last = F.row_number().over(Window.partitionBy("source_file").orderBy(F.desc("source_mtime")))
     batch = batch.withColumn("__n", last).where("__n = 1").drop("__n")
     return (mine_conversations if conversations else mine_project)(batch, stored, wing, **how)

@@ -3,10 +3,12 @@
 import datetime
 
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from memspark.operators import kg, versions
+from memspark.operators import kg, transcripts, versions
 from memspark.streaming import jobs
 
 
@@ -69,6 +71,62 @@ def test_a_batch_that_was_broken_off_counts_once(spark, tmp_path, monkeypatch):
     assert store.read().select("source_file").distinct().count() == 6 and store.versions() == [0, 1, 2]
 
 
+def test_workers_get_few_texts_at_once(spark, tmp_path, monkeypatch):
+    """What reaches a Python worker while files are mined is bounded by bytes, however many files a task has; the user's session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    files = spark.range(400, numPartitions=1).select(F.format_string("notes/%d.md", "id").alias("rel_path"), F.format_string("/s/%d.md", "id").alias("source_file"), F.lit(5.0).alias("source_mtime"), F.expr("repeat('word ', 20000)").alias("text"))
+    files.write.parquet(str(tmp_path / "in"))
+
+    @F.arrow_udf("long")
+    def handed(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    def sizes(batch, stored, wing):
+        return batch.coalesce(1).select(F.col("source_file").alias("id"), "source_file", F.lit(wing).alias("wing"), handed("text").cast("string").alias("content"))
+
+    store, held = versions.DrawerStore(spark, str(tmp_path / "store"), files_per_wing=1).create(), spark.conf.get(name)
+    monkeypatch.setattr(jobs, "mine_project", sizes)
+    jobs.mine_into(spark.readStream.schema(files.schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "state"), "w", "files").awaitTermination()
+    got = [int(r["content"]) for r in store.read().select("content").collect()]
+    assert len(got) == 400 and max(got) <= jobs.ARROW_BYTES + 200_000
+    assert spark.conf.get(name) == held
+
+
+def test_chunks_are_passed_on_by_their_size(spark, monkeypatch):
+    """Long texts are not held with 63 others; all rows come, in their order, null and empty ones with no chunk."""
+    held = []
+    plain = transcripts.pa.array
+    monkeypatch.setattr(transcripts.F, "arrow_udf", lambda kind: lambda f: lambda text: held.append(f) or F.array(F.lit("x")))
+    transcripts.chunk_text(spark.range(1).select(F.lit("t").alias("text")))
+    monkeypatch.undo()
+    texts = [None, "", *("word " * 100_000 for _ in range(20)), "short " * 20, *[None] * 200]
+    made = [part.to_pylist() for part in held[0](iter([plain(texts[:5]), plain(texts[5:5], "string"), plain(texts[5:])]))]
+    assert [x for part in made for x in part] == [transcripts.cut(x) for x in texts]
+    assert max(sum(map(len, x)) for part in made for x in [[c for text in part for c in text]]) < transcripts.CHUNKED_CHARS + 700_000
+    assert max(map(len, made)) <= 64
+
+
+def test_folder_tables_start_no_python(spark, tmp_path):
+    """Neither a version's table nor an empty store's rows come out of a Python worker."""
+    store = versions.DrawerStore(spark, str(tmp_path / "store")).create()
+    seen = []
+    commit = DataFrameWriter.parquet
+
+    def parquet(self, path, *how, **more):
+        seen.append(self._df._jdf.queryExecution().toRdd().toDebugString())
+        return commit(self, path, *how, **more)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(DataFrameWriter, "parquet", parquet)
+        assert store.commit([("batch=a/wing=w", "w"), ("batch=b/wing=__", "")], 0) == 1
+        versions.DrawerStore(spark, str(tmp_path / "other")).create()
+    none = versions.DrawerStore(spark, str(tmp_path / "other")).read()
+    seen.append(none._jdf.queryExecution().toRdd().toDebugString())
+    assert len(seen) == 3 and not any("PythonRDD" in x for x in seen)
+    assert store.versions() == [0, 1] and store.folders() == [("batch=a/wing=w", "w"), ("batch=b/wing=__", "")] and store.folders(0) == []
+    assert none.count() == 0 and [(f.name, f.dataType) for f in none.schema] == [(f.name, f.dataType) for f in versions.DRAWER]
+
+
 EVENTS = "seq long, subject string, predicate string, object string, valid_from string, valid_to string, ended string"
 
 
