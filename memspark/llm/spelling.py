@@ -8,7 +8,8 @@
    (2 * SYMBOLS - 1) keys a letter, where the letters themselves would take over 170.
 3. The neighbourhoods' keys are joined with the reduced vocabulary. Words one edit apart have reduced words at most one edit
    apart, so no pair is lost, and each is met once from either side; whether the strings differ in exactly one edit is then
-   looked at on the strings. The join is by key alone; a key that many words share is split as any skewed join is.
+   looked at on the strings. The join is by key alone; a key that many words share is split as any skewed join is. No join
+   here is a broadcast: all tables grow with the vocabulary, and their files' sizes tell too little of what they take in memory.
 4. A word's form is the near word of the largest count (ties: the smallest in code-point order) if that is ``factor`` times
    its own or more. Counts grow by this factor along a chain, so it has at most log(largest count) steps; roots are found by
    doubling, each round a table in the shared folder, and only words with forms take part.
@@ -89,7 +90,8 @@ def reduced(word: Column, symbols: int = SYMBOLS) -> Column:
                 listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(near)))
                 yield pa.StructArray.from_arrays([pa.array(own, type=pa.int64()), listed], names=["own", "near"])
 
-    return keys(word)
+    # Marked so that Spark doesn't work it out again in filters of its own making.
+    return keys.asNondeterministic()(word)
 
 
 def word_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = 6, change: Callable[[str, list[str]], list[str]] | None = None) -> DataFrame:
@@ -133,11 +135,12 @@ def word_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least
 
 
 def near_words(vocabulary: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
-    """(word, near, near_n): every ordered pair of words (word, n) of the vocabulary that are one edit apart."""
+    """(word, near, near_n): every ordered pair of words (word, n) of the vocabulary that are one edit apart. The join is never a
+    broadcast: Spark takes the exploded keys to be no larger than the words and would send them all through the driver."""
     keyed = vocabulary.withColumn("of", reduced(F.col("word"), symbols))
     left = keyed.select("word", F.explode("of.near").alias("key"))
     right = keyed.select(F.col("of.own").alias("key"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    return left.join(right, "key").where("word <> near").where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
+    return left.join(right.hint("merge"), "key").where("word <> near").where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -145,7 +148,7 @@ def roots(links: DataFrame) -> DataFrame:
     now = materialize(links.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        new = materialize(now.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        new = materialize(now.join(on.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         release(now)
         now = new.drop("moved")
         now._shared_path = new._shared_path
@@ -158,10 +161,10 @@ def group_variants(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     vocabulary = materialize(word_counts(df, doc_id, text, least_chars, change).where(F.col("n") >= least_count), "vocabulary")
     # Of the near words the largest count, of equal ones the smallest word.
     best = near_words(vocabulary, symbols).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best"))
-    joined = vocabulary.join(best, "word", "left")
+    joined = vocabulary.join(best.hint("merge"), "word", "left")
     found = -F.col("best.less") >= factor * F.col("n")
     rows = materialize(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(found, F.col("best.near")).alias("form"), F.when(found, -F.col("best.less")).alias("form_n")), "forms")
     release(vocabulary)
     ends = roots(rows.where("form is not null"))
-    out = rows.join(ends, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    out = rows.join(ends.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
     return out.select("word", "form", "root", "n", "n_near", "form_n")

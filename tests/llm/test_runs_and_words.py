@@ -132,6 +132,24 @@ def test_spelling_against_brute_force(spark):
     assert spelling.group_variants(df.limit(0)).collect() == []
 
 
+def test_no_vocabulary_is_broadcast(spark, monkeypatch):
+    """The keys of a small vocabulary's words are many times its size: no join may send them through the driver, and they are made once a side."""
+    vocabulary = spelling.materialize(spark.createDataFrame([("abcdef", 9), ("abcdeg", 50), ("abcdefg", 300)], "word string, n long"))
+    near = spelling.near_words(vocabulary)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert plan.count("ArrowEvalPython") == 2
+    assert len(near.collect()) == 6
+    plans = []
+    write = spelling.materialize
+    monkeypatch.setattr(spelling, "materialize", lambda df, label="table": plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, label))
+    texts = spark.createDataFrame([(1, "abcdef " * 9 + "abcdeg " * 50 + "abcdefg " * 300)], "doc_id long, text string")
+    found = spelling.group_variants(texts)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sorted((r["word"], r["root"]) for r in found.collect()) == [("abcdef", "abcdefg"), ("abcdefg", "abcdefg"), ("abcdeg", "abcdefg")]
+    assert sum("SortMergeJoin" in x for x in plans) >= 3 and not any("Broadcast" in x for x in plans)
+
+
 def test_neighbourhoods_hold_every_edit():
     r = random.Random(9)
     for _ in range(300):
