@@ -48,6 +48,25 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return F.round(F.aggregate(product, F.lit(0.0), lambda s, x: s + x), 3)
 
 
+def better(ids: np.ndarray, dots: np.ndarray, own: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best (ids, dots), k a query, after more rows ``own`` of unrounded similarities ``near`` (rows, queries)."""
+    k, bar = dots.shape[1], np.nan_to_num(dots[:, -1], nan=-np.inf)
+    row, query = np.nonzero(near >= bar - 0.001)
+    value = np.round(near[row, query], 3)
+    kept = value >= bar[query]
+    row, query, value = row[kept], query[kept], value[kept]
+    if not len(query):
+        return ids, dots
+    some = np.unique(query)
+    every, both = np.concatenate([ids[some].ravel(), own[row]]), np.concatenate([dots[some].ravel(), value])
+    of = np.concatenate([np.repeat(some, k), query])
+    order = np.lexsort((every, -both, of))
+    first = order[np.searchsorted(of[order], some)[:, None] + np.arange(k)]
+    ids, dots = ids.astype(every.dtype), dots.copy()
+    ids[some], dots[some] = every[first], both[first]
+    return ids, dots
+
+
 def topk(drawers: DataFrame, queries: DataFrame, k: int = 5, wing: str | None = None, room: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, id, similarity) of drawers (id, vector) and queries (query_id, vector). The queries are the stated
     set: blocks of about ``block`` of them go to the tasks, each multiplies its rows by them and passes on its k best
@@ -56,7 +75,7 @@ def topk(drawers: DataFrame, queries: DataFrame, k: int = 5, wing: str | None =
         if value is not None:
             drawers = drawers.where(F.col(name) == value)
     spark = drawers.sparkSession
-    drawers = drawers.where("vector is not null")
+    drawers, queries = drawers.where("vector is not null"), queries.where("vector is not null")
     types = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(drawers.schema["id"].dataType), pa.float64()]
     n_blocks = max(1, -(-queries.count() // block))
     scored = None
@@ -68,15 +87,18 @@ def topk(drawers: DataFrame, queries: DataFrame, k: int = 5, wing: str | None =
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, wanted = shared.value
-            # The best so far of each query, a row a query; a block of rows is compared at once, in the order of the ids.
+            # The best so far of each query, a row a query. Once there are k, only what comes up to the k-th one goes on to be ranked.
             ids, dots = None, np.zeros((len(names), 0))
             step = max(1, PRODUCTS // len(names))
             for batch in batches:
                 for at in range(0, len(batch), step):
                     part = batch.slice(at, step)
-                    own = np.array(part.column(0).to_pylist())
+                    own, near = np.array(part.column(0).to_pylist()), matrix(part.column(1)) @ wanted.T
+                    if dots.shape[1] == k:
+                        ids, dots = better(ids, dots, own, near)
+                        continue
                     order = np.argsort(own, kind="stable")
-                    near = np.round(matrix(part.column(1))[order] @ wanted.T, 3).T
+                    near = np.round(near[order], 3).T
                     some = first_k(near, k)
                     both = np.concatenate([dots, np.take_along_axis(near, some, 1)], axis=1)
                     every = own[order][some] if ids is None else np.concatenate([ids, own[order][some]], axis=1)

@@ -1,6 +1,7 @@
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from memspark.functions import extract, routing
 from memspark.functions.text import any_of, base_name, blank_trim, stem
 from memspark.operators import drawers, entities, evaluate, graph, kg, similarity, transcripts
+from memspark.plans import catalog
 
 R = random.Random(4)
 
@@ -256,6 +258,34 @@ def test_embedding_search_and_metrics(spark):
     assert values(evaluate.session_documents(asked), "session_id", "content") == [("s1", "a\nc")]
 
 
+def test_topk_of_many_steps(spark, monkeypatch):
+    """A few rows compared at once, many equal similarities, ids as text of several lengths, null vectors: as by brute force."""
+    r = np.random.default_rng(4)
+    x = np.round(r.normal(size=(230, 3)), 1)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x[40:60] = x[7]
+    names = [str(v) for v in r.permutation(230) * 5]
+    df = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, x, strict=True)] + [("none", None)], "id string, vector array<double>").repartition(2)
+    monkeypatch.setattr(similarity, "PRODUCTS", 700)
+    got = {}
+    for row in similarity.topk(df, df.withColumnRenamed("id", "query_id"), 4, block=100).collect():
+        got.setdefault(row["query_id"], {})[row["rank"]] = row["id"]
+    dots = np.round(x @ x.T, 3)
+    assert got == {names[q]: dict(enumerate([names[i] for i in sorted(range(230), key=lambda i: (-dots[q, i], names[i]))[:4]], 1)) for q in range(230)}
+
+
+def test_every_vector_asks(spark):
+    """Retrieval is measured for every vector, and equals its SQL; the means are still those of each twentieth one."""
+    d = "/root/testdata/sf0.001"
+    got = catalog.QUERIES["retrieval_metrics"](spark, d)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet'")
+    want = con.execute(catalog.SQL["retrieval_metrics"]).fetchall()
+    assert len(want) == spark.read.parquet(f"{d}/embeddings.parquet").count()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert [tuple(row) for row in catalog.QUERIES["mean_metrics"](spark, d).collect()] == con.execute(catalog.SQL["mean_metrics"]).fetchall()
+
+
 def test_labelled_metrics_make_no_pairs(spark):
     """The same as by pairs of queries and relevant rows, in a time that goes with the rows."""
     rows = spark.range(3000).select("id", F.when(F.col("id") % 50 > 0, F.col("id") % 2).alias("label"))
